@@ -1,0 +1,15 @@
+"""Lineage cuts into the shared checkpoint folder (survive executor loss)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..session import ensure_checkpoint_dir
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: written to ``spark.checkpoint.dir`` (a shared
+    folder on a cluster), so lost executors do not force recomputation and
+    iterative plans stay short."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
