@@ -160,3 +160,397 @@ def q_score_top3(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry query: group summaries of the canonical corpus."""
     return q_group_summaries(spark, sf_dir)
+
+
+# =================================================================== B: filters
+from ..operators import curate, filters, flows, reports, search  # noqa: E402
+
+COMBINED = "ts:>2024-01-01 06:00:00, <2024-01-01 18:00:00&&predict:1,3,5-7"
+REGEX = "the wor|nttion|thha"
+
+
+def _corpus(spark, sf_dir):
+    return canonical_corpus(spark, sf_dir)
+
+
+@register("B10_filter_combined", _with(CORPUS_CTE) + """
+SELECT row_id, "set", predict, ts FROM corpus
+WHERE ts > TIMESTAMP '2024-01-01 06:00:00' AND ts < TIMESTAMP '2024-01-01 18:00:00'
+  AND (predict BETWEEN 5 AND 7 OR predict IN (1, 3))""")
+def q_filter_combined(spark, sf_dir):
+    """Ts range AND predict list with a range."""
+    return filters.filter_corpus(_corpus(spark, sf_dir), COMBINED).select("row_id", "set", "predict", "ts")
+
+
+@register("B12_filter_text_regex", _with(CORPUS_CTE) + f"""
+SELECT row_id, ref FROM corpus WHERE regexp_matches(text, '(?i)' || '{REGEX}')""")
+def q_filter_text(spark, sf_dir):
+    """Case-insensitive regex search over whole texts."""
+    return filters.filter_corpus(_corpus(spark, sf_dir), REGEX).select("row_id", "ref")
+
+
+@register("B14_filter_ref_target", _with(CORPUS_CTE) + """
+SELECT row_id, ref, target FROM corpus WHERE ref = 'src3' AND target IN (1)""")
+def q_filter_ref_target(spark, sf_dir):
+    """B14, B16 (and an ignored bad list item, an empty conjunct)."""
+    return (filters.filter_corpus(_corpus(spark, sf_dir), "ref: src3 && target:1,x && ")
+            .select("row_id", "ref", "target"))
+
+
+@register("B11_filter_negative_and_reversed", _with(CORPUS_CTE) + """
+SELECT row_id FROM corpus WHERE predict IN (-1, 2)""")
+def q_filter_negative(spark, sf_dir):
+    """B11: '-1' parses as minus one, a reversed range is empty."""
+    return filters.filter_corpus(_corpus(spark, sf_dir), "predict:-1,9-4,2").select("row_id")
+
+
+@register("B17_filter_builder", _with(CORPUS_CTE) + """
+SELECT row_id FROM corpus
+WHERE ref = 'src1' AND ts < TIMESTAMP '2024-01-25 00:00:00' AND ts > TIMESTAMP '2024-01-02 00:00:00'
+  AND predict BETWEEN 0 AND 4""")
+def q_filter_builder(spark, sf_dir):
+    """A criteria string built from fields, then applied."""
+    crit = filters.build_criteria(ref="src1", ts_before="2024-01-25", ts_after="2024-01-02", predict="0-4")
+    return filters.filter_corpus(_corpus(spark, sf_dir), crit).select("row_id")
+
+
+@register("B22_mark_filtered", _with(CORPUS_CTE) + """
+SELECT row_id, NOT coalesce(predict BETWEEN 1 AND 3, false) AS filtered FROM corpus""")
+def q_mark_filtered(spark, sf_dir):
+    """Every row kept, flagged when outside the filter."""
+    return filters.mark_filtered(_corpus(spark, sf_dir), "predict:1-3").select("row_id", "filtered")
+
+
+@register("B19_search_page", _with(CORPUS_CTE) + """
+, t AS (SELECT * FROM corpus WHERE "set" = 'train')
+SELECT row_id AS id, text, ts, ref, target, predict,
+       (SELECT count(*) FROM t) AS total,
+       (SELECT count(*) FROM t WHERE predict BETWEEN 2 AND 4) AS filtered
+FROM t WHERE predict BETWEEN 2 AND 4 ORDER BY row_id LIMIT 20 OFFSET 5""")
+def q_search_page(spark, sf_dir):
+    """Counts in one pass plus one ordered page (offset 5, 20 rows)."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    counts = search.search_counts(train, "predict:2-4")
+    page = search.search_page(train, "predict:2-4", start=5, count=20)
+    return (page.withColumn("total", counts.select("total").scalar())
+            .withColumn("filtered", counts.select("filtered").scalar()))
+
+
+@register("B21_truncate_null_empty", _with(CORPUS_CTE) + """
+SELECT row_id, substr(text, 1, 80) AS text, coalesce(CAST(target AS VARCHAR), '') AS target
+FROM corpus""")
+def q_truncate(spark, sf_dir):
+    """80-character text and NULL shown as ''."""
+    c = _corpus(spark, sf_dir)
+    return search.null_to_empty(c.select("row_id", search.truncate_text("text").alias("text"), "target"),
+                                ["target"])
+
+
+# ================================================================ B: curation
+DOCS_LOAD_SQL = """
+loaded AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id, text, source AS ref
+           FROM documents WHERE text IS NOT NULL),
+kept AS (SELECT * FROM loaded
+         QUALIFY row_number() OVER (PARTITION BY text ORDER BY row_id) = 1)"""
+
+
+@register("A7_load_dedupe_documents", "WITH " + DOCS_LOAD_SQL + """
+SELECT row_id, ref, length(text) AS n_chars, 'train' AS "set" FROM kept""")
+def q_load_documents(spark, sf_dir):
+    """A7 with B1, B2, B4, A6: load documents as train rows, ids in file
+    order, keep the first of each text."""
+    from ..sources.tables import read_table
+    docs = read_table(spark, sf_dir, "documents").select("text", F.col("source").alias("ref"))
+    corpus = curate.append_rows(None, docs)
+    return corpus.select("row_id", "ref", F.length("text").alias("n_chars"), "set")
+
+
+@register("B2_dedupe_keep_first", _with(CORPUS_CTE) + """
+SELECT row_id, "set" FROM corpus
+WHERE "set" = 'dev' OR row_id IN (SELECT min(row_id) FROM corpus WHERE "set" = 'train' GROUP BY text)""")
+def q_dedupe(spark, sf_dir):
+    """B2: keep-first by text inside train; dev untouched (Q8 default)."""
+    return curate.dedupe_keep_first(_corpus(spark, sf_dir)).select("row_id", "set")
+
+
+@register("B5_delete_rows", _with(CORPUS_CTE) + """
+SELECT row_id, "set" FROM corpus c
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.row_id AND l.toxic = 1)""")
+def q_delete(spark, sf_dir):
+    """Delete the rows labelled toxic (ids from a table)."""
+    from ..sources.tables import read_table
+    ids = read_table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select(F.col("doc_id").alias("row_id"))
+    return curate.delete_rows(_corpus(spark, sf_dir), ids).select("row_id", "set")
+
+
+@register("B6_copy_rows", _with(CORPUS_CTE) + """
+SELECT row_id, "set" FROM corpus
+UNION ALL
+SELECT row_id, 'dev' AS "set" FROM corpus c
+WHERE "set" = 'train' AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.row_id AND l.quality = 1)""")
+def q_copy(spark, sf_dir):
+    """Copy good-quality train rows to dev (semi join)."""
+    from ..sources.tables import read_table
+    ids = read_table(spark, sf_dir, "labels").where(F.col("quality") == 1).select(F.col("doc_id").alias("row_id"))
+    return curate.copy_rows(_corpus(spark, sf_dir), ids, to="dev").select("row_id", "set")
+
+
+@register("B7_move_rows", _with(CORPUS_CTE) + """
+SELECT row_id, CASE WHEN "set" = 'train' AND row_id IN (SELECT doc_id FROM labels WHERE quality = 0)
+                    THEN 'dev' ELSE "set" END AS "set"
+FROM corpus""")
+def q_move(spark, sf_dir):
+    """Move low-quality train rows to dev in one pass."""
+    from ..sources.tables import read_table
+    ids = read_table(spark, sf_dir, "labels").where(F.col("quality") == 0).select(F.col("doc_id").alias("row_id"))
+    return curate.move_rows(_corpus(spark, sf_dir), ids, to="dev").select("row_id", "set")
+
+
+@register("B8_clear_set", _with(CORPUS_CTE) + """
+SELECT row_id, "set" FROM corpus WHERE "set" <> 'dev'""")
+def q_clear(spark, sf_dir):
+    """Clear the dev set."""
+    return curate.clear_set(_corpus(spark, sf_dir), "dev").select("row_id", "set")
+
+
+@register("B9_reset_columns", _with(CORPUS_CTE) + """
+SELECT row_id, "set",
+       CASE WHEN "set" = 'dev' THEN NULL ELSE predict END AS predict,
+       CASE WHEN "set" = 'dev' THEN NULL ELSE round(x, 6) END AS x,
+       CASE WHEN "set" = 'dev' THEN NULL ELSE distance END AS distance
+FROM corpus""")
+def q_reset(spark, sf_dir):
+    """Reset predict (and so distance) and x on dev."""
+    out = curate.reset_columns(_corpus(spark, sf_dir), "dev", predict=True, x=True)
+    return out.select("row_id", "set", "predict", _r("x").alias("x"), "distance")
+
+
+# ================================================================ E: reports
+@register("B18_group_table_filter", _with(CORPUS_CTE, TRAIN_CTE) + """
+, g AS (SELECT predict AS grp, count(text) AS cnt FROM train WHERE predict <> -1 GROUP BY predict)
+SELECT CAST(grp AS INTEGER) AS "group", cnt AS "count" FROM g WHERE grp BETWEEN 0 AND 3 OR grp IN (7)""")
+def q_group_filter(spark, sf_dir):
+    """Group table filtered by an id list."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    return filters.filter_groups(summarise.group_counts(train), ids="0-3,7").select("group", "count")
+
+
+CENT_PAIR_CTE = """cp AS (
+  SELECT a.grp AS g1, b.grp AS g2, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d
+  FROM cent a JOIN cent b ON a.i = b.i AND a.grp <> b.grp GROUP BY a.grp, b.grp),
+gm AS (SELECT i, avg(m) AS m FROM cent GROUP BY i),
+cd AS (SELECT cent.grp, sqrt(sum((cent.m - gm.m) * (cent.m - gm.m))) AS d
+       FROM cent JOIN gm USING (i) GROUP BY cent.grp),
+mx AS (SELECT nullif(2 * max(d), 0) AS max_distance FROM cd)"""
+
+
+def _stats(spark, sf_dir):
+    corpus, train, summ = _summaries(spark, sf_dir)
+    summ = summ.cache()
+    stats = summarise.group_stats(train, summ, 64)
+    return corpus, train, summ, stats
+
+
+@register("E14_group_neighbours", _with(CORPUS_CTE, TRAIN_CTE, MEMBER_DIMS_CTE, CENT_DIMS_CTE,
+                                        MEMBER_DIST_CTE, SUMMARY_CTE, CENT_PAIR_CTE) + f"""
+SELECT CAST(cp.g2 AS INTEGER) AS "group", round(cp.d, {R}) AS distance,
+       round(cp.d / (SELECT max_distance FROM mx), {R}) AS score, s.repr_text
+FROM cp JOIN summ s ON s.grp = cp.g2
+WHERE cp.g1 = (SELECT min(grp) FROM cent)
+ORDER BY cp.d, cp.g2 LIMIT 5""")
+def q_group_neighbours(spark, sf_dir):
+    """Five nearest groups of the lowest group id."""
+    _, _, summ, stats = _stats(spark, sf_dir)
+    g = int(summ.agg(F.min("group")).first()[0])
+    out = reports.group_neighbours(summ, g, stats)
+    return out.select("group", _r("distance").alias("distance"), _r("score").alias("score"), "repr_text")
+
+
+@register("E14_all_group_neighbours", _with(CORPUS_CTE, TRAIN_CTE, MEMBER_DIMS_CTE, CENT_DIMS_CTE,
+                                            CENT_PAIR_CTE) + f"""
+SELECT CAST(g1 AS INTEGER) AS "group", CAST(rk AS INTEGER) AS rank, CAST(g2 AS INTEGER) AS neighbour,
+       round(d, {R}) AS distance, round(d / (SELECT max_distance FROM mx), {R}) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY g1 ORDER BY d, g2) AS rk FROM cp) WHERE rk <= 5""")
+def q_all_group_neighbours(spark, sf_dir):
+    """E14 for all groups at once."""
+    _, _, summ, stats = _stats(spark, sf_dir)
+    out = reports.all_group_neighbours(summ, stats)
+    return out.select("group", "rank", "neighbour", _r("distance").alias("distance"), _r("score").alias("score"))
+
+
+@register("E15_text_similarity", _with(CORPUS_CTE, TRAIN_CTE, MEMBER_DIMS_CTE, CENT_DIMS_CTE, CENT_PAIR_CTE) + f"""
+, pv AS (SELECT u.v, u.i FROM train t, UNNEST(t.reduced) WITH ORDINALITY AS u(v, i)
+         WHERE t.row_id = (SELECT min(row_id) FROM train)),
+rv AS (SELECT t.row_id, u.v, u.i FROM train t, UNNEST(t.reduced) WITH ORDINALITY AS u(v, i))
+SELECT rv.row_id, round(1 - sqrt(sum((rv.v - pv.v) * (rv.v - pv.v))) / (SELECT max_distance FROM mx), {R})
+       AS similarity
+FROM rv JOIN pv USING (i) GROUP BY rv.row_id""")
+def q_text_similarity(spark, sf_dir):
+    """Similarity of every train row to the first train row."""
+    corpus, train, summ, stats = _stats(spark, sf_dir)
+    pivot = int(train.agg(F.min("row_id")).first()[0])
+    out = reports.text_similarity(corpus, None, pivot, stats)
+    return out.select("row_id", _r("similarity").alias("similarity"))
+
+
+@register("E16_scatter_sample", _with(CORPUS_CTE) + f"""
+SELECT row_id AS id, substr(text, 1, 80) AS text, round(x, {R}) AS x, round(y, {R}) AS y, ref, predict,
+       NOT coalesce(ts > TIMESTAMP '2024-01-01 12:00:00', false) AS filtered
+FROM corpus WHERE "set" = 'train' AND predict IS NOT NULL""")
+def q_scatter(spark, sf_dir):
+    """Scatter rows of the train set with the not-filtered flag."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    out = reports.scatter_sample(train, "ts:>2024-01-01 12:00:00")
+    return out.select("id", "text", _r("x").alias("x"), _r("y").alias("y"), "ref", "predict", "filtered")
+
+
+@register("E17_groups_matching", _with(CORPUS_CTE) + """
+SELECT DISTINCT predict AS "group" FROM corpus
+WHERE "set" = 'train' AND ref = 'src2' AND predict IS NOT NULL""")
+def q_groups_matching(spark, sf_dir):
+    """Groups of the train rows matching a filter."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    return reports.groups_matching(train, "ref:src2")
+
+
+TREND_BIN_SQL = """
+st AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi, count(DISTINCT ts) AS nd FROM base),
+bi AS (SELECT b.*, greatest(least(CAST(ceil((epoch_us(b.ts) - st.lo) / ((st.hi - st.lo) / 100.0)) AS BIGINT) - 1,
+                                  99), 0) AS idx, st.lo, st.hi, st.nd
+       FROM base b, st),
+lb AS (SELECT *, CASE WHEN nd <= 100 THEN ts
+                      WHEN idx = 0 THEN make_timestamp(CAST(floor(lo - (hi - lo) / 1000.0) AS BIGINT))
+                      ELSE make_timestamp(CAST(floor(lo + idx * ((hi - lo) / 100.0)) AS BIGINT)) END AS bucket
+       FROM bi)"""
+
+
+@register("E18_trend_events_binned", """
+WITH base AS (SELECT DISTINCT ts, user_id AS "group" FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+""" + TREND_BIN_SQL + """
+SELECT bucket, "group", count(ts) AS "count" FROM lb GROUP BY bucket, "group" """)
+def q_trend_binned(spark, sf_dir):
+    """E18 + E19 binned path: > 100 distinct timestamps, 100 bins."""
+    from ..sources.tables import read_table
+    ev = read_table(spark, sf_dir, "events")
+    return reports.group_trend(ev, ts="ts", group="user_id").select("bucket", "group", "count")
+
+
+@register("E18_trend_events_daily", """
+WITH base AS (SELECT DISTINCT date_trunc('day', ts) AS ts, event_type AS "group" FROM events
+              WHERE ts IS NOT NULL AND event_type IS NOT NULL),
+""" + TREND_BIN_SQL + """
+SELECT bucket, "group", count(ts) AS "count" FROM lb GROUP BY bucket, "group" """)
+def q_trend_daily(spark, sf_dir):
+    """E18 + E19 unbinned path: day grain gives <= 100 distinct values."""
+    from ..sources.tables import read_table
+    ev = read_table(spark, sf_dir, "events").select(
+        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "event_type")
+    return reports.group_trend(ev, ts="ts", group="event_type").select("bucket", "group", "count")
+
+
+@register("E18_trend_events_rows", """
+WITH base AS (SELECT ts, user_id AS "group" FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+""" + TREND_BIN_SQL + """
+SELECT bucket, "group", count(ts) AS "count" FROM lb GROUP BY bucket, "group" """)
+def q_trend_rows(spark, sf_dir):
+    """E18 with dedupe=False: row counts per bin and group."""
+    from ..sources.tables import read_table
+    ev = read_table(spark, sf_dir, "events")
+    return reports.group_trend(ev, ts="ts", group="user_id", dedupe=False).select("bucket", "group", "count")
+
+
+@register("E18_trend_corpus", _with(CORPUS_CTE, TRAIN_CTE, MEMBER_DIMS_CTE, CENT_DIMS_CTE,
+                                    MEMBER_DIST_CTE, SUMMARY_CTE) + """
+, base AS (SELECT DISTINCT ts, predict AS "group" FROM corpus WHERE ts IS NOT NULL AND predict IS NOT NULL),
+""" + TREND_BIN_SQL + """
+SELECT lb.bucket, CAST(lb."group" AS INTEGER) AS "group", count(lb.ts) AS "count",
+       CASE WHEN lb."group" = -1 THEN '' ELSE substr(any_value(s.repr_text), 1, 80) END AS label
+FROM lb LEFT JOIN summ s ON s.grp = lb."group" GROUP BY lb.bucket, lb."group" """)
+def q_trend_corpus(spark, sf_dir):
+    """Train and dev (ts, group) over time with the group label."""
+    corpus, _, summ = _summaries(spark, sf_dir)
+    out = reports.group_trend(corpus, labels=summ)
+    return out.select("bucket", "group", "count", "label")
+
+
+@register("E24_trend_filtered_groups", """
+WITH base AS (SELECT DISTINCT ts, user_id AS "group" FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+""" + TREND_BIN_SQL + """
+SELECT bucket, "group", count(ts) AS "count" FROM lb
+WHERE "group" IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 50)
+GROUP BY bucket, "group" """)
+def q_trend_filtered(spark, sf_dir):
+    """Trend restricted to groups that match a filter (semi join)."""
+    from ..sources.tables import read_table
+    ev = read_table(spark, sf_dir, "events")
+    trend = reports.group_trend(ev, ts="ts", group="user_id")
+    groups = ev.where((F.col("event_type") == "purchase") & (F.col("value") > 50)).select(
+        F.col("user_id").alias("group"))
+    return reports.trend_for_groups(trend, groups).select("bucket", "group", "count")
+
+
+@register("E20_groups_ranked", _with(CORPUS_CTE, TRAIN_CTE) + """
+, g AS (SELECT predict AS grp, count(text) AS cnt FROM train WHERE predict <> -1 GROUP BY predict)
+SELECT CAST(grp AS INTEGER) AS "group", cnt AS "count", row_number() OVER (ORDER BY cnt DESC, grp) AS rank
+FROM g""")
+def q_ranked(spark, sf_dir):
+    """Groups ranked by count."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    return summarise.groups_ranked_by_count(summarise.group_counts(train)).select("group", "count", "rank")
+
+
+@register("E21_grouped_share", _with(CORPUS_CTE, TRAIN_CTE) + f"""
+SELECT round(CAST(count(*) - count_if(predict = -1) AS DOUBLE) / count(*), {R}) AS grouped_share,
+       round(CAST(count_if(predict = -1) AS DOUBLE) / count(*), {R}) AS ungrouped_share FROM train""")
+def q_share(spark, sf_dir):
+    """Grouped vs ungrouped share."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    sh = summarise.grouped_share(summarise.noise_counts(train))
+    return sh.select(_r("grouped_share").alias("grouped_share"), _r("ungrouped_share").alias("ungrouped_share"))
+
+
+@register("E22_layered_points", _with(CORPUS_CTE, TRAIN_CTE, MEMBER_DIMS_CTE, CENT_DIMS_CTE,
+                                      MEMBER_DIST_CTE, SUMMARY_CTE) + f"""
+SELECT 'group' AS layer, CAST(grp AS BIGINT) AS id, round(x, {R}) AS x, round(y, {R}) AS y,
+       CAST(grp AS INTEGER) AS predict, round(greatest(20.0, 100 * radius), {R}) AS size FROM summ
+UNION ALL
+SELECT "set" AS layer, row_id AS id, round(x, {R}) AS x, round(y, {R}) AS y, predict, NULL AS size FROM corpus""")
+def q_layers(spark, sf_dir):
+    """Groups, train and dev points in one layered table."""
+    corpus, train, summ = _summaries(spark, sf_dir)
+    dev = corpus.where(F.col("set") == "dev")
+    out = reports.layered_points(summ, train, dev)
+    return out.select("layer", "id", _r("x").alias("x"), _r("y").alias("y"), "predict", _r("size").alias("size"))
+
+
+@register("E25_group_detail", _with(CORPUS_CTE, TRAIN_CTE, MEMBER_DIMS_CTE, CENT_DIMS_CTE, CENT_PAIR_CTE) + """
+, nb AS (SELECT g2 FROM cp WHERE g1 = (SELECT min(grp) FROM cent) ORDER BY d, g2 LIMIT 5)
+SELECT row_id, "set", predict FROM corpus
+WHERE predict IN (SELECT g2 FROM nb) OR predict = (SELECT min(grp) FROM cent)""")
+def q_group_detail(spark, sf_dir):
+    """Rows of a group and of its five nearest groups."""
+    corpus, _, summ, stats = _stats(spark, sf_dir)
+    g = int(summ.agg(F.min("group")).first()[0])
+    return reports.group_detail(corpus, summ, g, stats).select("row_id", "set", "predict")
+
+
+@register("X1_flow_patterns", """
+SELECT role AS from_group, nxt AS to_group, count(*) AS transitions
+FROM (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)
+WHERE nxt IS NOT NULL AND role IS NOT NULL GROUP BY role, nxt""")
+def q_flows(spark, sf_dir):
+    """Role transitions between consecutive turns."""
+    from ..sources.tables import read_table
+    conv = read_table(spark, sf_dir, "conversations")
+    return flows.flow_patterns(conv, group="role")
+
+
+@register("X1_flow_patterns_small_buckets", """
+SELECT role AS from_group, nxt AS to_group, count(*) AS transitions
+FROM (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)
+WHERE nxt IS NOT NULL AND role IS NOT NULL GROUP BY role, nxt""")
+def q_flows_small(spark, sf_dir):
+    """X1 with 2-turn buckets, so most successors cross a bucket edge."""
+    from ..sources.tables import read_table
+    conv = read_table(spark, sf_dir, "conversations")
+    return flows.flow_patterns(conv, group="role", bucket=2)
