@@ -24,6 +24,7 @@ def get_session(master: str | None = None, app: str = "corpusgrove",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CG_DRIVER_MEMORY", "16g"))
     )
     if master:
