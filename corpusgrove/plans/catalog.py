@@ -554,3 +554,163 @@ def q_flows_small(spark, sf_dir):
     from ..sources.tables import read_table
     conv = read_table(spark, sf_dir, "conversations")
     return flows.flow_patterns(conv, group="role", bucket=2)
+
+
+# ============================================================ D: vector pipeline
+from ..operators import density, embed as embed_op, neighbours, reduce as reduce_op, tree  # noqa: E402
+from ..schema import ClusteringParams, EmbeddingParams  # noqa: E402
+
+
+def _documents_corpus(spark, sf_dir):
+    """Documents loaded as a fresh corpus: train rows, dev every fifth id."""
+    from ..operators.curate import conform
+    from ..sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents")
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("target"))
+    return conform(d.join(lab, "doc_id", "left").select(
+        F.col("doc_id").alias("row_id"), "text", F.col("source").alias("ref"), "target",
+        F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("train").alias("set")))
+
+
+@register("D1_embed_documents")
+def q_embed(spark, sf_dir):
+    """Hashed TF-IDF + sign projection over whole documents."""
+    from ..sources.tables import read_table
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    out, _ = embed_op.embed(docs, EmbeddingParams())
+    return out.select("row_id", F.size("embedding").alias("dim"),
+                      _r(V.norm("embedding"), 4).alias("norm"))
+
+
+@register("D4_reduce_pca")
+def q_reduce(spark, sf_dir):
+    """D4 + D6 + D7: principal axes of the given embeddings, 10 components."""
+    c = _corpus(spark, sf_dir)
+    lm = reduce_op.fit_pca(c.where(F.col("set") == "train"), "embedding", 10)
+    return reduce_op.transform(c, lm).select("row_id", F.size("reduced").alias("dim"))
+
+
+@register("D5_reduce_supervised")
+def q_reduce_sup(spark, sf_dir):
+    """Reduction supervised by the target (quality label)."""
+    c = _corpus(spark, sf_dir)
+    lm = reduce_op.fit_reduction(c.where(F.col("set") == "train"), "embedding", 10, "target")
+    return reduce_op.transform(c, lm).select("row_id", F.size("reduced").alias("dim"))
+
+
+@register("D16_projection_xy")
+def q_projection(spark, sf_dir):
+    """2-D projection supervised by the group label."""
+    c = _corpus(spark, sf_dir)
+    lm = reduce_op.fit_projection(c.where(F.col("set") == "train"), "reduced", "predict")
+    return reduce_op.project_xy(c, lm).select("row_id", "x", "y")
+
+
+KNN_K = 5
+
+
+@register("D10_knn_graph", _with(CORPUS_CTE) + f"""
+, tv AS (SELECT t.row_id, u.v, u.i FROM corpus t, UNNEST(t.reduced) WITH ORDINALITY AS u(v, i)
+         WHERE t."set" = 'train'),
+pd AS (SELECT a.row_id, b.row_id AS nbr, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS d
+       FROM tv a JOIN tv b ON a.i = b.i AND a.row_id <> b.row_id GROUP BY a.row_id, b.row_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, nbr) AS rank FROM pd)
+SELECT row_id, nbr, round(d, {R}) AS d, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= {KNN_K}""")
+def q_knn(spark, sf_dir):
+    """Exact 5 nearest neighbours of every train row (cells + bound)."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    out = neighbours.knn_graph(train, KNN_K, vec="reduced", cell_size=128)
+    return out.select("row_id", "nbr", _r("d").alias("d"), "rank")
+
+
+def _clustered(spark, sf_dir):
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    return train, density.hdbscan(train, ClusteringParams(min_cluster_size=5))
+
+
+@register("D11_density_clusters")
+def q_density(spark, sf_dir):
+    """HDBSCAN* labels of the train rows (row count = train rows)."""
+    _, (labels, _, _) = _clustered(spark, sf_dir)
+    return labels.select("row_id", "predict")
+
+
+@register("E12_tree_nodes")
+def q_tree_nodes(spark, sf_dir):
+    """E11 + E12: condensed-tree edges with labels, depth and trim flag."""
+    train, (labels, ctree, _) = _clustered(spark, sf_dir)
+    lab = density.assign_labels(train.drop("predict").withColumn("predict", F.lit(None).cast("int")), labels)
+    summ = summarise.group_summaries(lab.where(F.col("predict").isNotNull()), dim=64)
+    edges = tree.tree_edges(ctree, summ)
+    return tree.tree_nodes(edges)
+
+
+@register("E13_tree_filter")
+def q_tree_filter(spark, sf_dir):
+    """Tree nodes open for the groups 0-2."""
+    _, (_, ctree, _) = _clustered(spark, sf_dir)
+    groups = spark.createDataFrame([(0,), (1,), (2,)], "group int")
+    return tree.tree_filter(ctree, groups)
+
+
+@register("H1_train_pipeline")
+def q_train(spark, sf_dir):
+    """H1: load documents -> embed -> reduce -> cluster -> summarise."""
+    from . import pipeline
+    bundle = pipeline.create_model({"clustering": {"min_cluster_size": 5}})
+    bundle = pipeline.train(bundle, _documents_corpus(spark, sf_dir))
+    return bundle["group_summaries"].select("group", "count", "repr_id")
+
+
+@register("H3_score_benchmark_texts")
+def q_score_texts(spark, sf_dir):
+    """H2 + H3: train on documents, test the dev rows, score the benchmark
+    texts (new texts) against the groups."""
+    from ..sources.tables import read_table
+    from . import pipeline
+    bundle = pipeline.create_model({"clustering": {"min_cluster_size": 5}})
+    bundle = pipeline.train(bundle, _documents_corpus(spark, sf_dir))
+    bundle = pipeline.test(bundle)
+    new = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), "text")
+    scored = pipeline.read_scored_columns(pipeline.score(bundle, new))
+    return scored.select("row_id", "predict", "choice1", "choice2", "choice3", "distance")
+
+
+@register("S2_streaming_trend", """
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, event_type AS "group", count(*) AS "count"
+FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2""")
+def q_stream_trend(spark, sf_dir):
+    """Events read as a file stream, daily windows per event type."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.tables import read_table
+    from ..streaming import trend as strend
+    schema = read_table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = "s2_" + uuid.uuid4().hex[:8]
+    ckpt = os.path.join(ensure_checkpoint_dir(spark), name)
+    agg = strend.windowed_trend(stream, ts="ts", group="event_type", width="1 day", watermark=None)
+    strend.run_to_table(agg, name, mode="complete", checkpoint_dir=ckpt)
+    return spark.table(name).select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "group", "count")
+
+
+@register("S1_streaming_scoring")
+def q_stream_score(spark, sf_dir):
+    """Benchmark texts as a file stream, scored per micro-batch."""
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming import scoring
+    from . import pipeline
+    bundle = pipeline.create_model({"clustering": {"min_cluster_size": 5}})
+    bundle = pipeline.train(bundle, _documents_corpus(spark, sf_dir))
+    root = os.path.join(ensure_checkpoint_dir(spark), "s1_" + uuid.uuid4().hex[:8])
+    stream = (spark.readStream.schema("item_id long, text string")
+              .option("pathGlobFilter", "benchmark.parquet").parquet(sf_dir)
+              .select(F.col("item_id").alias("row_id"), "text"))
+    q = scoring.score_stream(stream, bundle, os.path.join(root, "out"), os.path.join(root, "ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(root, "out")).select("row_id", "predict", "choice1", "distance")
