@@ -120,11 +120,12 @@ def groups_matching(df: DataFrame, criteria: str | None = None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ E18 / E19
-EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch() -> F.Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def _micros(col) -> F.Column:
-    return F.timestamp_diff("MICROSECOND", EPOCH, F.col(col) if isinstance(col, str) else col)
+    return F.timestamp_diff("MICROSECOND", _epoch(), F.col(col) if isinstance(col, str) else col)
 
 
 def time_bins(df: DataFrame, ts: str = "ts", nbins: int = TREND_BINS) -> DataFrame:
@@ -143,7 +144,7 @@ def time_bins(df: DataFrame, ts: str = "ts", nbins: int = TREND_BINS) -> DataFra
     idx = F.greatest(F.ceil((_micros(ts) - F.lit(lo)) / F.lit(width)) - 1, F.lit(0))
     idx = F.least(idx, F.lit(nbins - 1))
     left = F.when(idx == 0, F.lit(lo - span / 1000.0)).otherwise(F.lit(lo) + idx * F.lit(width))
-    label = F.timestamp_add("MICROSECOND", F.floor(left).cast("long"), EPOCH)
+    label = F.timestamp_add("MICROSECOND", F.floor(left).cast("long"), _epoch())
     return df.withColumn("bucket", label)
 
 

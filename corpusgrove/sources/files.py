@@ -51,7 +51,8 @@ def apply_roles(df: DataFrame, roles: dict, by_position: bool) -> DataFrame:
             c = F.col(f"`{name}`")
         t = ROLE_TYPES.get(role)
         if role == "ts":
-            c = c.cast("string")
+            from ..operators.curate import coerce_ts
+            c = coerce_ts(c)
         elif t is not None and not isinstance(t, T.StringType):
             c = c.cast("string").try_cast(t)
         elif t is not None:

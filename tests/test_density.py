@@ -1,0 +1,103 @@
+"""D10, D11, D12, E11-E13 against brute force on small fixtures."""
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusgrove.operators import density, neighbours, tree
+from corpusgrove.schema import ClusteringParams
+
+
+def blobs(spark, seed=0, noise=40):
+    rng = np.random.default_rng(seed)
+    parts = [rng.normal(c, 0.5, size=(80, 2)) for c in [(0, 0), (5, 5), (0, 6)]]
+    parts.append(rng.uniform(-3, 9, size=(noise, 2)))
+    X = np.vstack(parts)
+    return spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(X)],
+                                 "row_id long, reduced array<double>"), X
+
+
+def test_knn_exact_with_cells(spark):
+    df, _ = blobs(spark)
+    got = neighbours.knn_graph(df, 5, cell_size=64).toPandas().sort_values(["row_id", "rank"])
+    want = neighbours.brute_force_knn(df, 5).sort_values(["row_id", "rank"])
+    assert (got[["row_id", "nbr", "rank"]].to_numpy() == want[["row_id", "nbr", "rank"]].to_numpy()).all()
+    assert np.allclose(got["d"].to_numpy(), want["d"].to_numpy())
+
+
+def test_knn_skewed_identical_points(spark):
+    # a third of the rows are one point: sub-cells keep tasks bounded, result stays exact
+    rows = [(i, [0.0, 0.0]) for i in range(60)] + [(60 + i, [float(i % 11), float(i // 11)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, reduced array<double>")
+    got = neighbours.knn_graph(df, 3, cell_size=16).toPandas()
+    want = neighbours.brute_force_knn(df, 3)
+    g = got.sort_values(["row_id", "rank"])["d"].to_numpy()
+    w = want.sort_values(["row_id", "rank"])["d"].to_numpy()
+    assert np.allclose(g, w)
+
+
+def _mst_weight_bruteforce(X, core):
+    n = len(X)
+    d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    mr = np.maximum(np.maximum(core[:, None], core[None, :]), d)
+    seen = np.zeros(n, bool)
+    seen[0] = True
+    best = mr[0].copy()
+    total = 0.0
+    for _ in range(n - 1):
+        best[seen] = np.inf
+        j = int(np.argmin(best))
+        total += best[j]
+        seen[j] = True
+        best = np.minimum(best, mr[j])
+    return total
+
+
+def test_boruvka_mst_weight(spark):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(60, 2))
+    df = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(X)],
+                               "row_id long, reduced array<double>")
+    # complete graph as kNN with k = n - 1, so the MST equals the exact one
+    knn = neighbours.knn_graph(df, 59, cell_size=1024)
+    core = density.core_distances(knn, 3)
+    edges = density.mutual_reachability(knn, core)
+    mst = density.boruvka_mst(df.select("row_id"), edges).toPandas()
+    assert len(mst) == 59
+    cores = core.toPandas().set_index("row_id").loc[range(60), "core"].to_numpy()
+    assert mst["w"].sum() == pytest.approx(_mst_weight_bruteforce(X, cores))
+
+
+def test_hdbscan_blobs_and_tree(spark):
+    df, _ = blobs(spark)
+    labels, ctree, leaves = density.hdbscan(df, ClusteringParams(min_cluster_size=10))
+    lab = labels.toPandas()
+    assert len(lab) == df.count() and lab["row_id"].is_unique  # exactly one label per row
+    big = lab[lab.predict >= 0].groupby("predict").size()
+    assert len(big) == 3 and big.min() >= 70
+    # each blob is one group
+    for lo in (0, 80, 160):
+        blob = lab[(lab.row_id >= lo) & (lab.row_id < lo + 80)]
+        assert blob.predict[blob.predict >= 0].nunique() == 1
+    t = ctree.toPandas()
+    assert t.selected.sum() == 3
+    summ = spark.createDataFrame([(g, f"g{g}") for g in range(3)], "group int, repr_text string")
+    edges = tree.tree_edges(ctree, summ)
+    nodes = tree.tree_nodes(edges).toPandas()
+    assert set(nodes[nodes.id >= 0].id) == {0, 1, 2}
+    assert all(nodes.label.str.startswith("["))
+    opened = tree.tree_filter(ctree, spark.createDataFrame([(1,)], "group int")).toPandas()
+    assert opened.open.sum() >= 1
+
+
+def test_leaf_selection_and_predict(spark):
+    df, _ = blobs(spark, seed=1, noise=10)
+    labels, _, _ = density.hdbscan(df, ClusteringParams(min_cluster_size=10, cluster_selection_method="leaf"))
+    assert labels.where("predict >= 0").select("predict").distinct().count() >= 3
+    train = density.assign_labels(df.withColumn("predict", F.lit(None).cast("int")), labels)
+    knn = neighbours.knn_graph(train, 5)
+    core = density.core_distances(knn, 5)
+    new = spark.createDataFrame([(1000, [0.1, 0.1]), (1001, [5.1, 4.9])], "row_id long, reduced array<double>")
+    got = {r["row_id"]: r["predict"] for r in density.predict_density(train, new, core).collect()}
+    g0 = train.where("row_id = 0").first()["predict"]
+    g1 = train.where("row_id = 80").first()["predict"]
+    assert got[1000] == g0 and got[1001] == g1

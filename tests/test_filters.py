@@ -1,0 +1,99 @@
+"""The filter language against hand-made rows."""
+import datetime as dt
+
+import pytest
+
+from corpusgrove.operators import filters, search
+
+
+def rows(spark):
+    data = [
+        (0, "Hello World", dt.datetime(2024, 1, 3), "src1", 0, 1),
+        (1, "digits 123 here", dt.datetime(2024, 1, 6), "src3", 1, 3),
+        (2, "another TEXT", dt.datetime(2024, 1, 7), "src3", None, 5),
+        (3, "no ts", None, "src2", 1, 6),
+        (4, "noise row", dt.datetime(2024, 1, 9), "src1", 0, -1),
+        (5, "late", dt.datetime(2024, 1, 12), "src3", 1, 7),
+        (6, "null predict", dt.datetime(2024, 1, 8), "src3", 0, None),
+    ]
+    return spark.createDataFrame(data, "row_id long, text string, ts timestamp_ntz, ref string, "
+                                       "target int, predict int")
+
+
+def ids(df):
+    return sorted(r["row_id"] for r in df.select("row_id").collect())
+
+
+def test_id_list_parse():
+    p = filters.parse_id_list("1,3,5-10")
+    assert p.singles == [1, 3] and p.ranges == [(5, 10)]
+    assert filters.parse_id_list("-1").singles == [-1]
+    assert filters.parse_id_list("x").is_empty()
+    assert filters.parse_id_list("10-5").is_empty()
+    assert filters.parse_id_list(" 4 , y, 2-3").contains(3)
+
+
+def test_combined(spark):
+    df = rows(spark)
+    out = filters.filter_corpus(df, "ts:>2024-01-05,<2024-01-10&&predict:1,3,5-7")
+    assert ids(out) == [1, 2]
+
+
+def test_negative_and_ignored(spark):
+    df = rows(spark)
+    assert ids(filters.filter_corpus(df, "predict:-1")) == [4]
+    assert ids(filters.filter_corpus(df, "predict:x")) == ids(df)  # ignored conjunct
+    assert ids(filters.filter_corpus(df, "")) == ids(df)
+    assert ids(filters.filter_corpus(df, None)) == ids(df)
+    assert ids(filters.filter_corpus(df, "&& ref:src3 &&")) == [1, 2, 5, 6]
+
+
+def test_text_regex_case_insensitive(spark):
+    df = rows(spark)
+    assert ids(filters.filter_corpus(df, "text")) == [2]
+    assert ids(filters.filter_corpus(df, r"\d+")) == [1]
+    # the pattern is not lower-cased: \D stays "non digit"
+    assert ids(filters.filter_corpus(df, r"^\D+$")) == [0, 2, 3, 4, 5, 6]
+
+
+def test_ts_exact_and_null(spark):
+    df = rows(spark)
+    assert ids(filters.filter_corpus(df, "ts:2024-01-06")) == [1]
+    assert 3 not in ids(filters.filter_corpus(df, "ts:>2000-01-01"))
+
+
+def test_bad_ts_raises_or_lenient(spark):
+    df = rows(spark)
+    with pytest.raises(filters.FilterSyntaxError):
+        filters.compile_criteria("ts:>notadate&&ref:src1")
+    assert ids(filters.filter_corpus(df, "ts:>notadate&&ref:src1", lenient=True)) == [0, 4]
+
+
+def test_builder_round_trip(spark):
+    df = rows(spark)
+    crit = filters.build_criteria(ref="src3", ts_after="2024-01-05", predict="1-6")
+    assert crit == "ref:src3&&ts:>2024-01-05&&predict:1-6"
+    assert ids(filters.filter_corpus(df, crit)) == [1, 2]
+
+
+def test_mark_filtered(spark):
+    df = rows(spark)
+    out = {r["row_id"]: r["filtered"] for r in filters.mark_filtered(df, "target:1").collect()}
+    assert out[1] is False and out[0] is True and out[2] is True
+
+
+def test_group_table_filter(spark):
+    g = spark.createDataFrame([(0, "alpha"), (1, "Beta"), (2, "gamma"), (7, "beta two")],
+                              "group int, repr_text string")
+    out = filters.filter_groups(g, ids="0-2,7", text="beta")
+    assert sorted(r["group"] for r in out.collect()) == [1, 7]
+
+
+def test_search_page_and_all(spark):
+    df = rows(spark)
+    page = search.search_page(df, "ref:src3", start=1, count=2).collect()
+    assert [r["id"] for r in page] == [2, 5]
+    everything = search.search_page(df, None, start=0, count=-1).collect()
+    assert len(everything) == 7  # "All" keeps the last row (Q13)
+    c = search.search_counts(df, "ref:src3").first()
+    assert (c["total"], c["filtered"]) == (7, 4)

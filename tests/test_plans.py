@@ -1,0 +1,29 @@
+"""Plan shape: no Cartesian products, pushed filters, pruned scans."""
+import pytest
+
+import __spark_entry__ as entry
+
+from conftest import SF_SMALL
+
+CHEAP = ["B10_filter_combined", "B12_filter_text_regex", "B19_search_page", "E10_group_summaries",
+         "D14_score_top3", "E18_trend_events_binned", "X1_flow_patterns", "B2_dedupe_keep_first",
+         "E14_all_group_neighbours", "E16_scatter_sample"]
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", CHEAP)
+def test_no_cartesian(spark, name):
+    p = plan_text(entry.queries()[name](spark, SF_SMALL))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_filter_pushdown_and_pruning(spark):
+    df = entry.queries()["B14_filter_ref_target"](spark, SF_SMALL)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(source), EqualTo(source,src3)" in p
+    # text and vectors are not needed by this query, so they are not read
+    assert "ReadSchema: struct<doc_id:bigint,source:string>" in p
+    assert "ReadSchema: struct<vec_id:bigint>" in p

@@ -1,0 +1,33 @@
+"""Adaptive bins against pandas.cut semantics."""
+import datetime as dt
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from corpusgrove.operators import reports
+
+
+def test_bins_match_pandas_cut(spark):
+    base = dt.datetime(2024, 1, 1)
+    rng = np.random.default_rng(1)
+    secs = sorted(set(int(x) for x in rng.integers(0, 10 * 86400, size=400)))
+    ts = [base + dt.timedelta(seconds=s, microseconds=int(s % 997)) for s in secs]
+    df = spark.createDataFrame([(t, i % 3) for i, t in enumerate(ts)], "ts timestamp_ntz, predict int")
+    got = reports.time_bins(df, "ts").toPandas()
+    s = pd.Series(pd.to_datetime(ts))
+    cut = pd.cut(s, bins=100)
+    want = [iv.left for iv in cut]
+    got = got.sort_values("ts")
+    diff = (pd.to_datetime(got["bucket"]).reset_index(drop=True) - pd.Series(want)).abs().max()
+    assert diff <= pd.Timedelta(microseconds=1)
+
+
+def test_unbinned_and_dedupe(spark):
+    d = dt.datetime(2024, 1, 1)
+    rows = [(d, 1), (d, 1), (d + dt.timedelta(days=1), 1), (None, 1), (d, -1), (d, None)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, predict int")
+    out = {(r["bucket"], r["group"]): r["count"] for r in reports.group_trend(df).collect()}
+    assert out == {(d, 1): 1, (d + dt.timedelta(days=1), 1): 1, (d, -1): 1}
+    raw = {(r["bucket"], r["group"]): r["count"] for r in reports.group_trend(df, dedupe=False).collect()}
+    assert raw[(d, 1)] == 2
