@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 
 from ..session import ensure_checkpoint_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: written to ``spark.checkpoint.dir`` (a shared
-    folder on a cluster), so lost executors do not force recomputation and
-    iterative plans stay short."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a Parquet table under ``spark.checkpoint.dir`` (a
+    shared folder on a cluster) and read it back.
+
+    This cuts the lineage like ``checkpoint()``, so a lost executor does not
+    force recomputation and iterative plans stay short, and it also gives the
+    optimizer fresh size statistics from the files. (A checkpointed Dataset
+    keeps the estimate of the plan it came from, and in iterative self-joins
+    those estimates multiply round after round.)
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = os.path.join(root, "tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -149,3 +149,45 @@ def brute_force_knn(points: DataFrame, k: int, vec: str = "reduced") -> pd.DataF
         for r, j in enumerate(order):
             rows.append((int(ids[i]), int(ids[j]), float(d[i, j]), r + 1))
     return pd.DataFrame(rows, columns=["row_id", "nbr", "d", "rank"])
+
+
+def fuzzy_graph(knn: DataFrame, k: int, n_iter: int = 64) -> DataFrame:
+    """D10 neighbour-graph variant: fuzzy membership per directed kNN edge,
+    then the fuzzy union ``a + b - a*b`` of the graph with its transpose.
+
+    Per row: rho = distance to the nearest neighbour at distance > 0, sigma
+    found by bisection (``n_iter`` steps inside one ``aggregate`` expression)
+    so that ``sum_j exp(-max(0, d_ij - rho) / sigma) = log2(k)``. Everything
+    is expressions over the row's k distances; the union is one full outer
+    join on the (unordered) edge key.
+    """
+    target = math.log2(max(k, 2))
+    rows = knn.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("d", "nbr"))).alias("nb"))
+    ds = F.transform("nb", lambda t: t["d"])
+    rho = F.coalesce(F.array_min(F.filter(ds, lambda d: d > 0)), F.lit(0.0))
+    rows = rows.withColumn("rho", rho).withColumn("_ds", ds)
+
+    def psum(sig):
+        return F.aggregate(F.col("_ds"), F.lit(0.0),
+                           lambda s, d: s + F.exp(-F.greatest(d - F.col("rho"), F.lit(0.0)) / sig))
+
+    init = F.struct(F.lit(0.0).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(1.0).alias("mid"))
+
+    def step(acc, _):
+        big = psum(acc["mid"]) > F.lit(target)
+        lo = F.when(big, acc["lo"]).otherwise(acc["mid"])
+        hi = F.when(big, acc["mid"]).otherwise(acc["hi"])
+        mid = F.when(hi == float("inf"), lo * 2).otherwise((lo + hi) / 2)
+        return F.struct(lo.alias("lo"), hi.alias("hi"), mid.alias("mid"))
+
+    sigma = F.aggregate(F.sequence(F.lit(1), F.lit(n_iter)), init, step)["mid"]
+    rows = rows.withColumn("sigma", F.greatest(sigma, F.lit(1e-12)))
+    directed = (rows.select("row_id", "rho", "sigma", F.explode("nb").alias("t"))
+                .select(F.col("row_id").alias("i"), F.col("t.nbr").alias("j"),
+                        F.exp(-F.greatest(F.col("t.d") - F.col("rho"), F.lit(0.0)) / F.col("sigma")).alias("w")))
+    fwd = directed.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"),
+                          F.when(F.col("i") < F.col("j"), F.col("w")).alias("w_ab"),
+                          F.when(F.col("i") > F.col("j"), F.col("w")).alias("w_ba"))
+    both = fwd.groupBy("a", "b").agg(F.max("w_ab").alias("p"), F.max("w_ba").alias("q"))
+    p, q = F.coalesce(F.col("p"), F.lit(0.0)), F.coalesce(F.col("q"), F.lit(0.0))
+    return both.select("a", "b", (p + q - p * q).alias("w"))

@@ -714,3 +714,72 @@ def q_stream_score(spark, sf_dir):
     q = scoring.score_stream(stream, bundle, os.path.join(root, "out"), os.path.join(root, "ckpt"))
     q.awaitTermination()
     return spark.read.parquet(os.path.join(root, "out")).select("row_id", "predict", "choice1", "distance")
+
+
+# ============================================================ A: round trips
+def _scratch(spark, tag: str) -> str:
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), f"{tag}_{uuid.uuid4().hex[:10]}")
+
+
+@register("A8_export_round_trip", _with(CORPUS_CTE) + """
+SELECT text, ref, ts, target, predict, "set" FROM corpus""")
+def q_export_round_trip(spark, sf_dir):
+    """A8 + A9 + A1: the corpus exported as CSV (whole multi-line texts,
+    quotes, padding) and read back with the export profile."""
+    from ..sources import files
+    path = files.export_csv(_corpus(spark, sf_dir), _scratch(spark, "export"))
+    back = files.read_export(spark, path)
+    return back.select("text", "ref", "ts", "target", "predict", "set")
+
+
+@register("A2_json_round_trip", _with(CORPUS_CTE) + """
+SELECT row_id AS ref, text, ts, "set" FROM corpus""")
+def q_json_round_trip(spark, sf_dir):
+    """A2: the corpus written as JSON Lines and read back by role, with the
+    text under another field name."""
+    from ..sources import files
+    path = _scratch(spark, "json")
+    (_corpus(spark, sf_dir).select(F.col("text").alias("body"), "row_id", "ts", "set")
+     .write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path))
+    back = files.read_json_roles(spark, path, {"text": "body", "ref": "row_id", "ts": "ts", "set": "set"},
+                                 layout="lines")
+    return back.select(F.col("ref").cast("long").alias("ref"), "text", "ts", "set")
+
+
+@register("E1_noise_counts", _with(CORPUS_CTE, TRAIN_CTE) + """
+SELECT count_if(predict = -1) AS no_group, count(*) - count_if(predict = -1) AS has_group FROM train""")
+def q_noise_counts(spark, sf_dir):
+    """Noise and grouped counts of the train rows."""
+    return summarise.noise_counts(_corpus(spark, sf_dir).where(F.col("set") == "train"))
+
+
+@register("E23_train_result_groups", _with(CORPUS_CTE, TRAIN_CTE, MEMBER_DIMS_CTE, CENT_DIMS_CTE,
+                                           MEMBER_DIST_CTE, SUMMARY_CTE) + f"""
+SELECT CAST(grp AS INTEGER) AS "group", round(x, {R}) AS x, round(y, {R}) AS y, cnt AS "count",
+       round(radius, {R}) AS distance, repr_text FROM summ""")
+def q_train_result(spark, sf_dir):
+    """The group table as read back after training (no mean vector)."""
+    from ..sources.bundle import Bundle
+    from . import pipeline
+    corpus, train, summ = _summaries(spark, sf_dir)
+    b = Bundle(tables={"group_summaries": summ, "group_stats": summarise.group_stats(train, summ, 64)})
+    _, groups, _ = pipeline.read_train_result(b)
+    return groups.select("group", _r("x").alias("x"), _r("y").alias("y"), "count",
+                         _r("distance").alias("distance"), "repr_text")
+
+
+@register("D12_density_predict")
+def q_density_predict(spark, sf_dir):
+    """Dev rows take the group of the nearest train row by mutual
+    reachability (train labels from D11)."""
+    corpus = _corpus(spark, sf_dir)
+    train, (labels, _, _) = _clustered(spark, sf_dir)
+    lab_train = density.assign_labels(train.withColumn("predict", F.lit(None).cast("int")), labels)
+    knn = neighbours.knn_graph(lab_train, 5, vec="reduced")
+    core = density.core_distances(knn, 5)
+    dev = corpus.where(F.col("set") == "dev")
+    return density.predict_density(lab_train, dev, core).select("row_id", "predict")

@@ -57,7 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df, eager: bool = True):
-    """Cut a long lineage with a reliable checkpoint into the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df):
+    """Cut a long lineage with a table written into the shared folder."""
+    from .functions.materialize import materialize
+    return materialize(df)
