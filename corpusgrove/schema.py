@@ -85,9 +85,10 @@ class ClusteringParams:
     cluster_selection_method: str = "eom"
     alpha: float = 1.0
     cluster_selection_epsilon: float = 0.0
-    # Exact kNN above this many rows switches to the bucketed candidate path.
-    exact_knn_max_rows: int = 200_000
+    # kNN cells hold at most 4 x this many candidates (hot cells are split)
     knn_block_size: int = 512
+    # MST edges per band of the distributed hierarchy (one task per component of a band)
+    band_edges: int = 100_000
 
 
 @dataclass

@@ -101,3 +101,23 @@ def test_leaf_selection_and_predict(spark):
     g0 = train.where("row_id = 0").first()["predict"]
     g1 = train.where("row_id = 80").first()["predict"]
     assert got[1000] == g0 and got[1001] == g1
+
+
+def test_banded_hierarchy_equals_single_task(spark):
+    from corpusgrove.operators import hierarchy
+    rng = np.random.default_rng(7)
+    X = np.vstack([rng.normal(c, 0.4, size=(40, 2)) for c in [(0, 0), (4, 4), (0, 5)]] +
+                  [rng.uniform(-2, 6, size=(15, 2))])
+    df = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(X)],
+                               "row_id long, reduced array<double>")
+    knn = neighbours.knn_graph(df, 5)
+    core = density.core_distances(knn, 5)
+    mst = density.boruvka_mst(df.select("row_id"), density.mutual_reachability(knn, core)).cache()
+    pdf = mst.toPandas()
+    ref = density._condense(pdf, np.arange(len(X)), 8, "eom", 0.0)
+    want = ref[ref.kind == "label"].set_index("row_id")["grp"].sort_index().to_numpy()
+    labels, tree = hierarchy.condense_banded(mst, df.select("row_id"), 8, "eom", band_edges=30)
+    got = labels.toPandas().set_index("row_id")["predict"].sort_index().to_numpy()
+    assert (got == want).all()
+    rt = ref[(ref.kind == "tree") & (ref.selected == True)]  # noqa: E712
+    assert sorted(np.round(rt.stability, 6)) == sorted(np.round(tree.where("selected").toPandas().stability, 6))
