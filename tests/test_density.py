@@ -121,3 +121,26 @@ def test_banded_hierarchy_equals_single_task(spark):
     assert (got == want).all()
     rt = ref[(ref.kind == "tree") & (ref.selected == True)]  # noqa: E712
     assert sorted(np.round(rt.stability, 6)) == sorted(np.round(tree.where("selected").toPandas().stability, 6))
+
+
+def test_fuzzy_graph(spark):
+    df, X = blobs(spark, noise=0)
+    k = 6
+    knn = neighbours.knn_graph(df, k)
+    g = neighbours.fuzzy_graph(knn, k).toPandas()
+    assert (g.a < g.b).all() and g.w.between(0, 1).all()
+    # directed memberships sum to log2(k) per row (bisection target)
+    kp = knn.toPandas()
+    i = int(kp.row_id.iloc[0])
+    d = np.sort(kp[kp.row_id == i].d.to_numpy())
+    rho = d[d > 0].min()
+    # recover sigma by the same bisection on the driver for one row
+    lo, hi, mid = 0.0, np.inf, 1.0
+    for _ in range(64):
+        s = np.exp(-np.maximum(d - rho, 0) / mid).sum()
+        if s > np.log2(k):
+            hi = mid
+        else:
+            lo = mid
+        mid = lo * 2 if np.isinf(hi) else (lo + hi) / 2
+    assert np.exp(-np.maximum(d - rho, 0) / mid).sum() == pytest.approx(np.log2(k), rel=1e-6)
