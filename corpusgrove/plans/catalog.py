@@ -783,3 +783,14 @@ def q_density_predict(spark, sf_dir):
     core = density.core_distances(knn, 5)
     dev = corpus.where(F.col("set") == "dev")
     return density.predict_density(lab_train, dev, core).select("row_id", "predict")
+
+
+@register("D10_spectral_coordinates")
+def q_spectral(spark, sf_dir):
+    """D10 neighbour-graph variant: fuzzy kNN graph of the train rows, then
+    2 spectral coordinates by subspace iteration."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    knn = neighbours.knn_graph(train, 15, vec="reduced", cell_size=2048)
+    graph = neighbours.fuzzy_graph(knn, 15)
+    return neighbours.spectral_coordinates(graph, k=2, n_iter=20).select(
+        "row_id", F.size("coords").alias("dim"))

@@ -144,3 +144,22 @@ def test_fuzzy_graph(spark):
             lo = mid
         mid = lo * 2 if np.isinf(hi) else (lo + hi) / 2
     assert np.exp(-np.maximum(d - rho, 0) / mid).sum() == pytest.approx(np.log2(k), rel=1e-6)
+
+
+def test_spectral_coordinates_match_numpy(spark):
+    # two dense groups joined by one weak edge: a clear spectral gap
+    edges = [(a, b, 1.0) for g in (0, 15) for a in range(g, g + 15) for b in range(a + 1, g + 15)]
+    edges.append((3, 20, 0.1))
+    g = spark.createDataFrame(edges, "a long, b long, w double")
+    co = neighbours.spectral_coordinates(g, k=1, n_iter=25).toPandas().set_index("row_id").sort_index()
+    got = np.array([c[0] for c in co["coords"]])
+    W = np.zeros((30, 30))
+    for a, b, w in edges:
+        W[a, b] = W[b, a] = w
+    d = W.sum(1)
+    A = W / np.sqrt(np.outer(d, d))
+    vals, vecs = np.linalg.eigh(A)
+    fiedler = vecs[:, -2]
+    cos = abs(got @ fiedler) / (np.linalg.norm(got) * np.linalg.norm(fiedler))
+    assert cos > 0.999
+    assert (np.sign(got[:15]) == np.sign(got[0])).all() and (np.sign(got[15:]) == -np.sign(got[0])).all()

@@ -27,3 +27,13 @@ def test_filter_pushdown_and_pruning(spark):
     # text and vectors are not needed by this query, so they are not read
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in p
     assert "ReadSchema: struct<vec_id:bigint>" in p
+
+
+def test_scatter_limit_is_window_group_limit(spark):
+    from pyspark.sql import functions as F
+
+    from corpusgrove.operators import reports
+    from corpusgrove.sources.tables import canonical_corpus
+    train = canonical_corpus(spark, SF_SMALL).where(F.col("set") == "train")
+    out = reports.scatter_sample(train, cap=20)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
