@@ -99,7 +99,8 @@ def read_json_roles(spark: SparkSession, path: str, roles: dict, layout: str = "
     (read as ``map<string, struct>`` and exploded; the key becomes ``_key``).
     The role projection runs once, after reading (fixes Q5)."""
     if layout == "auto":
-        layout = _sniff_json(path)
+        # sniffing opens the file locally; remote paths default to JSON Lines
+        layout = "lines" if "://" in path and not path.startswith("file://") else _sniff_json(path)
     if layout == "lines":
         df = spark.read.json(path)
     elif layout == "array":
