@@ -89,13 +89,15 @@ def group_summaries(train: DataFrame, dim: int | None = None, vec: str = "reduce
                  .agg(F.max("d").alias("max_dist"),
                       (F.max("d") - F.min("d")).alias("distance"),
                       F.min_by(F.struct("row_id", "text"), F.struct("d", "row_id")).alias("repr")))
-    out = cents.join(per_group, "group")
+    out = materialize(cents.join(per_group, "group"))
     min_radius = out.select(F.min("distance")).scalar()
-    return out.select(
+    # one row per group: written once, so the size checks, scalar subqueries
+    # and joins downstream never re-run the member aggregation
+    return materialize(out.select(
         F.col("group").cast("int").alias("group"), "mean", "x", "y", "count", "distance", "max_dist",
         F.try_divide(F.col("distance"), F.nullif(min_radius, F.lit(0.0))).alias("rel_size"),
         F.col("repr.row_id").alias("repr_id"), F.col("repr.text").alias("repr_text"),
-    )
+    ))
 
 
 def max_distance(summaries: DataFrame, dim: int) -> DataFrame:
