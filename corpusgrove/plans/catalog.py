@@ -99,8 +99,8 @@ def q_group_centroids(spark, sf_dir):
 cd AS (SELECT cent.grp, sqrt(sum((cent.m - gm.m) * (cent.m - gm.m))) AS d
        FROM cent JOIN gm USING (i) GROUP BY cent.grp)
 SELECT (SELECT count(DISTINCT grp) FROM cent) AS num_group,
-       (SELECT count_if(predict = -1) FROM train) AS no_group,
-       (SELECT count(*) - count_if(predict = -1) FROM train) AS has_group,
+       (SELECT CAST(count_if(predict = -1) AS BIGINT) FROM train) AS no_group,
+       (SELECT CAST(count(*) - count_if(predict = -1) AS BIGINT) FROM train) AS has_group,
        round(nullif(2 * (SELECT max(d) FROM cd), 0), {R}) AS max_distance""")
 def q_group_stats(spark, sf_dir):
     _, train, summ = _summaries(spark, sf_dir)
@@ -262,7 +262,7 @@ def q_load_documents(spark, sf_dir):
     from ..sources.tables import read_table
     docs = read_table(spark, sf_dir, "documents").select("text", F.col("source").alias("ref"))
     corpus = curate.append_rows(None, docs)
-    return corpus.select("row_id", "ref", F.length("text").alias("n_chars"), "set")
+    return corpus.select("row_id", "ref", F.length("text").cast("long").alias("n_chars"), "set")
 
 
 @register("B2_dedupe_keep_first", _with(CORPUS_CTE) + """
@@ -751,7 +751,8 @@ def q_json_round_trip(spark, sf_dir):
 
 
 @register("E1_noise_counts", _with(CORPUS_CTE, TRAIN_CTE) + """
-SELECT count_if(predict = -1) AS no_group, count(*) - count_if(predict = -1) AS has_group FROM train""")
+SELECT CAST(count_if(predict = -1) AS BIGINT) AS no_group,
+       CAST(count(*) - count_if(predict = -1) AS BIGINT) AS has_group FROM train""")
 def q_noise_counts(spark, sf_dir):
     """Noise and grouped counts of the train rows."""
     return summarise.noise_counts(_corpus(spark, sf_dir).where(F.col("set") == "train"))
