@@ -653,7 +653,7 @@ def q_tree_filter(spark, sf_dir):
     return tree.tree_filter(ctree, groups)
 
 
-@register("H1_train_pipeline")
+@register("H1_train_model")
 def q_train(spark, sf_dir):
     """H1: load documents -> embed -> reduce -> cluster -> summarise."""
     from . import pipeline
