@@ -9,17 +9,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def windowed_trend(stream: DataFrame, ts: str = "ts", group: str = "predict", width: str = "1 day",
                    watermark: str = "1 hour") -> DataFrame:
-    """Counts per (window start, group); rows with NULL ts or group are left out."""
+    """Counts per (window start, group); rows with NULL ts or group are left out.
+
+    Watermarks need an instant (TIMESTAMP), while the corpus keeps wall-clock
+    TIMESTAMP_NTZ, so the event time is taken as UTC (the session time zone
+    the library sets) and the window start is returned as TIMESTAMP_NTZ."""
     rows = stream.where(F.col(ts).isNotNull() & F.col(group).isNotNull())
+    ntz = isinstance(stream.schema[ts].dataType, T.TimestampNTZType)
+    evt = "_event_time"
+    rows = rows.withColumn(evt, F.col(ts).cast("timestamp") if ntz else F.col(ts))
     if watermark:
-        rows = rows.withWatermark(ts, watermark)
-    return (rows.groupBy(F.window(ts, width).alias("w"), F.col(group).alias("group"))
+        rows = rows.withWatermark(evt, watermark)
+    start = F.col("w.start").cast("timestamp_ntz") if ntz else F.col("w.start")
+    return (rows.groupBy(F.window(evt, width).alias("w"), F.col(group).alias("group"))
             .agg(F.count(F.lit(1)).alias("count"))
-            .select(F.col("w.start").alias("bucket"), "group", "count"))
+            .select(start.alias("bucket"), "group", "count"))
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", checkpoint_dir: str | None = None):
