@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.sizing import broadcast_budget, row_count
+from ..functions.sizing import broadcast_budget
 
 
 def _score_block(cands, vec: str, metric: str, k: int):
@@ -45,9 +45,8 @@ def nearest_groups(rows: DataFrame, cents: DataFrame, k: int = 1, vec: str = "re
     radius = F.col("distance").cast("double") if "distance" in cents.columns else F.lit(None).cast("double")
     cents = cents.select(F.col("group").cast("int").alias("group"),
                          V.as_double("mean").alias("mean"), radius.alias("r"))
-    n_groups = row_count(cents)
-    dim_row = cents.select(F.size("mean").alias("d")).first()
-    dim = int(dim_row["d"]) if dim_row else 0
+    size_row = cents.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("mean")).alias("d")).first()
+    n_groups, dim = int(size_row["n"]), int(size_row["d"] or 0)
     est_bytes = n_groups * (16 + 8 * dim)
     if est_bytes <= budget:
         cand_list = cents.select(F.collect_list(F.struct("group", "mean", "r")).alias("c")).scalar()
