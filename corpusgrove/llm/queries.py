@@ -111,10 +111,10 @@ WITH RECURSIVE w AS (
   UNION ALL SELECT doc_id, words[1] FROM w WHERE len(words) = 1
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
-), both AS (
+), common AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT x, y FROM both JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+  SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
 ), e AS (
   SELECT x, y FROM links UNION ALL SELECT y, x FROM links
 ), reach AS (
