@@ -73,8 +73,8 @@ def assign_nearest(dev: DataFrame, summaries: DataFrame, vec: str = "reduced",
                    metric: str = "euclidean", **kw) -> DataFrame:
     """Every dev row gets its nearest group and the distance (never -1)."""
     out = nearest_groups(dev, summaries, k=1, vec=vec, metric=metric, **kw)
-    return (out.withColumn("predict", F.col("top")[0]["g"])
-            .withColumn("distance", F.col("top")[0]["d"])
+    return (out.withColumn("predict", F.get("top", 0)["g"])
+            .withColumn("distance", F.get("top", 0)["d"])
             .drop("top"))
 
 
@@ -91,9 +91,9 @@ def score_rows(rows: DataFrame, summaries: DataFrame, vec: str = "reduced",
     top = F.col("top")
     out = out.select(
         "*",
-        top[0]["g"].alias("choice1"), F.get(top, 1)["g"].alias("choice2"), F.get(top, 2)["g"].alias("choice3"),
-        top[0]["d"].alias("distance"), F.get(top, 1)["d"].alias("distance2"), F.get(top, 2)["d"].alias("distance3"),
-        top[0]["r"].alias("radius"),
+        F.get(top, 0)["g"].alias("choice1"), F.get(top, 1)["g"].alias("choice2"), F.get(top, 2)["g"].alias("choice3"),
+        F.get(top, 0)["d"].alias("distance"), F.get(top, 1)["d"].alias("distance2"), F.get(top, 2)["d"].alias("distance3"),
+        F.get(top, 0)["r"].alias("radius"),
     ).drop("top")
     return (out.withColumn("nearest", F.col("choice1"))
             .withColumn("predict", F.when(F.col("distance") <= F.col("radius"), F.col("choice1"))

@@ -32,35 +32,46 @@ from ..functions.materialize import materialize
 EDGE_SCHEMA = "row_id long, nbr long, d double"
 
 
-def _brute_force(k: int):
+#: rows of a query block that meets the candidates of a sub-cell at once
+QUERY_BLOCK = 512
+
+
+def _brute_force(k: int, foreign: bool = False, alpha: float = 1.0, own: bool = True):
+    """The k nearest candidates of each query by (exact distance, id); with
+    ``own`` a query is no candidate of itself. With ``foreign``: candidates of
+    other components only, by mutual reachability."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cand = pdf[pdf["_role"] == 1]
         qry = pdf[pdf["_role"] == 0]
         if cand.empty or qry.empty:
             return pd.DataFrame({"row_id": [], "nbr": [], "d": []})
+        cand = cand.sort_values("row_id")
         C = np.stack(cand["_v"].to_numpy()).astype(float)
-        Q = np.stack(qry["_v"].to_numpy()).astype(float)
         cid = cand["row_id"].to_numpy()
-        qid = qry["row_id"].to_numpy()
-        d2 = (Q * Q).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * Q @ C.T
-        np.maximum(d2, 0.0, out=d2)
-        d2[qid[:, None] == cid[None, :]] = np.inf  # never your own neighbour
-        kk = min(k, C.shape[0])
-        idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < C.shape[0] else np.tile(
-            np.arange(C.shape[0]), (Q.shape[0], 1))
-        rows = np.repeat(qid, idx.shape[1])
-        nbr = cid[idx].ravel()
-        dd = np.sqrt(np.take_along_axis(d2, idx, axis=1)).ravel()
-        keep = np.isfinite(dd)
-        # exact distances for the kept pairs (the Gram form loses precision)
-        out = pd.DataFrame({"row_id": rows[keep], "nbr": nbr[keep], "d": dd[keep]})
-        if not out.empty:
-            qpos = {v: i for i, v in enumerate(qid)}
-            cpos = {v: i for i, v in enumerate(cid)}
-            qi = out["row_id"].map(qpos).to_numpy()
-            ci = out["nbr"].map(cpos).to_numpy()
-            out["d"] = np.sqrt(((Q[qi] - C[ci]) ** 2).sum(1))
-        return out
+        parts = []
+        for a in range(0, len(qry), QUERY_BLOCK):
+            block = qry.iloc[a:a + QUERY_BLOCK]
+            Q = np.stack(block["_v"].to_numpy()).astype(float)
+            qid = block["row_id"].to_numpy()
+            d2 = np.zeros((len(Q), len(C)))
+            for j in range(C.shape[1]):  # differences, not the Gram form: equal points are at distance 0
+                d2 += np.subtract.outer(Q[:, j], C[:, j]) ** 2
+            d = np.sqrt(d2)
+            if foreign:
+                d = np.maximum(np.maximum(d / alpha, block["_core"].to_numpy()[:, None]), cand["_core"].to_numpy()[None, :])
+                d[block["_comp"].to_numpy()[:, None] == cand["_comp"].to_numpy()[None, :]] = np.inf
+            if own:
+                d[qid[:, None] == cid[None, :]] = np.inf  # never your own neighbour
+            kk = min(k, d.shape[1])
+            kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+            qi, ci = np.nonzero((d <= kth[:, None]) & np.isfinite(d))  # all ties of the k-th
+            dist = d[qi, ci]
+            order = np.lexsort((cid[ci], dist, qi))
+            qi, ci, dist = qi[order], ci[order], dist[order]
+            rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
+            keep = rank < kk
+            parts.append(pd.DataFrame({"row_id": qid[qi[keep]], "nbr": cid[ci[keep]], "d": dist[keep]}))
+        return pd.concat(parts)
     return run
 
 
@@ -87,42 +98,92 @@ def _cells(points: DataFrame, vec: str, cell_size: int, seed: int):
     stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("_dc").alias("radius"))
     stats = stats.withColumn("nsub", F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(cell_size))).cast("int"))
     stats = materialize(stats)
-    cells = (cells.join(F.broadcast(stats.select("cell", "nsub")), "cell")
+    cells = (cells.join(stats.select("cell", "nsub"), "cell")
              .withColumn("sub", F.pmod(F.xxhash64("row_id"), F.col("nsub")).cast("int")))
     return materialize(cells.select("row_id", vec, "cell", "sub")), stats, centres
 
 
-def knn_graph(points: DataFrame, k: int, vec: str = "reduced", cell_size: int = 2048,
-              seed: int = 42) -> DataFrame:
-    """(row_id, nbr, d, rank) for the k nearest other points, exact."""
-    pts = points.select("row_id", V.as_double(vec).alias("_v"))
-    cells, stats, centres = _cells(pts, "_v", cell_size, seed)
-    run = _brute_force(k)
+def point_index(points: DataFrame, vec: str = "reduced", cell_size: int = 2048, seed: int = 42):
+    """Cells of the points for any number of searches: (cells, stats, centres)."""
+    return _cells(points.select("row_id", V.as_double(vec).alias("_v")), "_v", cell_size, seed)
+
 
-    def groups(queries: DataFrame) -> DataFrame:
-        cand = cells.select("row_id", "_v", "cell", "sub", F.lit(1).alias("_role"))
-        q = queries.select("row_id", "_v", "cell", "sub", F.lit(0).alias("_role"))
-        return (q.unionByName(cand).groupBy("cell", "sub").applyInPandas(run, EDGE_SCHEMA))
+def _groups(cand: DataFrame, queries: DataFrame, run) -> DataFrame:
+    """Queries (with a cell and sub-cell each) against its candidates."""
+    q = queries.withColumn("_role", F.lit(0))
+    c = cand.withColumn("_role", F.lit(1)).select(*q.columns)
+    return q.unionByName(c).groupBy("cell", "sub").applyInPandas(run, EDGE_SCHEMA)
+
+
+def _reachable(index, queries: DataFrame) -> DataFrame:
+    """A row for each query and (cell, sub-cell) that may hold a point within
+    the query's bound ``r``."""
+    _, stats, centres = index
+    if centres is None:
+        subs = F.explode(F.sequence(F.lit(0), F.lit(int(stats.first()["nsub"]) - 1)))
+        return queries.drop("r").withColumn("cell", F.lit(0)).withColumn("sub", subs)
+    cell_list = stats.join(centres.withColumnRenamed("group", "cell"), "cell")
+    cl = cell_list.select(F.collect_list(F.struct("cell", "mean", "radius", "nsub")).alias("c")).scalar()
+    reach = F.filter(F.col("_cl"), lambda c: (V.euclidean("_v", c["mean"]) - c["radius"]) <= F.col("r") * (1 + 1e-9))
+    keep = [c for c in queries.columns if c != "r"]
+    return (queries.withColumn("_cl", cl).select(*keep, F.explode(reach).alias("c"))
+            .select(*keep, F.col("c.cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("c.nsub") - 1)).alias("sub")))
 
-    first = materialize(groups(cells))
+
+def knn_graph(points: DataFrame, k: int, vec: str = "reduced", cell_size: int = 2048,
+              seed: int = 42, index=None) -> DataFrame:
+    """(row_id, nbr, d, rank) for the k nearest other points, exact; equal
+    distances go to the smaller id."""
+    index = index or point_index(points, vec, cell_size, seed)
+    cells, _, centres = index
+    run = _brute_force(k)
+    cand = cells.select("row_id", "_v", "cell", "sub")
+    first = materialize(_groups(cand, cand, run))
     merged = _merge(first, k)
     if centres is None:
         return _ranked(merged)
-    # refinement: cells whose lower bound beats the current k-th distance
+    # refinement: cells whose lower bound does not exceed the current k-th distance
     kth = merged.select("row_id", F.when(F.size("top") >= k, F.col("top")[k - 1]["d"])
                         .otherwise(F.lit(float("inf"))).alias("r"))
-    info = cells.join(kth, "row_id")
-    cell_list = stats.join(centres.withColumnRenamed("group", "cell"), "cell")
-    cl = cell_list.select(F.collect_list(F.struct("cell", "mean", "radius", "nsub")).alias("c")).scalar()
-    reach = F.filter(F.col("_cl"), lambda c: (V.euclidean("_v", c["mean"]) - c["radius"]) < F.col("r"))
-    cand_cells = (info.withColumn("_cl", cl)
-                  .select("row_id", "_v", "r", "cell", "sub", F.explode(reach).alias("c")))
-    q2 = (cand_cells.select("row_id", "_v", F.col("c.cell").alias("tcell"), "cell", "sub",
-                            F.explode(F.sequence(F.lit(0), F.col("c.nsub") - 1)).alias("tsub"))
-          .where(~((F.col("tcell") == F.col("cell")) & (F.col("tsub") == F.col("sub"))))
-          .select("row_id", "_v", F.col("tcell").alias("cell"), F.col("tsub").alias("sub")))
-    second = groups(q2)
-    return _ranked(_merge(first.unionByName(second), k))
+    info = (cells.withColumnRenamed("cell", "_cell").withColumnRenamed("sub", "_sub").join(kth, "row_id", "left")
+            .withColumn("r", F.coalesce("r", F.lit(float("inf")))))
+    again = (_reachable(index, info).where(~((F.col("_cell") == F.col("cell")) & (F.col("_sub") == F.col("sub"))))
+             .select("row_id", "_v", "cell", "sub"))
+    return _ranked(_merge(first.unionByName(_groups(cand, again, run)), k))
+
+
+def knn_search(index, queries: DataFrame, k: int, vec: str = "reduced") -> DataFrame:
+    """(row_id, nbr, d, rank): the k nearest indexed points of other rows. Query
+    ids may equal ids of indexed points."""
+    from .assign import nearest_groups
+    cells, stats, centres = index
+    cand, run = cells.select("row_id", "_v", "cell", "sub"), _brute_force(k, own=False)
+    q = queries.select("row_id", V.as_double(vec).alias("_v"))
+    if centres is None:
+        return _ranked(_merge(_groups(cand, _reachable(index, q), run), k))
+    near = nearest_groups(q, centres, k=1, vec="_v").select("row_id", "_v", F.get("top", 0)["g"].alias("_cell"))
+    own = near.join(stats.select(F.col("cell").alias("_cell"), "nsub"), "_cell").select(
+        "row_id", "_v", F.col("_cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)).alias("sub"))
+    first = materialize(_groups(cand, own, run))
+    kth = _merge(first, k).select("row_id", F.when(F.size("top") >= k, F.col("top")[k - 1]["d"]).otherwise(F.lit(float("inf"))).alias("r"))
+    info = near.join(kth, "row_id", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
+    again = _reachable(index, info).where(F.col("_cell") != F.col("cell")).select("row_id", "_v", "cell", "sub")
+    return _ranked(_merge(first.unionByName(_groups(cand, again, run)), k))
+
+
+def foreign_neighbours(index, labelled: DataFrame, queries: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(row_id, nbr, d): for each query the point of another component that is
+    nearest by mutual reachability, if it is within the query's bound.
+
+    ``labelled`` has (row_id, comp, core) of all indexed points, ``queries``
+    (row_id, bound). Mutual reachability is never below distance / alpha, so a cell
+    farther off than bound * alpha cannot matter."""
+    cells = index[0]
+    cand = (cells.join(labelled, "row_id").select("row_id", "_v", "cell", "sub", F.col("comp").alias("_comp"),
+                                                  F.col("core").alias("_core")))
+    q = cand.drop("cell", "sub").join(queries, "row_id").withColumn("r", F.col("bound") * F.lit(alpha)).drop("bound")
+    found = _groups(cand, _reachable(index, q), _brute_force(1, foreign=True, alpha=alpha))
+    return found.groupBy("row_id").agg(F.min(F.struct("d", "nbr")).alias("m")).select("row_id", "m.nbr", "m.d")
 
 
 def _merge(edges: DataFrame, k: int) -> DataFrame:

@@ -1,7 +1,9 @@
 """Registered queries: one Spark plan per operator id, each with the same
 result spelled as DuckDB SQL over the driver's tables.
 
-Every query reads the given tables whole. Doubles are rounded to 6 places in
+Every query reads the given tables whole. Queries on texts keep every document
+(``text_corpus``); queries on vectors keep the documents that have one
+(``canonical_corpus``). Doubles are rounded to 6 places in
 both forms so that summation order does not change the compared values.
 """
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import assign, summarise
-from ..sources.tables import CANONICAL_CORPUS_SQL, canonical_corpus
+from ..sources.tables import CANONICAL_CORPUS_SQL, TEXT_CORPUS_SQL, canonical_corpus, text_corpus
 
 R = 6  # decimal places compared
 
@@ -37,6 +39,7 @@ def _r(c, places: int = R):
 
 # ---------------------------------------------------------------- SQL pieces
 CORPUS_CTE = f"corpus AS ({CANONICAL_CORPUS_SQL})"
+TEXTS_CTE = f"corpus AS ({TEXT_CORPUS_SQL})"
 TRAIN_CTE = "train AS (SELECT * FROM corpus WHERE \"set\" = 'train')"
 # member vectors, one row per (row, dimension)
 MEMBER_DIMS_CTE = """tv AS (
@@ -173,55 +176,59 @@ def _corpus(spark, sf_dir):
     return canonical_corpus(spark, sf_dir)
 
 
-@register("B10_filter_combined", _with(CORPUS_CTE) + """
+def _texts(spark, sf_dir):
+    return text_corpus(spark, sf_dir)
+
+
+@register("B10_filter_combined", _with(TEXTS_CTE) + """
 SELECT row_id, "set", predict, ts FROM corpus
 WHERE ts > TIMESTAMP '2024-01-01 06:00:00' AND ts < TIMESTAMP '2024-01-01 18:00:00'
   AND (predict BETWEEN 5 AND 7 OR predict IN (1, 3))""")
 def q_filter_combined(spark, sf_dir):
     """Ts range AND predict list with a range."""
-    return filters.filter_corpus(_corpus(spark, sf_dir), COMBINED).select("row_id", "set", "predict", "ts")
+    return filters.filter_corpus(_texts(spark, sf_dir), COMBINED).select("row_id", "set", "predict", "ts")
 
 
-@register("B12_filter_text_regex", _with(CORPUS_CTE) + f"""
+@register("B12_filter_text_regex", _with(TEXTS_CTE) + f"""
 SELECT row_id, ref FROM corpus WHERE regexp_matches(text, '(?i)' || '{REGEX}')""")
 def q_filter_text(spark, sf_dir):
     """Case-insensitive regex search over whole texts."""
-    return filters.filter_corpus(_corpus(spark, sf_dir), REGEX).select("row_id", "ref")
+    return filters.filter_corpus(_texts(spark, sf_dir), REGEX).select("row_id", "ref")
 
 
-@register("B14_filter_ref_target", _with(CORPUS_CTE) + """
+@register("B14_filter_ref_target", _with(TEXTS_CTE) + """
 SELECT row_id, ref, target FROM corpus WHERE ref = 'src3' AND target IN (1)""")
 def q_filter_ref_target(spark, sf_dir):
     """B14, B16 (and an ignored bad list item, an empty conjunct)."""
-    return (filters.filter_corpus(_corpus(spark, sf_dir), "ref: src3 && target:1,x && ")
+    return (filters.filter_corpus(_texts(spark, sf_dir), "ref: src3 && target:1,x && ")
             .select("row_id", "ref", "target"))
 
 
-@register("B11_filter_negative_and_reversed", _with(CORPUS_CTE) + """
+@register("B11_filter_negative_and_reversed", _with(TEXTS_CTE) + """
 SELECT row_id FROM corpus WHERE predict IN (-1, 2)""")
 def q_filter_negative(spark, sf_dir):
     """B11: '-1' parses as minus one, a reversed range is empty."""
-    return filters.filter_corpus(_corpus(spark, sf_dir), "predict:-1,9-4,2").select("row_id")
+    return filters.filter_corpus(_texts(spark, sf_dir), "predict:-1,9-4,2").select("row_id")
 
 
-@register("B17_filter_builder", _with(CORPUS_CTE) + """
+@register("B17_filter_builder", _with(TEXTS_CTE) + """
 SELECT row_id FROM corpus
 WHERE ref = 'src1' AND ts < TIMESTAMP '2024-01-25 00:00:00' AND ts > TIMESTAMP '2024-01-02 00:00:00'
   AND predict BETWEEN 0 AND 4""")
 def q_filter_builder(spark, sf_dir):
     """A criteria string built from fields, then applied."""
     crit = filters.build_criteria(ref="src1", ts_before="2024-01-25", ts_after="2024-01-02", predict="0-4")
-    return filters.filter_corpus(_corpus(spark, sf_dir), crit).select("row_id")
+    return filters.filter_corpus(_texts(spark, sf_dir), crit).select("row_id")
 
 
-@register("B22_mark_filtered", _with(CORPUS_CTE) + """
+@register("B22_mark_filtered", _with(TEXTS_CTE) + """
 SELECT row_id, NOT coalesce(predict BETWEEN 1 AND 3, false) AS filtered FROM corpus""")
 def q_mark_filtered(spark, sf_dir):
     """Every row kept, flagged when outside the filter."""
-    return filters.mark_filtered(_corpus(spark, sf_dir), "predict:1-3").select("row_id", "filtered")
+    return filters.mark_filtered(_texts(spark, sf_dir), "predict:1-3").select("row_id", "filtered")
 
 
-@register("B19_search_page", _with(CORPUS_CTE) + """
+@register("B19_search_page", _with(TEXTS_CTE) + """
 , t AS (SELECT * FROM corpus WHERE "set" = 'train')
 SELECT row_id AS id, text, ts, ref, target, predict,
        (SELECT count(*) FROM t) AS total,
@@ -229,19 +236,19 @@ SELECT row_id AS id, text, ts, ref, target, predict,
 FROM t WHERE predict BETWEEN 2 AND 4 ORDER BY row_id LIMIT 20 OFFSET 5""")
 def q_search_page(spark, sf_dir):
     """Counts in one pass plus one ordered page (offset 5, 20 rows)."""
-    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    train = _texts(spark, sf_dir).where(F.col("set") == "train")
     counts = search.search_counts(train, "predict:2-4")
     page = search.search_page(train, "predict:2-4", start=5, count=20)
     return (page.withColumn("total", counts.select("total").scalar())
             .withColumn("filtered", counts.select("filtered").scalar()))
 
 
-@register("B21_truncate_null_empty", _with(CORPUS_CTE) + """
+@register("B21_truncate_null_empty", _with(TEXTS_CTE) + """
 SELECT row_id, substr(text, 1, 80) AS text, coalesce(CAST(target AS VARCHAR), '') AS target
 FROM corpus""")
 def q_truncate(spark, sf_dir):
     """80-character text and NULL shown as ''."""
-    c = _corpus(spark, sf_dir)
+    c = _texts(spark, sf_dir)
     return search.null_to_empty(c.select("row_id", search.truncate_text("text").alias("text"), "target"),
                                 ["target"])
 
@@ -265,25 +272,25 @@ def q_load_documents(spark, sf_dir):
     return corpus.select("row_id", "ref", F.length("text").cast("long").alias("n_chars"), "set")
 
 
-@register("B2_dedupe_keep_first", _with(CORPUS_CTE) + """
+@register("B2_dedupe_keep_first", _with(TEXTS_CTE) + """
 SELECT row_id, "set" FROM corpus
 WHERE "set" = 'dev' OR row_id IN (SELECT min(row_id) FROM corpus WHERE "set" = 'train' GROUP BY text)""")
 def q_dedupe(spark, sf_dir):
     """B2: keep-first by text inside train; dev untouched (Q8 default)."""
-    return curate.dedupe_keep_first(_corpus(spark, sf_dir)).select("row_id", "set")
+    return curate.dedupe_keep_first(_texts(spark, sf_dir)).select("row_id", "set")
 
 
-@register("B5_delete_rows", _with(CORPUS_CTE) + """
+@register("B5_delete_rows", _with(TEXTS_CTE) + """
 SELECT row_id, "set" FROM corpus c
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.row_id AND l.toxic = 1)""")
 def q_delete(spark, sf_dir):
     """Delete the rows labelled toxic (ids from a table)."""
     from ..sources.tables import read_table
     ids = read_table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select(F.col("doc_id").alias("row_id"))
-    return curate.delete_rows(_corpus(spark, sf_dir), ids).select("row_id", "set")
+    return curate.delete_rows(_texts(spark, sf_dir), ids).select("row_id", "set")
 
 
-@register("B6_copy_rows", _with(CORPUS_CTE) + """
+@register("B6_copy_rows", _with(TEXTS_CTE) + """
 SELECT row_id, "set" FROM corpus
 UNION ALL
 SELECT row_id, 'dev' AS "set" FROM corpus c
@@ -292,10 +299,10 @@ def q_copy(spark, sf_dir):
     """Copy good-quality train rows to dev (semi join)."""
     from ..sources.tables import read_table
     ids = read_table(spark, sf_dir, "labels").where(F.col("quality") == 1).select(F.col("doc_id").alias("row_id"))
-    return curate.copy_rows(_corpus(spark, sf_dir), ids, to="dev").select("row_id", "set")
+    return curate.copy_rows(_texts(spark, sf_dir), ids, to="dev").select("row_id", "set")
 
 
-@register("B7_move_rows", _with(CORPUS_CTE) + """
+@register("B7_move_rows", _with(TEXTS_CTE) + """
 SELECT row_id, CASE WHEN "set" = 'train' AND row_id IN (SELECT doc_id FROM labels WHERE quality = 0)
                     THEN 'dev' ELSE "set" END AS "set"
 FROM corpus""")
@@ -303,17 +310,17 @@ def q_move(spark, sf_dir):
     """Move low-quality train rows to dev in one pass."""
     from ..sources.tables import read_table
     ids = read_table(spark, sf_dir, "labels").where(F.col("quality") == 0).select(F.col("doc_id").alias("row_id"))
-    return curate.move_rows(_corpus(spark, sf_dir), ids, to="dev").select("row_id", "set")
+    return curate.move_rows(_texts(spark, sf_dir), ids, to="dev").select("row_id", "set")
 
 
-@register("B8_clear_set", _with(CORPUS_CTE) + """
+@register("B8_clear_set", _with(TEXTS_CTE) + """
 SELECT row_id, "set" FROM corpus WHERE "set" <> 'dev'""")
 def q_clear(spark, sf_dir):
     """Clear the dev set."""
-    return curate.clear_set(_corpus(spark, sf_dir), "dev").select("row_id", "set")
+    return curate.clear_set(_texts(spark, sf_dir), "dev").select("row_id", "set")
 
 
-@register("B9_reset_columns", _with(CORPUS_CTE) + """
+@register("B9_reset_columns", _with(TEXTS_CTE) + """
 SELECT row_id, "set",
        CASE WHEN "set" = 'dev' THEN NULL ELSE predict END AS predict,
        CASE WHEN "set" = 'dev' THEN NULL ELSE round(x, 6) END AS x,
@@ -321,7 +328,7 @@ SELECT row_id, "set",
 FROM corpus""")
 def q_reset(spark, sf_dir):
     """Reset predict (and so distance) and x on dev."""
-    out = curate.reset_columns(_corpus(spark, sf_dir), "dev", predict=True, x=True)
+    out = curate.reset_columns(_texts(spark, sf_dir), "dev", predict=True, x=True)
     return out.select("row_id", "set", "predict", _r("x").alias("x"), "distance")
 
 
@@ -689,11 +696,10 @@ def q_stream_trend(spark, sf_dir):
     from ..streaming import trend as strend
     schema = read_table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = "s2_" + uuid.uuid4().hex[:8]
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), name)
-    agg = strend.windowed_trend(stream, ts="ts", group="event_type", width="1 day", watermark=None)
-    strend.run_to_table(agg, name, mode="complete", checkpoint_dir=ckpt)
-    return spark.table(name).select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "group", "count")
+    root = os.path.join(ensure_checkpoint_dir(spark), "s2_" + uuid.uuid4().hex[:8])
+    agg = strend.windowed_trend(stream, ts="ts", group="event_type", width="1 day", watermark="1 hour")
+    done = strend.run_to_parquet(agg, os.path.join(root, "out"), os.path.join(root, "ckpt"))
+    return done.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "group", "count")
 
 
 @register("S1_streaming_scoring")
@@ -725,25 +731,25 @@ def _scratch(spark, tag: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{tag}_{uuid.uuid4().hex[:10]}")
 
 
-@register("A8_export_round_trip", _with(CORPUS_CTE) + """
+@register("A8_export_round_trip", _with(TEXTS_CTE) + """
 SELECT text, ref, ts, target, predict, "set" FROM corpus""")
 def q_export_round_trip(spark, sf_dir):
     """A8 + A9 + A1: the corpus exported as CSV (whole multi-line texts,
     quotes, padding) and read back with the export profile."""
     from ..sources import files
-    path = files.export_csv(_corpus(spark, sf_dir), _scratch(spark, "export"))
+    path = files.export_csv(_texts(spark, sf_dir), _scratch(spark, "export"))
     back = files.read_export(spark, path)
     return back.select("text", "ref", "ts", "target", "predict", "set")
 
 
-@register("A2_json_round_trip", _with(CORPUS_CTE) + """
+@register("A2_json_round_trip", _with(TEXTS_CTE) + """
 SELECT row_id AS ref, text, ts, "set" FROM corpus""")
 def q_json_round_trip(spark, sf_dir):
     """A2: the corpus written as JSON Lines and read back by role, with the
     text under another field name."""
     from ..sources import files
     path = _scratch(spark, "json")
-    (_corpus(spark, sf_dir).select(F.col("text").alias("body"), "row_id", "ts", "set")
+    (_texts(spark, sf_dir).select(F.col("text").alias("body"), "row_id", "ts", "set")
      .write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path))
     back = files.read_json_roles(spark, path, {"text": "body", "ref": "row_id", "ts": "ts", "set": "set"},
                                  layout="lines")
@@ -795,3 +801,71 @@ def q_spectral(spark, sf_dir):
     graph = neighbours.fuzzy_graph(knn, 15)
     return neighbours.spectral_coordinates(graph, k=2, n_iter=20).select(
         "row_id", F.size("coords").alias("dim"))
+
+
+CUTS = (0.9, 0.95, 1.0)
+
+
+@register("D11_linkage_cut", _with("RECURSIVE " + CORPUS_CTE, TRAIN_CTE) + f"""
+, dims AS (SELECT t.row_id, u.v, u.i FROM train t, UNNEST(t.reduced) WITH ORDINALITY AS u(v, i)),
+d AS (SELECT a.row_id AS x, b.row_id AS y, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS d
+      FROM dims a JOIN dims b ON a.i = b.i AND a.row_id <> b.row_id GROUP BY 1, 2),
+core AS (SELECT x, d AS c FROM d QUALIFY row_number() OVER (PARTITION BY x ORDER BY d, y) = 5),
+cuts AS (SELECT unnest([{', '.join(map(str, CUTS))}]) AS height),
+e AS (SELECT height, d.x, d.y FROM d JOIN core p ON p.x = d.x JOIN core q ON q.x = d.y, cuts
+      WHERE greatest(d.d, p.c, q.c) <= height),
+reach AS (SELECT height, row_id, row_id AS r FROM train, cuts
+          UNION SELECT reach.height, reach.row_id, e.y FROM reach JOIN e ON e.height = reach.height AND e.x = reach.r)
+SELECT CAST(height AS DOUBLE) AS height, row_id, min(r) AS component FROM reach GROUP BY height, row_id""")
+def q_linkage_cut(spark, sf_dir):
+    """Components of the exact mutual-reachability tree at three heights."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train").select("row_id", "reduced")
+    mst = density.mutual_reachability_mst(train, 5)
+    out = None
+    for h in CUTS:
+        part = density.linkage_cut(mst, train, h).select(F.lit(h).alias("height"), "row_id", "component")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("A1_csv_by_position", """
+SELECT doc_id AS ref, text, CAST('train' AS VARCHAR) AS "set" FROM documents WHERE text IS NOT NULL""")
+def q_csv_by_position(spark, sf_dir):
+    """A1: whole documents written as CSV behind a tag line and read back by
+    position; texts hold line breaks, quotes and lines that begin with the
+    comment sign."""
+    from ..sources import files
+    from ..sources.tables import read_table
+    path = _scratch(spark, "csv")
+    docs = read_table(spark, sf_dir, "documents").where("text is not null")
+    (docs.select("doc_id", "text").write.option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    back = files.read_csv_roles(spark, path, {"ref": 0, "text": 1, "set": "fixed:train"})
+    return back.select(F.col("ref").cast("long").alias("ref"), "text", "set")
+
+
+@register("A2_json_array", """
+SELECT item_id AS ref, text FROM benchmark""")
+def q_json_array(spark, sf_dir):
+    """A2: the benchmark as one JSON array, its layout found by reading it."""
+    from ..sources import files
+    from ..sources.tables import read_table
+    path = _scratch(spark, "json_array")
+    rows = read_table(spark, sf_dir, "benchmark").select(F.to_json(F.struct("item_id", "text")).alias("j"))
+    (rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value")).write.text(path))
+    back = files.read_json_roles(spark, path, {"ref": "item_id", "text": "text"})
+    return back.select(F.col("ref").cast("long").alias("ref"), "text")
+
+
+@register("A2_json_keyed", """
+SELECT CAST(item_id AS VARCHAR) AS ref, text FROM benchmark""")
+def q_json_keyed(spark, sf_dir):
+    """A2: the benchmark as one object keyed by row id."""
+    from ..sources import files
+    from ..sources.tables import read_table
+    path = _scratch(spark, "json_keyed")
+    rows = read_table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit('"'), F.col("item_id").cast("string"), F.lit('": '), F.to_json(F.struct("text"))).alias("j"))
+    (rows.agg(F.concat(F.lit("{"), F.array_join(F.collect_list("j"), ",\n"), F.lit("}")).alias("value")).write.text(path))
+    back = files.read_json_roles(spark, path, {"ref": "_key", "text": "text"})
+    return back.select("ref", "text")

@@ -51,13 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="corpusgrove-ckpt-", dir=os.environ.get("CG_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
 
-
-def cut_lineage(df):
-    """Cut a long lineage with a table written into the shared folder."""
-    from .functions.materialize import materialize
-    return materialize(df)

@@ -69,7 +69,10 @@ def read_csv_roles(spark: SparkSession, path: str, roles: dict, comment: str | N
     large files across tasks for one-line texts. ``skip_first`` drops the
     first physical lines of each file."""
     if skip_first:
-        df = _read_csv_skipping(spark, path, skip_first, comment, header)
+        width = max((int(v) + 1 for v in roles.values() if not str(v).startswith("fixed:")), default=1)
+        df = _read_csv_skipping(spark, path, skip_first, comment, header, multi_line, width)
+        if na_values is not None:
+            df = df.select(*[F.when(F.col(c) != na_values, F.col(c)).alias(c) for c in df.columns])
     else:
         reader = (spark.read.option("header", header).option("multiLine", multi_line)
                   .option("escape", '"').option("quote", '"').option("mode", "PERMISSIVE"))
@@ -81,14 +84,15 @@ def read_csv_roles(spark: SparkSession, path: str, roles: dict, comment: str | N
     return apply_roles(df, roles, by_position=True)
 
 
-def _read_csv_skipping(spark, path, skip, comment, header) -> DataFrame:
+def _read_csv_skipping(spark, path, skip, comment, header, multi_line=True, width=0) -> DataFrame:
     """CSV with leading lines skipped: one partition per file through the
     Python Data Source reader (files stay whole because quoted texts may span
     lines)."""
     from .python_sources import register_sources
     register_sources(spark)
     r = (spark.read.format("cg_csvskip").option("path", path).option("skip", str(skip))
-         .option("header", str(header).lower()))
+         .option("header", str(header).lower()).option("multi_line", str(multi_line).lower())
+         .option("width", str(width)))
     if comment:
         r = r.option("comment", comment)
     return r.load()
@@ -99,57 +103,54 @@ def read_json_roles(spark: SparkSession, path: str, roles: dict, layout: str = "
     (read as ``map<string, struct>`` and exploded; the key becomes ``_key``).
     The role projection runs once, after reading (fixes Q5)."""
     if layout == "auto":
-        # sniffing opens the file locally; remote paths default to JSON Lines
-        layout = "lines" if "://" in path and not path.startswith("file://") else _sniff_json(path)
+        layout = json_layout(spark, path)
     if layout == "lines":
         df = spark.read.json(path)
     elif layout == "array":
         df = spark.read.option("multiLine", True).json(path)
     elif layout == "keyed":
-        df = _explode_keyed(spark, path)
+        df = _explode_keyed(spark, path, roles)
     else:
         raise LoadError(f"unknown JSON layout {layout!r}")
     return apply_roles(df, roles, by_position=False)
 
 
-def _explode_keyed(spark: SparkSession, path: str) -> DataFrame:
-    """``{"0": {...}, "1": {...}}`` -> one row per key (``_key``) with the
-    record fields. The object is read as ``map<string, string>`` (one task
+def _explode_keyed(spark: SparkSession, path: str, roles: dict) -> DataFrame:
+    """``{"0": {...}, "1": {...}}`` -> one row per key (``_key``) with the fields
+    that the roles name. The object is read as ``map<string, string>`` (one task
     per file, as any single JSON document), exploded, and each record parsed
-    with a schema inferred from the first record."""
+    with a schema made from the roles, so no record decides for another."""
     raw = spark.read.text(path, wholetext=True)
     pairs = raw.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType())))
                        .alias("_key", "_json"))
-    sample = pairs.select("_json").first()
-    if sample is None:
+    fields = {}
+    for role, name in roles.items():
+        if str(name).startswith("fixed:") or name == "_key":
+            continue
+        t = ROLE_TYPES.get(role)
+        fields[name] = t if isinstance(t, T.ArrayType) else fields.get(name, T.StringType())
+    if not fields:
         return pairs.select("_key")
-    schema = spark.range(1).select(F.schema_of_json(F.lit(sample[0])).alias("s")).first()["s"]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields.items()])
     return pairs.select("_key", F.from_json("_json", schema).alias("_rec")).select("_key", "_rec.*")
 
 
-def _sniff_json(path: str) -> str:
-    first = None
-    p = path
-    if os.path.isdir(path):
-        files = sorted(f for f in os.listdir(path) if not f.startswith((".", "_")))
-        p = os.path.join(path, files[0])
-    with open(p, encoding="utf-8") as fh:
-        head = fh.read(4096).lstrip()
-    first = head[:1]
-    if first == "[":
-        return "array"
-    if first == "{":
-        line = head.split("\n", 1)[0].strip()
-        try:
-            import json
-            obj = json.loads(line)
-            if isinstance(obj, dict) and obj and all(isinstance(v, dict) for v in obj.values()) \
-                    and "\n" not in head.strip():
-                return "keyed"
-            return "lines"
-        except ValueError:
-            return "keyed"
-    return "lines"
+def json_layout(spark: SparkSession, path: str) -> str:
+    """``lines``, ``array`` or ``keyed``, decided by a Spark read of all lines:
+    JSON Lines if each line is an object by itself; a single object whose
+    values are all objects is keyed by row id."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    start = F.substring(F.trim("value"), 1, 1)
+    whole = F.get_json_object("value", "$").isNotNull()
+    values = F.map_values(F.from_json("value", T.MapType(T.StringType(), T.StringType())))
+    keyed = whole & (start == "{") & (F.size(values) > 0) & F.forall(values, lambda v: F.coalesce(v.startswith("{"), F.lit(False)))
+    n, objects, keyed_lines = lines.agg(F.count(F.lit(1)), F.count(F.when(whole & (start == "{"), 1)),
+                                        F.count(F.when(keyed, 1))).first()
+    if not n:
+        return "lines"
+    if n == objects:
+        return "keyed" if n == 1 and keyed_lines else "lines"
+    return "array" if lines.select(start).first()[0] == "[" else "keyed"
 
 
 def read_sqlite_roles(spark: SparkSession, path: str, roles: dict, table: str = "dataset",

@@ -131,22 +131,46 @@ class CsvSkipReader(DataSourceReader):
         return [CsvSkipPartition(p) for p in _files(self.options["path"])]
 
     def read(self, partition):
-        skip = int(self.options.get("skip", "0"))
-        comment = self.options.get("comment")
         header = self.options.get("header", "false") == "true"
-        with open(partition.path, encoding="utf-8", newline="") as fh:
-            for _ in range(skip):
-                fh.readline()
-            lines = (ln for ln in fh if not (comment and ln.startswith(comment)))
-            first = True
-            for rec in csv.reader(lines):
-                if header and first:
-                    first = False
+        records = csv_records(partition.path, self.options)
+        if header:
+            next(records, None)
+        for rec in records:
+            rec = [(v if v != "" else None) for v in rec[: self.width]]
+            rec += [None] * (self.width - len(rec))
+            yield tuple(rec)
+
+
+def csv_records(path: str, options):
+    """Records of one file. A comment sign counts only where a record begins,
+    never inside a quoted text."""
+    skip, comment = int(options.get("skip", "0")), options.get("comment")
+    multi_line = options.get("multi_line", "true") == "true"
+    with open(path, encoding="utf-8", newline="") as fh:
+        for _ in range(skip):
+            fh.readline()
+        if not multi_line:
+            for ln in fh:
+                if ln.strip("\r\n") and not (comment and ln.startswith(comment)):
+                    yield next(csv.reader([ln]))
+            return
+        begins = [True]
+
+        def lines():
+            for ln in fh:
+                if begins[0] and comment and ln.startswith(comment):
                     continue
-                first = False
-                rec = [(v if v != "" else None) for v in rec[: self.width]]
-                rec += [None] * (self.width - len(rec))
-                yield tuple(rec)
+                begins[0] = False
+                yield ln
+
+        reader = csv.reader(lines())
+        while True:
+            begins[0] = True
+            rec = next(reader, None)
+            if rec is None:
+                return
+            if rec:
+                yield rec
 
 
 def _files(path: str) -> list[str]:
@@ -157,25 +181,19 @@ def _files(path: str) -> list[str]:
 
 class CsvSkipDataSource(DataSource):
     """CSV with the first ``skip`` physical lines of each file dropped; all
-    columns are strings named ``_c0`` ... (width from the first data line)."""
+    columns are strings named ``_c0`` ... (``width`` of them; by default as many as
+    the first record has)."""
 
     @classmethod
     def name(cls):
         return "cg_csvskip"
 
     def schema(self):
-        skip = int(self.options.get("skip", "0"))
-        comment = self.options.get("comment")
+        width = int(self.options.get("width", "0"))
         files = _files(self.options["path"])
-        width = 1
-        if files:
-            with open(files[0], encoding="utf-8", newline="") as fh:
-                for _ in range(skip):
-                    fh.readline()
-                lines = (ln for ln in fh if not (comment and ln.startswith(comment)))
-                for rec in csv.reader(lines):
-                    width = max(1, len(rec))
-                    break
+        if not width and files:
+            width = len(next(csv_records(files[0], self.options), []))
+        width = max(1, width)
         return T.StructType([T.StructField(f"_c{i}", T.StringType(), True) for i in range(width)])
 
     def reader(self, schema):

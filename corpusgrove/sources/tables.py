@@ -24,12 +24,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def canonical_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus rows: documents ⋈ embeddings ⋈ events, left ⋈ labels.
+    """Corpus rows that have a vector and a time: documents ⋈ embeddings ⋈
+    events, left ⋈ labels."""
+    return _corpus(spark, sf_dir, "inner")
 
-    All joins are equi-joins on the document id, so Catalyst plans them as
+
+def _corpus(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    """All joins are equi-joins on the document id, so Catalyst plans them as
     shuffle (or size-checked broadcast) hash joins; only the needed columns are
-    read from each file.
-    """
+    read from each file."""
     d = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("row_id"), "text", F.col("source").alias("ref"))
     e = read_table(spark, sf_dir, "embeddings").select(
@@ -39,7 +42,7 @@ def canonical_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("row_id"), F.col("quality").cast("int").alias("target"))
     reduced = F.col("embedding").cast(T.ArrayType(T.DoubleType()))
     return (
-        d.join(e, "row_id").join(v, "row_id").join(lab, "row_id", "left")
+        d.join(e, "row_id", how).join(v, "row_id", how).join(lab, "row_id", "left")
         .select(
             "row_id", "text", "embedding",
             reduced.alias("reduced"),
@@ -53,6 +56,11 @@ def canonical_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as corpus rows; vector, time and label where there are any."""
+    return _corpus(spark, sf_dir, "left")
+
+
 def train_rows(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.col("set") == "train")
 
@@ -74,3 +82,5 @@ JOIN embeddings e ON e.vec_id = d.doc_id
 JOIN events v ON v.event_id = d.doc_id
 LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
+
+TEXT_CORPUS_SQL = CANONICAL_CORPUS_SQL.replace("\nJOIN ", "\nLEFT JOIN ")

@@ -31,12 +31,23 @@ def windowed_trend(stream: DataFrame, ts: str = "ts", group: str = "predict", wi
             .select(start.alias("bucket"), "group", "count"))
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append", checkpoint_dir: str | None = None):
-    """Drive a streaming aggregate over the available input into a memory
-    table (tests and small checks) and return the query."""
-    w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint_dir:
-        w = w.option("checkpointLocation", checkpoint_dir)
-    q = w.start()
-    q.awaitTermination()
-    return q
+def run_to_parquet(df: DataFrame, path: str, checkpoint_dir: str) -> DataFrame:
+    """Drive a streaming aggregate over the available input into a Parquet
+    table that holds the newest count of each window and group.
+
+    In update mode each micro-batch writes the windows it changed under its
+    batch id (a retried batch overwrites its own folder). A window's latest batch
+    wins on reading, so windows still open at the end of input are there too."""
+    from pyspark.sql import Window
+
+    schema = df.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    (df.writeStream.outputMode("update").option("checkpointLocation", checkpoint_dir)
+     .trigger(availableNow=True).foreachBatch(write).start().awaitTermination())
+    keys = [f.name for f in schema.fields if f.name != "count"]
+    rows = df.sparkSession.read.parquet(path)
+    newest = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
+    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select(*schema.names)

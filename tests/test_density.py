@@ -110,9 +110,7 @@ def test_banded_hierarchy_equals_single_task(spark):
                   [rng.uniform(-2, 6, size=(15, 2))])
     df = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(X)],
                                "row_id long, reduced array<double>")
-    knn = neighbours.knn_graph(df, 5)
-    core = density.core_distances(knn, 5)
-    mst = density.boruvka_mst(df.select("row_id"), density.mutual_reachability(knn, core)).cache()
+    mst = density.mutual_reachability_mst(df, 5).cache()
     pdf = mst.toPandas()
     ref = density._condense(pdf, np.arange(len(X)), 8, "eom", 0.0)
     want = ref[ref.kind == "label"].set_index("row_id")["grp"].sort_index().to_numpy()
@@ -163,3 +161,57 @@ def test_spectral_coordinates_match_numpy(spark):
     cos = abs(got @ fiedler) / (np.linalg.norm(got) * np.linalg.norm(fiedler))
     assert cos > 0.999
     assert (np.sign(got[:15]) == np.sign(got[0])).all() and (np.sign(got[15:]) == -np.sign(got[0])).all()
+
+
+def _exact_mst(X, k, alpha=1.0):
+    """Sorted edge weights of Prim's tree on the complete mutual-reachability graph."""
+    n = len(X)
+    d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, k]
+    mr = np.maximum(np.maximum(core[:, None], core[None]), d / alpha)
+    best, inside, out = mr[0].copy(), np.zeros(n, bool), []
+    inside[0] = True
+    for _ in range(n - 1):
+        j = np.where(inside, np.inf, best).argmin()
+        out.append(best[j])
+        inside[j] = True
+        best = np.minimum(best, mr[j])
+    return np.sort(out)
+
+
+def _points(spark, X):
+    return spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "row_id long, reduced array<double>")
+
+
+def _line_of_blobs():
+    rng = np.random.default_rng(3)
+    return np.vstack([rng.normal((c, 0), 0.2, size=(25, 2)) for c in (0, 3, 30, 33)])
+
+
+def _copies_and_blob():
+    return np.vstack([np.zeros((200, 2)), np.random.default_rng(4).normal((60, 20), 0.5, size=(40, 2))])
+
+
+@pytest.mark.parametrize("make,cell", [(_line_of_blobs, 2048), (_line_of_blobs, 32), (_copies_and_blob, 64)])
+def test_mst_is_exact_on_the_complete_graph(spark, make, cell):
+    X = make()
+    got = density.mutual_reachability_mst(_points(spark, X), 5, cell_size=cell).toPandas()
+    assert len(got) == len(X) - 1
+    assert np.allclose(np.sort(got["w"].to_numpy()), _exact_mst(X, 5))
+
+
+def test_predict_density_searches_train_rows_only(spark):
+    df, _ = blobs(spark)
+    train = df.withColumn("predict", (F.col("row_id") / 80).cast("int"))
+    core = density.core_distances(neighbours.knn_graph(df, 5), 5)
+    # a clump of new rows, with ids that train rows have too
+    new = spark.createDataFrame([(i, [5.0 + i / 1000, 5.0]) for i in range(10)], "row_id long, reduced array<double>")
+    got = density.predict_density(train, new, core).collect()
+    assert len(got) == 10 and {r["predict"] for r in got} == {1}
+
+
+def test_knn_ties_go_to_the_smaller_id(spark):
+    X = np.array([[i % 4, i // 4 % 4] for i in range(64)], float)
+    got = neighbours.knn_graph(_points(spark, X), 6, cell_size=16).toPandas().sort_values(["row_id", "rank"])
+    want = neighbours.brute_force_knn(_points(spark, X), 6).sort_values(["row_id", "rank"])
+    assert (got["nbr"].to_numpy() == want["nbr"].to_numpy()).all()

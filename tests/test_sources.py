@@ -113,3 +113,32 @@ def test_bundle_and_catalogue(spark, tmp_dir):
 def test_preview(spark):
     df = spark.range(100)
     assert files.preview(df).count() == 5
+
+
+def test_skip_first_keeps_comment_lines_inside_texts(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "c.csv")
+    with open(p, "w") as fh:
+        fh.write('tag\n#a comment\n"one\n#two\nthree",1\nshort\n"x",2,more,NA\n')
+    df = files.read_csv_roles(spark, p, {"text": 0, "predict": 1, "ref": 3}, skip_first=1, comment="#", na_values="NA")
+    assert sorted((r["text"], r["predict"], r["ref"]) for r in df.collect()) == [
+        ("one\n#two\nthree", 1, None), ("short", None, None), ("x", 2, None)]
+
+
+@pytest.mark.parametrize("layout", ["lines", "array", "keyed"])
+def test_json_layout_is_found_beyond_4096_characters(spark, tmp_dir, layout):
+    rows = [{"body": "w " * 5000}, {"body": "b", "ref": "r1"}, {"body": "c", "ref": 7}]
+    text = {"lines": "\n".join(map(json.dumps, rows)), "array": json.dumps(rows, indent=1),
+            "keyed": json.dumps({str(i): r for i, r in enumerate(rows)})}[layout]
+    p = os.path.join(tmp_dir, "x.json")
+    with open(p, "w") as fh:
+        fh.write(text)
+    assert files.json_layout(spark, p) == layout
+    got = sorted((r["text"], r["ref"]) for r in files.read_json_roles(spark, p, {"text": "body", "ref": "ref"}).collect())
+    assert got == [("b", "r1"), ("c", "7"), ("w " * 5000, None)]
+
+
+def test_single_json_line_stays_a_line(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "one.json")
+    with open(p, "w") as fh:
+        fh.write(json.dumps({"body": "x" * 9000, "ref": "a"}) + "\n")
+    assert files.json_layout(spark, p) == "lines"

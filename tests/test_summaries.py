@@ -84,3 +84,12 @@ def test_scatter_cap(spark):
     # 10 rows > cap 4 -> max(3, 4 // 3) = 3 rows per group by id
     assert counts == {0: 3, 1: 2, 3: 2, -1: 1}
     assert sorted(r["id"] for r in out.where("predict = 0").collect()) == [0, 1, 2]
+
+
+def test_score_without_groups_gives_nulls(spark):
+    from corpusgrove.operators import assign
+    rows = spark.createDataFrame([(1, [0.0, 1.0])], "row_id long, reduced array<double>")
+    none = spark.createDataFrame([], "group int, mean array<double>, distance double")
+    got = assign.score_rows(rows, none).first()
+    assert got["predict"] == -1 and got["choice1"] is None and got["distance"] is None
+    assert assign.assign_nearest(rows, none).first()["predict"] is None
