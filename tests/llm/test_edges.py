@@ -1,0 +1,78 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and
+clashing column names, for every operator and stage."""
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from corpusgrove.llm import decontaminate, host_rules, langid, licenses, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity
+
+
+def labels(spark):
+    return spark.createDataFrame([(4, 1, 0), (6, 0, 1), (7, 0, 1), (10, 1, 0), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "1": lambda s, d: substring_dedup.substring_dedup(d),
+    "2": lambda s, d: toxicity.fit(d, labels(s)).score(d),
+    "3": lambda s, d: host_rules.host_rules(d),
+    "4": lambda s, d: line_dedup.line_dedup(d),
+    "6": lambda s, d: quality.fit(d, labels(s)).score(d),
+    "7": lambda s, d: langid.fit(d).predict(d),
+    "8": lambda s, d: licenses.scan(d),
+    "10": lambda s, d: near_dedup.near_duplicates(d),
+}
+
+
+@pytest.mark.parametrize("n", OPERATORS)
+def test_one_row_per_row(spark, edges, empty, n):
+    got = OPERATORS[n](spark, edges).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in edges.select("doc_id").collect())
+    assert OPERATORS[n](spark, empty).collect() == []
+
+
+def test_defined_results(spark, edges):
+    one = {r["doc_id"]: r for r in substring_dedup.substring_dedup(edges).collect()}
+    assert one[1]["n_words"] == one[2]["n_words"] == one[3]["n_words"] == 0 and one[4]["n_removed"] == 0
+    assert one[5]["n_removed"] == 30_000 and one[5]["kept_text"] == ""
+    four = {r["doc_id"]: r for r in line_dedup.line_dedup(edges).collect()}
+    assert four[1]["n_lines"] == four[2]["n_lines"] == 1 and four[10]["kept_text"] == "x" and four[12]["n_dropped"] == 0
+    seven = {r["doc_id"]: r["lang_pred"] for r in langid.fit(edges).predict(edges).collect()}
+    assert seven[1] == seven[2] == seven[9] == "und" and seven[8] == "en"
+    ten = {r["doc_id"]: r for r in near_dedup.near_duplicates(edges).collect()}
+    assert ten[5]["component_id"] == 4 and ten[7]["component_id"] == 6 and ten[2]["component_id"] == 2
+    assert ten[None]["component_id"] is None and ten[None]["kept"]
+
+
+def test_packing_and_search(spark, edges, empty):
+    assert packing.pack(edges).where("doc_id = 2").select("length", "doc_tokens").first() == (1, 1)
+    assert packing.pack(empty).collect() == []
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "w0x0 w1x1 w2x2 w3x3 w4x4 w5x5 w6x6 w7x7 w8x8 w9x9 w10x10 w11x11 w12x12 w13x0 w14x1 w15x2")], "item_id long, text string")
+    hits = decontaminate.find_contaminated(edges, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in hits} == {(4, 3), (5, 3)}
+    assert decontaminate.find_contaminated(empty, bench).collect() == []
+    assert decontaminate.find_contaminated(edges, bench.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages(spark, edges, empty, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    d = "/root/testdata/sf0.001"
+    out = stage(spark, edges, d)
+    if k < len(corpus_pipeline.STAGES) - 1:
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS
+    out.collect()
+    assert stage(spark, empty, d).collect() == []
+
+
+def test_pipeline_keeps_clean_documents(spark, docs):
+    d, n = "/root/testdata/sf0.001", docs.count()
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, d)
+        if name == "near_dedup":
+            again = near_dedup.near_duplicates(kept)
+            assert again.where("not kept").count() == 0
+    assert kept.select("doc_id").distinct().count() == kept.count() > 0.7 * n
+    packed = corpus_pipeline.run(spark, d)
+    assert packed.select("doc_id").distinct().count() == kept.count()
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
