@@ -36,6 +36,9 @@ EVIDENCE = 60
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
+#: bytes of text expanded to n-grams at a time
+SLICE = 1 << 18
+
 _LETTER = None
 
 
@@ -53,7 +56,7 @@ def _ngrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     texts = [parts[a:z].decode("utf-8", "replace").replace("\0", " ").lower() for a, z in zip(off[:-1], off[1:])]
     c = np.frombuffer(("\0" + "\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     cut = c == 0
-    row = np.cumsum(cut) - 1
+    row = (np.cumsum(cut) - 1).astype(np.int32)
     letter = _letters()[c]
     c = np.where(letter, c, np.where(cut, np.uint64(0), np.uint64(32)))
     n_letters = np.bincount(row[letter], minlength=len(texts))[:len(texts)]
@@ -87,7 +90,7 @@ def _count(b: pa.RecordBatch):
     langs = np.asarray(b.column(0).to_pylist(), object)
     buf, off = T.flat(b.column(1))
     total: dict[str, np.ndarray] = {}
-    for i, j in T.slices(off):
+    for i, j in T.slices(off, SLICE):
         col, row, _ = _ngrams(buf[off[i]:off[j]], off[i:j + 1] - off[i])
         for lang in set(langs[i:j]):
             mine = np.flatnonzero(langs[i:j] == lang)
@@ -121,7 +124,7 @@ class LanguageModel:
             langs, log_prob, prior = sent.value
             buf, off = T.flat(b.column(1))
             names, scores = [], []
-            for i, j in T.slices(off, 1 << 20):
+            for i, j in T.slices(off, SLICE):
                 col, row, letters = _ngrams(buf[off[i]:off[j]], off[i:j + 1] - off[i])
                 if not langs:
                     letters = letters * 0

@@ -39,7 +39,8 @@ STEP_TOKENS = 16384
 #: tokens of documents that wait for a window, and words in a worker's cache
 WAITING = 1 << 20
 CACHE_WORDS = 1_000_000
-SLICE = 4 << 20
+#: words encoded in one call; an encoding takes far more memory than its ids
+ENCODE_WORDS = 8192
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -75,11 +76,13 @@ class _Encoder:
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         if len(self.keys) + len(keys) > CACHE_WORDS and len(self.keys):
             self.clear()
-        got = [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        got = []
+        for k in range(0, len(texts), ENCODE_WORDS):
+            got.extend(np.array(e.ids, np.uint32) for e in self.tok.encode_batch(texts[k:k + ENCODE_WORDS], add_special_tokens=False))
         n = len(self.first) - 1
         size = np.fromiter(map(len, got), np.int64, len(got))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, *got])
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
         self.where = np.insert(self.where, at, n + np.arange(len(keys)))
@@ -186,7 +189,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, tiers: tuple[int, .
         for b in batches:
             ids = b.column(0).to_pylist()
             buf, off = T.flat(b.column(1))
-            for i, j in T.slices(off, SLICE):
+            for i, j in T.slices(off):
                 got, first = encoder.encode(buf[off[i]:off[j]], off[i:j + 1] - off[i])
                 for k in range(i, j):
                     packer.add(ids[k], np.append(got[first[k - i]:first[k - i + 1]], np.uint32(END_ID)))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: [\x20\x09-\x0D]
 SPACE = np.zeros(256, bool)
@@ -36,7 +36,7 @@ def powers(n: int, which: int = 0, inverse: bool = False) -> np.ndarray:
         got = np.full(max(n, 1 << 16), base, np.uint64)
         got[0] = 1
         got = np.multiply.accumulate(got)
-        if len(got) <= 8 * SLICE_BYTES:
+        if len(got) <= 2 * SLICE_BYTES:  # longer ones (one very long text) are not kept
             _powers[which, inverse] = got
     return got[:n]
 
@@ -64,13 +64,14 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0]:off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes, or of one row."""
+def slices(off: np.ndarray, most: int = SLICE_BYTES, rows: int = 1 << 14) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes and ``rows`` rows, or of one row."""
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + rows)
+        yield i, j
+        i = j
 
 
 def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
