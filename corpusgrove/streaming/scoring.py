@@ -1,8 +1,8 @@
 """Streaming scoring of new texts against a trained bundle.
 
-The per-row work (encode, reduce, nearest centroids) is stateless, but the
-encoder aggregates tokens per text, so each micro-batch is scored with the
-batch plan inside ``foreachBatch`` and appended to a Parquet sink. The sink
+The per-row work (encode, reduce, nearest centroids) is stateless. Each
+micro-batch is scored with the batch plan inside ``foreachBatch`` and appended
+to a Parquet sink. The sink
 write is idempotent per batch id (overwrite of ``batch_id=<id>``), so a
 restarted query after a lost executor or driver never duplicates rows.
 """
@@ -22,9 +22,10 @@ def score_stream(stream: DataFrame, bundle: Bundle, sink_dir: str, checkpoint_di
                  trigger: dict | None = None) -> StreamingQuery:
     """Start the scoring query; ``stream`` has ``row_id`` and ``text`` (or
     ``embedding``)."""
+    pipeline.require_trained(bundle)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = pipeline.read_scored_columns(pipeline.score(bundle, batch))
+        scored = pipeline.read_scored_columns(pipeline.score(bundle, batch, checked=True))
         (scored.write.mode("overwrite")
          .parquet(os.path.join(sink_dir, f"batch_id={batch_id}")))
 

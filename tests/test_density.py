@@ -84,7 +84,10 @@ def test_hdbscan_blobs_and_tree(spark):
     edges = tree.tree_edges(ctree, summ)
     nodes = tree.tree_nodes(edges).toPandas()
     assert set(nodes[nodes.id >= 0].id) == {0, 1, 2}
-    assert all(nodes.label.str.startswith("["))
+    root = nodes[nodes.depth == 0]
+    assert len(root) == 1 and root.label.isna().all() and root.parent.isna().all() and (root.id == -root.node).all()
+    below = nodes[nodes.depth > 0]
+    assert all(below.label.str.startswith("[")) and set(below[below.depth == 1].parent) == set(root.node)
     opened = tree.tree_filter(ctree, spark.createDataFrame([(1,)], "group int")).toPandas()
     assert opened.open.sum() >= 1
 

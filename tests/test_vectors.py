@@ -44,3 +44,25 @@ def test_zero_vector_cosine(spark):
     df = spark.createDataFrame([([0.0, 0.0], [0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>, c array<double>")
     r = df.select(V.cosine("a", "b").alias("ab"), V.cosine("a", "c").alias("ac")).first()
     assert r["ab"] == 0.0 and r["ac"] == 1.0
+
+
+def test_between_class_scatter(spark):
+    from corpusgrove.functions.linalg import weighted_scatter
+    from corpusgrove.operators import reduce
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(60, 3)) + np.repeat(np.eye(3) * 4, 20, axis=0)
+    y = [None if i % 10 == 0 else (-1 if i % 10 == 1 else i // 20) for i in range(60)]
+    df = spark.createDataFrame([(X[i].tolist(), y[i]) for i in range(60)], "v array<double>, y int").repartition(5)
+    mu = X.mean(axis=0)
+    want = np.zeros((3, 3))
+    for c in range(3):
+        rows = X[[i for i in range(60) if y[i] == c]]
+        d = rows.mean(axis=0) - mu
+        want += len(rows) * np.outer(d, d)
+    scatter = 0.5 * np.cov(X.T) + 0.5 * want / 60
+    vals, vecs = np.linalg.eigh(scatter)
+    got = reduce.fit_supervised(df, "v", "y", 2).components
+    for axis, ref in zip(got, vecs.T[::-1]):
+        assert abs(abs(axis @ ref) - 1) < 1e-8
+    empty = spark.createDataFrame([], "m array<double>, n long")
+    assert not weighted_scatter(empty, "m", "n", mu).any()
