@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.materialize import materialize
 from ..functions import vectors as V
 from . import assign
 from .filters import compile_criteria, parse_id_list
@@ -132,12 +133,11 @@ def time_bins(df: DataFrame, ts: str = "ts", nbins: int = TREND_BINS) -> DataFra
     """Adaptive buckets. More than ``nbins`` distinct timestamps: equal
     width, right-closed bins labelled by their left edge (the first left edge
     sits range/1000 below the minimum), in integer microseconds; otherwise
-    the timestamp itself. One aggregate decides which; it is read back as
-    three scalars."""
-    st = df.agg(F.min(_micros(ts)).alias("lo"), F.max(_micros(ts)).alias("hi"),
-                F.countDistinct(ts).alias("nd")).first()
-    if st["nd"] is None or st["nd"] <= nbins:
+    the timestamp itself. Whether there are more is told by the first
+    ``nbins + 1`` distinct ones, not by an exact count. NULL counts as none."""
+    if df.select(ts).where(F.col(ts).isNotNull()).distinct().limit(nbins + 1).count() <= nbins:
         return df.withColumn("bucket", F.col(ts))
+    st = df.agg(F.min(_micros(ts)).alias("lo"), F.max(_micros(ts)).alias("hi")).first()
     lo, hi = int(st["lo"]), int(st["hi"])
     span = hi - lo
     width = span / nbins
@@ -160,7 +160,8 @@ def group_trend(rows: DataFrame, labels: DataFrame | None = None, ts: str = "ts"
     base = rows.select(F.col(ts).alias("ts"), F.col(group).alias("group")).where(
         F.col("ts").isNotNull() & F.col("group").isNotNull())
     if dedupe:
-        base = base.dropDuplicates(["ts", "group"])
+        # read by the bin edges and by the counts: written once
+        base = materialize(base.dropDuplicates(["ts", "group"]))
     binned = time_bins(base, "ts", nbins)
     out = binned.groupBy("bucket", "group").agg(F.count("ts").alias("count"))
     if labels is not None:

@@ -215,13 +215,18 @@ def _decode_one(b):
     try:
         arr = np.load(io.BytesIO(bytes(b)), allow_pickle=False)
         return np.asarray(arr, dtype=np.float32).ravel()
-    except (ValueError, OSError):
+    except (ValueError, OSError, EOFError):
+        pass
+    try:
+        return np.array([float(bytes(b))], dtype=np.float32)
+    except ValueError:
         return None
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_npy(blobs: pd.Series) -> pd.Series:
-    """A4: npy bytes -> array<float>; anything else -> NULL."""
+    """A4: npy bytes -> array<float>; the text of a number -> one entry;
+    anything else -> NULL (the raw bytes stay in the column read)."""
     return blobs.map(_decode_one)
 
 

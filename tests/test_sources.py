@@ -142,3 +142,11 @@ def test_single_json_line_stays_a_line(spark, tmp_dir):
     with open(p, "w") as fh:
         fh.write(json.dumps({"body": "x" * 9000, "ref": "a"}) + "\n")
     assert files.json_layout(spark, p) == "lines"
+
+
+def test_npy_blob_fallbacks(spark):
+    from corpusgrove.sources.python_sources import decode_npy, encode_npy
+    blobs = [encode_npy([1.0, 2.0]), b"12", b"1.5", b"raw", b"", None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "i int, b binary")
+    got = {r["i"]: r["v"] for r in df.select("i", decode_npy("b").alias("v")).collect()}
+    assert got == {0: [1.0, 2.0], 1: [12.0], 2: [1.5], 3: None, 4: None, 5: None}
