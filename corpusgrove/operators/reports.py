@@ -207,3 +207,17 @@ def group_detail(corpus: DataFrame, summaries: DataFrame, group: int, max_distan
         return corpus.join(keep.withColumnRenamed("group", "predict"), "predict", "left_semi")
     pred = parse_id_list(",".join(map(str, ids))).to_column(F.col("predict"))
     return corpus.where(pred)
+
+
+def group_scatter(corpus: DataFrame, summaries: DataFrame, group: int, max_distance,
+                  with_neighbours: bool = True, k: int = 5, cap: int = SCATTER_CAP) -> DataFrame:
+    """E25, scatter form: E16 over the rows of :func:`group_detail`."""
+    return scatter_sample(group_detail(corpus, summaries, group, max_distance, with_neighbours, k), cap=cap)
+
+
+def group_detail_trend(corpus: DataFrame, summaries: DataFrame, group: int, max_distance,
+                       with_neighbours: bool = True, k: int = 5, nbins: int = TREND_BINS) -> DataFrame:
+    """E25, trend form: E18 over the rows of :func:`group_detail`; the bins
+    span these rows' times."""
+    rows = group_detail(corpus, summaries, group, max_distance, with_neighbours, k)
+    return group_trend(rows, summaries, nbins=nbins)

@@ -353,7 +353,6 @@ mx AS (SELECT nullif(2 * max(d), 0) AS max_distance FROM cd)"""
 
 def _stats(spark, sf_dir):
     corpus, train, summ = _summaries(spark, sf_dir)
-    summ = summ.cache()
     stats = summarise.group_stats(train, summ, 64)
     return corpus, train, summ, stats
 
@@ -541,6 +540,33 @@ def q_group_detail(spark, sf_dir):
     return reports.group_detail(corpus, summ, g, stats).select("row_id", "set", "predict")
 
 
+_DETAIL_ROWS = """
+, nb AS (SELECT g2 FROM cp WHERE g1 = (SELECT min(grp) FROM cent) ORDER BY d, g2 LIMIT 5),
+dr AS (SELECT * FROM corpus WHERE predict IN (SELECT g2 FROM nb) OR predict = (SELECT min(grp) FROM cent))"""
+
+
+@register("E25_group_scatter", _with(CORPUS_CTE, TRAIN_CTE, MEMBER_DIMS_CTE, CENT_DIMS_CTE, CENT_PAIR_CTE)
+          + _DETAIL_ROWS + """
+SELECT row_id AS id, predict FROM dr""")
+def q_group_scatter(spark, sf_dir):
+    """Scatter rows of a group and of its five nearest groups."""
+    corpus, _, summ, stats = _stats(spark, sf_dir)
+    g = int(summ.agg(F.min("group")).first()[0])
+    return reports.group_scatter(corpus, summ, g, stats).select("id", "predict")
+
+
+@register("E25_group_trend", _with(CORPUS_CTE, TRAIN_CTE, MEMBER_DIMS_CTE, CENT_DIMS_CTE, CENT_PAIR_CTE)
+          + _DETAIL_ROWS + """
+SELECT predict AS "group", count(DISTINCT ts) AS times FROM dr WHERE ts IS NOT NULL GROUP BY predict""")
+def q_group_detail_trend(spark, sf_dir):
+    """Trend of a group and of its five nearest groups; points per group
+    (the bins themselves are checked by E18)."""
+    corpus, _, summ, stats = _stats(spark, sf_dir)
+    g = int(summ.agg(F.min("group")).first()[0])
+    trend = reports.group_detail_trend(corpus, summ, g, stats)
+    return trend.groupBy("group").agg(F.sum("count").cast("long").alias("times"))
+
+
 @register("X1_flow_patterns", """
 SELECT role AS from_group, nxt AS to_group, count(*) AS transitions
 FROM (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)
