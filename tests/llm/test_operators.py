@@ -154,6 +154,37 @@ def test_decontamination_finds_planted_and_paraphrased_items(spark, docs):
     assert want <= hits and hits - want == {(900_002, item["item_id"])}
 
 
+def test_decontamination_equals_brute_force_on_short_long_and_paraphrased_items(spark, docs):
+    """All windows of twice the item's length, for items of 3 to 600 words, whole or with 50 to 75 % of the words kept."""
+    rng = np.random.default_rng(3)
+    bench = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").limit(12).collect()]
+    pool = " ".join(r["text"] for r in docs.where("length(text) > 800").orderBy("doc_id").limit(30).collect()).split()
+    draw = lambda n: [pool[i] for i in rng.integers(0, len(pool), n)]
+    items = bench + [" ".join(draw(n)) for n in (3, 4, 5, 6, 8, 10, 100, 200, 300, 400, 600)]
+    rows = []
+    for t in items:
+        for keep in (1.0, 0.75, 0.65, 0.55):
+            w = t.split()
+            lost = set(rng.permutation(len(w))[:round(len(w) * (1 - keep))].tolist())
+            other = draw(len(w))
+            rows.append(" ".join(draw(60) + [other[i] if i in lost else x for i, x in enumerate(w)] + draw(60)))
+    hits = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contaminated(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"),
+                                                                                 spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    split, want = [decontaminate._one(t).tolist() for t in rows], set()
+    for i, t in enumerate(items):
+        a, answer = decontaminate._one(t).tolist(), decontaminate._answer(t)
+        marks, m = decontaminate._marks(a), len(a)
+        for d, w in enumerate(split):
+            for s in range(max(1, len(w) - 2 * m + 1)):
+                if len(marks.keys() & set(w[s:s + 2 * m])) < 2:
+                    continue
+                share = decontaminate.lcs(a, w[s:s + 2 * m], marks) / m
+                if share >= 0.75 or share >= 0.5 and decontaminate.lcs(answer, w[s:s + 2 * m]) / len(answer) >= 0.8:
+                    want.add((d, i))
+                    break
+    assert len(want) >= 2 * len(items) and hits == want
+
+
 def test_lcs():
     rng = np.random.default_rng(1)
     for _ in range(50):
