@@ -185,6 +185,13 @@ def test_decontamination_equals_brute_force_on_short_long_and_paraphrased_items(
     assert len(want) >= 2 * len(items) and hits == want
 
 
+def test_decontamination_draws_rows_without_ids_and_copies_one_by_one(spark):
+    rows = [(None, f"text {i}") for i in range(2_000)] + [(None, "the same")] * 2_000 + [(7, "again")] * 2_000
+    for share in (0.05, 0.2, 0.5):
+        n = decontaminate._drawn(spark.createDataFrame(rows, "doc_id long, text string"), share).count()
+        assert abs(n - share * 2_002) < 0.25 * share * 2_002
+
+
 def test_lcs():
     rng = np.random.default_rng(1)
     for _ in range(50):
