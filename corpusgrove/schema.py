@@ -87,8 +87,8 @@ class ClusteringParams:
     cluster_selection_epsilon: float = 0.0
     # kNN cells hold at most 4 x this many candidates (hot cells are split)
     knn_block_size: int = 512
-    # MST edges per band of the distributed hierarchy (one task per component of a band)
-    band_edges: int = 100_000
+    # tree edges that one task finishes by itself when the hierarchy is built
+    local_edges: int = 2048
 
 
 @dataclass

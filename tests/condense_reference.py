@@ -1,0 +1,165 @@
+"""The condensed tree, selection and labels in one pass over one tree (per HDBSCAN*),
+as the tests' reference for the distributed form."""
+import numpy as np
+import pandas as pd
+
+
+def condense_in_one_task(pdf: pd.DataFrame, n_points_ids: np.ndarray, mcs: int, method: str,
+              epsilon: float) -> pd.DataFrame:
+    """Single-linkage merge by union-find, condensed tree, stability,
+    selection and labels (per HDBSCAN*)."""
+    ids = np.asarray(n_points_ids, dtype=np.int64)
+    n = len(ids)
+    pos = {int(v): i for i, v in enumerate(ids)}
+    order = np.lexsort((pdf["b"].to_numpy(), pdf["a"].to_numpy(), pdf["w"].to_numpy()))
+    A = pdf["a"].to_numpy()[order]
+    B = pdf["b"].to_numpy()[order]
+    W = pdf["w"].to_numpy()[order]
+    # single-linkage tree: nodes 0..n-1 points, n.. internal
+    parent_uf = np.arange(2 * n, dtype=np.int64)
+    size = np.ones(2 * n, dtype=np.int64)
+    left = np.full(2 * n, -1, dtype=np.int64)
+    right = np.full(2 * n, -1, dtype=np.int64)
+    dist = np.zeros(2 * n)
+
+    def find(x):
+        root = x
+        while parent_uf[root] != root:
+            root = parent_uf[root]
+        while parent_uf[x] != root:
+            parent_uf[x], x = root, parent_uf[x]
+        return root
+
+    nxt = n
+    for a, b, w in zip(A, B, W):
+        ra, rb = find(pos[int(a)]), find(pos[int(b)])
+        if ra == rb:
+            continue
+        left[nxt], right[nxt], dist[nxt] = ra, rb, w
+        size[nxt] = size[ra] + size[rb]
+        parent_uf[ra] = parent_uf[rb] = nxt
+        nxt += 1
+    top = nxt - 1
+    finite = W[W > 0]
+    lam_cap = (1.0 / finite.min()) if finite.size else 1.0
+
+    def lam(d):
+        return lam_cap if d <= 0 else min(1.0 / d, lam_cap)
+
+    def leaves(node):
+        out, stack = [], [node]
+        while stack:
+            x = stack.pop()
+            if x < n:
+                out.append(x)
+            else:
+                stack.append(left[x])
+                stack.append(right[x])
+        return out
+
+    # condensed tree, top-down
+    rows = []  # (parent_cluster, child, lambda, child_size, is_cluster)
+    point_cluster = np.full(n, -1, dtype=np.int64)
+    point_lambda = np.zeros(n)
+    birth = {0: 0.0}
+    label_of = {top: 0}
+    next_label = 1
+    stack = [top] if top >= n else []
+    if top < n:  # single point
+        point_cluster[:] = 0
+    while stack:
+        node = stack.pop()
+        c = label_of[node]
+        lv = lam(dist[node])
+        kids = [left[node], right[node]]
+        big = [k for k in kids if size[k] >= mcs]
+        if len(big) == 2:
+            for k in kids:
+                label_of[k] = next_label
+                birth[next_label] = lv
+                rows.append((c, next_label, lv, int(size[k]), True))
+                next_label += 1
+                if k >= n:
+                    stack.append(k)
+                else:
+                    point_cluster[k], point_lambda[k] = label_of[k], lv
+        else:
+            for k in kids:
+                if size[k] >= mcs:
+                    label_of[k] = c
+                    if k >= n:
+                        stack.append(k)
+                    else:
+                        point_cluster[k], point_lambda[k] = c, lv
+                else:
+                    for p in leaves(k):
+                        point_cluster[p], point_lambda[p] = c, lv
+                        rows.append((c, -1 - p, lv, 1, False))
+    n_clusters = next_label
+    stability = np.zeros(n_clusters)
+    children = {c: [] for c in range(n_clusters)}
+    for pc, ch, lv, cs, is_cl in rows:
+        stability[pc] += (lv - birth[pc]) * cs
+        if is_cl:
+            children[pc].append(ch)
+    # selection (root excluded)
+    selected = np.zeros(n_clusters, dtype=bool)
+    if method == "leaf":
+        for c in range(1, n_clusters):
+            selected[c] = not children[c]
+    else:
+        best = stability.copy()
+        for c in range(n_clusters - 1, 0, -1):
+            csum = sum(best[k] for k in children[c])
+            if children[c] and csum > stability[c]:
+                best[c] = csum
+            else:
+                selected[c] = True
+                best[c] = stability[c]
+        # keep only the topmost selected on each path
+        par = {ch: pc for pc, ch, _, _, is_cl in rows if is_cl}
+        for c in range(1, n_clusters):
+            if selected[c]:
+                p = par.get(c)
+                while p is not None and p != 0:
+                    if selected[p]:
+                        selected[c] = False
+                        break
+                    p = par.get(p)
+    if epsilon > 0:
+        par = {ch: pc for pc, ch, _, _, is_cl in rows if is_cl}
+        for c in range(1, n_clusters):
+            if selected[c] and birth[c] > 1.0 / epsilon:
+                p = c
+                while par.get(p, 0) != 0 and birth[p] > 1.0 / epsilon:
+                    p = par[p]
+                if p != c:
+                    selected[c] = False
+                    selected[p] = True
+    # labels: nearest selected ancestor of each point's cluster
+    par = {ch: pc for pc, ch, _, _, is_cl in rows if is_cl}
+    sel_of = {}
+    for c in range(n_clusters):
+        p = c
+        while p != 0 and not selected[p]:
+            p = par.get(p, 0)
+        sel_of[c] = p if (p != 0 and selected[p]) else -1
+    point_sel = np.array([sel_of[int(c)] for c in point_cluster])
+    # number groups by (birth lambda, smallest member id)
+    sel_ids = sorted({int(s) for s in point_sel if s >= 0},
+                     key=lambda s: (birth[s], int(ids[point_sel == s].min())))
+    number = {s: i for i, s in enumerate(sel_ids)}
+    out = []
+    for i in range(n):
+        s = int(point_sel[i])
+        out.append(("label", int(ids[i]), None, None, float(point_lambda[i]), None,
+                    number.get(s, -1), None, None))
+    for pc, ch, lv, cs, is_cl in rows:
+        if is_cl:
+            out.append(("tree", None, int(pc), int(ch), float(lv), int(cs),
+                        number.get(ch, None) if selected[ch] else None, float(stability[ch]),
+                        bool(selected[ch])))
+        else:
+            out.append(("leaf", int(ids[-1 - ch]), int(pc), None, float(lv), 1, None, None, None))
+    return pd.DataFrame(out, columns=["kind", "row_id", "parent", "child", "lambda_val", "child_size",
+                                      "grp", "stability", "selected"])

@@ -1,5 +1,6 @@
 """D10, D11, D12, E11-E13 against brute force on small fixtures."""
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,22 +107,74 @@ def test_leaf_selection_and_predict(spark):
     assert got[1000] == g0 and got[1001] == g1
 
 
-def test_banded_hierarchy_equals_single_task(spark):
+def _shape(kind, n):
+    rng = np.random.default_rng(len(kind))
+    up = {"random": lambda i: int(rng.integers(i)), "chain": lambda i: i - 1, "star": lambda i: 0, "tail": lambda i: max(0, i - int(rng.integers(1, 4)))}[kind]
+    w = {"random": rng.exponential, "chain": lambda: rng.integers(1, 9), "star": rng.random, "tail": lambda: rng.choice([0.0, 1, 2, 3.5])}[kind]
+    return [(i, up(i), float(w())) for i in range(1, n)]
+
+
+@pytest.mark.parametrize("kind,mcs,method,epsilon,local", [
+    ("random", 3, "eom", 0.0, 20), ("chain", 3, "eom", 2.5, 20), ("star", 3, "eom", 0.0, 20), ("tail", 3, "leaf", 1.5, 4000)])
+def test_hierarchy_equals_one_task(spark, kind, mcs, method, epsilon, local):
+    """Labels, lambdas, tree and stabilities, with ties, zero weights, long chains and a hub."""
     from corpusgrove.operators import hierarchy
-    rng = np.random.default_rng(7)
-    X = np.vstack([rng.normal(c, 0.4, size=(40, 2)) for c in [(0, 0), (4, 4), (0, 5)]] +
-                  [rng.uniform(-2, 6, size=(15, 2))])
-    df = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(X)],
-                               "row_id long, reduced array<double>")
-    mst = density.mutual_reachability_mst(df, 5).cache()
-    pdf = mst.toPandas()
-    ref = density._condense(pdf, np.arange(len(X)), 8, "eom", 0.0)
-    want = ref[ref.kind == "label"].set_index("row_id")["grp"].sort_index().to_numpy()
-    labels, tree = hierarchy.condense_banded(mst, df.select("row_id"), 8, "eom", band_edges=30)
-    got = labels.toPandas().set_index("row_id")["predict"].sort_index().to_numpy()
-    assert (got == want).all()
-    rt = ref[(ref.kind == "tree") & (ref.selected == True)]  # noqa: E712
-    assert sorted(np.round(rt.stability, 6)) == sorted(np.round(tree.where("selected").toPandas().stability, 6))
+
+    from condense_reference import condense_in_one_task
+    n = 120
+    edges = _shape(kind, n)
+    mst = spark.createDataFrame(edges, "a long, b long, w double")
+    labels, tree, leaves = hierarchy.condense(mst, spark.range(n).withColumnRenamed("id", "row_id"), mcs, method, epsilon, local)
+    ref = condense_in_one_task(pd.DataFrame(edges, columns=["a", "b", "w"]), np.arange(n), mcs, method, epsilon)
+    want, got = ref[ref.kind == "label"].set_index("row_id").sort_index(), labels.toPandas().set_index("row_id").sort_index()
+    assert (got["predict"].to_numpy() == want["grp"].to_numpy()).all() and np.allclose(got["lambda_val"], want["lambda_val"].astype(float))
+    rt, t = ref[ref.kind == "tree"], tree.toPandas()
+    assert sorted(rt.child_size) == sorted(t.child_size) and np.allclose(sorted(rt.stability.astype(float)), sorted(t.stability)) and rt.selected.sum() == t.selected.sum()
+    assert leaves.count() == (ref.kind == "leaf").sum()
+
+
+def test_hierarchy_of_no_and_one_point(spark):
+    from corpusgrove.operators import hierarchy
+    none = spark.createDataFrame([], "a long, b long, w double")
+    for n in (0, 1):
+        labels, tree, leaves = hierarchy.condense(none, spark.range(n).withColumnRenamed("id", "row_id"), 5)
+        assert [r["predict"] for r in labels.collect()] == [-1] * n and tree.count() == leaves.count() == 0
+    with pytest.raises(ValueError, match="span"):
+        hierarchy.condense(none, spark.range(3).withColumnRenamed("id", "row_id"), 5)
+
+
+def _sized(fn, most):
+    def run(pdf):
+        if len(pdf) > most:
+            raise AssertionError(f"{len(pdf)} rows in one task")
+        return fn(pdf)
+    return run
+
+
+def test_no_task_gets_a_whole_tree(spark, monkeypatch):
+    """The only groups handed to Python hold at most ``local`` edges, nodes or segments."""
+    from corpusgrove.operators import contraction, dendrogram, hierarchy
+    n, local = 80, 10
+    for module, name in ((dendrogram, "_merge_light_first"), (dendrogram, "_sum_up"), (contraction, "_local")):
+        monkeypatch.setattr(module, name, _sized(getattr(module, name), local))
+    mst = spark.createDataFrame(_shape("tail", n), "a long, b long, w double")
+    labels, _, _ = hierarchy.condense(mst, spark.range(n).withColumnRenamed("id", "row_id"), 2, local=local)
+    assert labels.count() == n
+
+
+def test_running_values_over_segments(spark):
+    from corpusgrove.functions.scan import running
+    rng = np.random.default_rng(2)
+    seg = np.where(rng.random(900) < 0.5, 7, rng.integers(0, 40, 900))
+    rows = [(int(s), i, int(rng.integers(0, 9)), int(i) if rng.random() < 0.1 else None) for i, s in enumerate(seg)]
+    got = {r["i"]: r for r in running(spark.createDataFrame(rows, "s long, i long, v long, m long").repartition(6), "s", ["i"], sums=("v",), lasts=("m",)).collect()}
+    total, last = {}, {}
+    for s, i, v, m in rows:
+        total[s] = total.get(s, 0) + v
+        before = last.get(s)
+        last[s] = m if m is not None else before
+        assert (got[i]["v_sum"], got[i]["m_before"], got[i]["m_last"]) == (total[s], before, last[s])
+    assert len(got) == len(rows)
 
 
 def test_fuzzy_graph(spark):
