@@ -94,7 +94,8 @@ def ts_predicate(spec: str) -> Column | None:
 def text_predicate(pattern: str, literal: bool = False, lower_both: bool = False) -> Column:
     """Case-insensitive regex search on ``text``.
 
-    Default keeps the pattern unchanged under ``(?i)`` (lower-casing a regex
+    Default keeps the pattern unchanged under ``(?iu)``, so that letters beyond
+    ASCII fold as well (lower-casing a regex
     would turn ``\\D`` into ``\\d``); ``lower_both=True`` lower-cases text and
     pattern as the reference does; ``literal=True`` matches a plain substring.
     """
@@ -102,7 +103,7 @@ def text_predicate(pattern: str, literal: bool = False, lower_both: bool = False
         return F.lower(F.col("text")).contains(pattern.lower())
     if lower_both:
         return F.lower(F.col("text")).rlike(pattern.lower())
-    return F.col("text").rlike("(?i)" + pattern)
+    return F.col("text").rlike("(?iu)" + pattern)
 
 
 def _strip_prefix(s: str, prefix: str) -> str:

@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 from ..functions.materialize import materialize
 
 
+def ordered_ids(df: DataFrame, by: list[str], col: str = "row_id", start: int = 0) -> DataFrame:
+    """Number rows in the order of the columns ``by``, which name runs of rows that
+    were read one after another by one task (file and block of a scan), and
+    inside a run as read. Rows are not shuffled: the offsets table, broadcast back,
+    has one row per run."""
+    tagged = materialize(df.withColumn("_mid", F.monotonically_increasing_id()))
+    runs = tagged.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.select(*by, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (tagged.join(F.broadcast(offsets), by).withColumn(col, F.col("_off") + F.col("_mid") - F.col("_first") + F.lit(start))
+            .drop(*by, "_mid", "_first", "_off"))
+
+
 def contiguous_ids(df: DataFrame, col: str = "row_id", start: int = 0) -> DataFrame:
     """Number rows 0..n-1 (plus ``start``) in the current partition order.
 

@@ -1,42 +1,136 @@
-"""k-nearest-neighbour graph (D10), exact, without all-pairs.
-
-1. **Cells.** Points are assigned to the nearest of ``m`` coarse centres
-   (k-means fitted on a sample; the centre list is a size-checked broadcast
-   value, see :mod:`assign`). A cell larger than ``cell_size`` is split into
-   sub-cells by a hash of the row id, so no task holds more than
+"""k-nearest-neighbour graph (D10), exact, without all-pairs, for any metric with a
+triangle inequality; and an approximate graph.
+
+1. **Cell tree.** Centres are points drawn by a hash of their vector (so copies count
+   once): about ``n / cell_size`` leaf centres, every ``FAN``-th of them for the
+   level above, up to one root. Points and lower centres descend by joins: a row
+   meets only the children of the node that it has reached. Each node keeps
+   its radius, the greatest distance of a point below it. No list of all centres
+   exists on the driver or in a task. A leaf cell with more than ``cell_size`` points is
+   split into sub-cells by a hash of the row id, so no task holds more than
    ``cell_size`` candidates however skewed the data is.
 2. **First pass.** Every point is a query in its own sub-cell; each
    (cell, sub-cell) group runs a NumPy brute force in ``applyInPandas``
    (at most ``cell_size`` x ``cell_size`` distances per task).
-3. **Exact refinement.** With ``r_q`` the current k-th distance of query q
-   and ``R_c`` the radius of cell c, a point of c can only be closer than
-   ``r_q`` if ``d(q, centre_c) - R_c < r_q`` (triangle inequality). Queries
-   are sent to exactly those (cell, sub-cell) groups not searched yet, and
-   the lists are merged per query. The result equals brute force; the work is
-   what the bound cannot prune.
+3. **Exact refinement.** With ``r`` the current k-th distance of a query, a node with
+   centre c and radius R can only hold a closer point if ``d(q, c) - R < r``
+   (triangle inequality). Queries walk down the tree again, by joins, into
+   all nodes within that bound, and meet the sub-cells not searched yet. The result
+   equals brute force; the work is what the bound cannot prune.
+
+Metrics: those of :data:`DIRECT` as they are; sqeuclidean as e * e of the euclidean
+distance e; cosine and correlation as e * e / 2 of unit vectors; seuclidean, mahalanobis and
+wminkowski on scaled or whitened vectors. Others have no triangle inequality and
+are refused with :class:`MetricError`.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..functions.materialize import materialize
+from .ids import contiguous_ids
 
 EDGE_SCHEMA = "row_id long, nbr long, d double"
 
-
 #: rows of a query block that meets the candidates of a sub-cell at once
 QUERY_BLOCK = 512
-
-
-def _brute_force(k: int, foreign: bool = False, alpha: float = 1.0, own: bool = True):
+#: children of a tree node, on average
+FAN = 64
+#: metrics with a triangle inequality that are computed on the given vectors
+DIRECT = ("euclidean", "manhattan", "chebyshev", "minkowski", "canberra", "haversine")
+
+
+class MetricError(ValueError):
+    """The metric cannot bound distances (no triangle inequality)."""
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A metric by name, with its fitted parameters (``p``, ``w``, ``V``, ``VI``)."""
+    name: str = "euclidean"
+    params: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        if self.base not in DIRECT:
+            raise MetricError(f"{self.name!r} has no triangle inequality that neighbours could be found by")
+        if self.base == "minkowski" and self.p < 1:
+            raise MetricError("minkowski needs p >= 1")
+
+    @property
+    def base(self) -> str:
+        return {"l1": "manhattan", "sqeuclidean": "euclidean", "cosine": "euclidean", "correlation": "euclidean", "seuclidean": "euclidean", "mahalanobis": "euclidean", "wminkowski": "minkowski"}.get(self.name, self.name)
+
+    @property
+    def p(self) -> float:
+        return float(self.params.get("p", 2.0))
+
+    def prepared(self, vec: str) -> Column:
+        """The vector that the base metric is computed on."""
+        v = V.as_double(vec)
+        if self.name in ("cosine", "correlation"):
+            v = V.center(v) if self.name == "correlation" else v
+            n = V.norm(v)
+            # a zero vector gets a dimension of its own: at distance 1 of all others, at 0 of zeros
+            return F.when(n > 0, F.concat(F.transform(v, lambda x: x / n), F.array(F.lit(0.0)))).otherwise(F.concat(F.transform(v, lambda x: F.lit(0.0)), F.array(F.lit(1.0))))
+        if self.name == "wminkowski":
+            return V.scale(v, self.params["w"])
+        if self.name == "seuclidean":
+            return V.scale(v, [1.0 / math.sqrt(x) if x > 0 else 0.0 for x in self.params["V"]])
+        if self.name == "mahalanobis":
+            return V.whiten(v, self.params["VI"])
+        return v
+
+    def between(self, a, b) -> Column:
+        return V.distance(a, b, self.base, **({"p": self.p} if self.base == "minkowski" else {}))
+
+    def reported(self, d: Column) -> Column:
+        return d * d / 2 if self.name in ("cosine", "correlation") else d * d if self.name == "sqeuclidean" else d
+
+    def pairwise(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Base distances of all rows of q and c, one dimension at a time
+        (differences, not the Gram form: equal points are at distance 0)."""
+        out = np.zeros((len(q), len(c)))
+        if self.base == "haversine":
+            lat = np.sin(np.subtract.outer(q[:, 0], c[:, 0]) / 2) ** 2
+            lon = np.sin(np.subtract.outer(q[:, 1], c[:, 1]) / 2) ** 2
+            return 2 * np.arcsin(np.sqrt(np.minimum(1.0, lat + np.multiply.outer(np.cos(q[:, 0]), np.cos(c[:, 0])) * lon)))
+        for j in range(c.shape[1]):
+            d = np.abs(np.subtract.outer(q[:, j], c[:, j]))
+            if self.base == "euclidean":
+                out += d ** 2
+            elif self.base == "manhattan":
+                out += d
+            elif self.base == "chebyshev":
+                np.maximum(out, d, out=out)
+            elif self.base == "minkowski":
+                out += d ** self.p
+            else:
+                both = np.add.outer(np.abs(q[:, j]), np.abs(c[:, j]))
+                out += np.divide(d, both, out=np.zeros_like(d), where=both > 0)
+        if self.base == "euclidean":
+            return np.sqrt(out)
+        return out ** (1.0 / self.p) if self.base == "minkowski" else out
+
+
+@dataclass(frozen=True)
+class PointIndex:
+    """Points by cell (row_id, _v, cell, sub), and the tree: per level (node, kids) with
+    kids of (id, c, r, nsub). Without levels there is one cell of ``nsub`` sub-cells."""
+    cells: DataFrame
+    levels: list[DataFrame]
+    nsub: int
+    metric: Metric
+
+
+def _brute_force(k: int, metric: Metric = Metric(), foreign: bool = False, alpha: float = 1.0, own: bool = True):
     """The k nearest candidates of each query by (exact distance, id); with
     ``own`` a query is no candidate of itself. With ``foreign``: candidates of
     other components only, by mutual reachability."""
@@ -53,10 +147,7 @@ def _brute_force(k: int, foreign: bool = False, alpha: float = 1.0, own: bool =
             block = qry.iloc[a:a + QUERY_BLOCK]
             Q = np.stack(block["_v"].to_numpy()).astype(float)
             qid = block["row_id"].to_numpy()
-            d2 = np.zeros((len(Q), len(C)))
-            for j in range(C.shape[1]):  # differences, not the Gram form: equal points are at distance 0
-                d2 += np.subtract.outer(Q[:, j], C[:, j]) ** 2
-            d = np.sqrt(d2)
+            d = metric.pairwise(Q, C)
             if foreign:
                 d = np.maximum(np.maximum(d / alpha, block["_core"].to_numpy()[:, None]), cand["_core"].to_numpy()[None, :])
                 d[block["_comp"].to_numpy()[:, None] == cand["_comp"].to_numpy()[None, :]] = np.inf
@@ -75,37 +166,54 @@ def _brute_force(k: int, foreign: bool = False, alpha: float = 1.0, own: bool =
     return run
 
 
-def _cells(points: DataFrame, vec: str, cell_size: int, seed: int):
-    """Coarse centres, point -> (cell, sub), cell radius and sub count."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+ROOT = -1
 
-    from .assign import nearest_groups
-    n = points.count()
-    m = max(1, math.ceil(n / cell_size))
-    if m == 1:
-        cells = points.withColumn("cell", F.lit(0)).withColumn(
-            "_dc", F.lit(0.0))
-        centres = None
-    else:
-        frac = min(1.0, (m * 32) / max(n, 1))
-        sample = points.sample(fraction=frac, seed=seed).select(array_to_vector(V.as_double(vec)).alias("f"))
-        km = KMeans(k=m, seed=seed, maxIter=8, featuresCol="f").fit(sample)
-        cent_rows = [(i, [float(x) for x in c]) for i, c in enumerate(km.clusterCenters())]
-        centres = points.sparkSession.createDataFrame(cent_rows, "group int, mean array<double>")
-        near = nearest_groups(points, centres, k=1, vec=vec)
-        cells = near.select("*", F.col("top")[0]["g"].alias("cell"), F.col("top")[0]["d"].alias("_dc")).drop("top")
-    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("_dc").alias("radius"))
-    stats = stats.withColumn("nsub", F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(cell_size))).cast("int"))
-    stats = materialize(stats)
-    cells = (cells.join(stats.select("cell", "nsub"), "cell")
-             .withColumn("sub", F.pmod(F.xxhash64("row_id"), F.col("nsub")).cast("int")))
-    return materialize(cells.select("row_id", vec, "cell", "sub")), stats, centres
 
+def _descend(rows: DataFrame, levels: list[DataFrame], metric: Metric) -> DataFrame:
+    """``rows`` (with _v) and the way to their cell: ``path`` of (node, d) per level."""
+    rows = rows.withColumn("node", F.lit(ROOT).cast("long")).withColumn("path", F.array().cast("array<struct<node:bigint,d:double>>"))
+    for level in levels:
+        near = F.array_min(F.transform("kids", lambda c: F.struct(metric.between("_v", c["c"]).alias("d"), c["id"].alias("id"))))
+        rows = (rows.join(level.select("node", "kids"), "node").withColumn("near", near)
+                .withColumn("path", F.concat("path", F.array(F.struct(F.col("near.id").alias("node"), F.col("near.d").alias("d")))))
+                .withColumn("node", F.col("near.id")).drop("kids", "near"))
+    return rows
 
-def point_index(points: DataFrame, vec: str = "reduced", cell_size: int = 2048, seed: int = 42):
-    """Cells of the points for any number of searches: (cells, stats, centres)."""
-    return _cells(points.select("row_id", V.as_double(vec).alias("_v")), "_v", cell_size, seed)
+
+def point_index(points: DataFrame, vec: str = "reduced", cell_size: int = 2048, seed: int = 42, metric: Metric | str = "euclidean", fan: int = FAN) -> PointIndex:
+    """Cells and tree of the points for any number of searches."""
+    metric = Metric(metric) if isinstance(metric, str) else metric
+    pts = points.select("row_id", metric.prepared(vec).alias("_v"))
+    n = points.count()
+    sizes = [max(1, math.ceil(n / cell_size))]
+    while sizes[-1] > fan:
+        sizes.append(math.ceil(sizes[-1] / fan))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "_v"), F.lit(1 << 52)) / float(1 << 52)
+    levels: list[DataFrame] = []
+    if sizes[0] > 1:
+        drawn = pts.withColumn("draw", draw).where(F.col("draw") < 2 * sizes[0] / n).select("_v", "draw").distinct()
+        centres = materialize(contiguous_ids(drawn, "id"))
+        for size in reversed(sizes):
+            some = centres.where(F.col("draw") < 2 * size / n).select("id", "_v")
+            kids = (_descend(some, levels, metric).groupBy("node").agg(F.collect_list(F.struct("id", F.col("_v").alias("c"))).alias("kids")))
+            kids = materialize(kids)
+            if kids.limit(1).count():  # else no centre was drawn for this level
+                levels.append(kids)
+    if not levels:
+        nsub = max(1, math.ceil(n / cell_size))
+        cells = pts.withColumn("cell", F.lit(0).cast("long")).withColumn("sub", F.pmod(F.xxhash64("row_id"), F.lit(nsub)).cast("int"))
+        return PointIndex(materialize(cells), [], nsub, metric)
+    placed = materialize(_descend(pts, levels, metric))
+    stats = (placed.select(F.posexplode("path").alias("level", "p")).groupBy("level", F.col("p.node").alias("id"))
+             .agg(F.max("p.d").alias("r"), F.ceil(F.count(F.lit(1)) / F.lit(cell_size)).cast("int").alias("nsub")))
+    stats = materialize(stats)
+    tree = []
+    for k, level in enumerate(levels):
+        kids = level.select("node", F.explode("kids").alias("k")).select("node", "k.id", "k.c").join(stats.where(F.col("level") == k).drop("level"), "id")
+        tree.append(materialize(kids.groupBy("node").agg(F.collect_list(F.struct("id", "c", "r", "nsub")).alias("kids"))))
+    last = stats.where(F.col("level") == len(levels) - 1).select(F.col("id").alias("node"), "nsub")
+    cells = placed.join(last, "node").select("row_id", "_v", F.col("node").alias("cell"), F.pmod(F.xxhash64("row_id"), F.col("nsub")).cast("int").alias("sub"))
+    return PointIndex(materialize(cells), tree, 0, metric)
 
 
 def _groups(cand: DataFrame, queries: DataFrame, run) -> DataFrame:
@@ -115,33 +223,33 @@ def _groups(cand: DataFrame, queries: DataFrame, run) -> DataFrame:
     return q.unionByName(c).groupBy("cell", "sub").applyInPandas(run, EDGE_SCHEMA)
 
 
-def _reachable(index, queries: DataFrame) -> DataFrame:
+def _reachable(index: PointIndex, queries: DataFrame) -> DataFrame:
     """A row for each query and (cell, sub-cell) that may hold a point within
-    the query's bound ``r``."""
-    _, stats, centres = index
-    if centres is None:
-        subs = F.explode(F.sequence(F.lit(0), F.lit(int(stats.first()["nsub"]) - 1)))
-        return queries.drop("r").withColumn("cell", F.lit(0)).withColumn("sub", subs)
-    cell_list = stats.join(centres.withColumnRenamed("group", "cell"), "cell")
-    cl = cell_list.select(F.collect_list(F.struct("cell", "mean", "radius", "nsub")).alias("c")).scalar()
-    reach = F.filter(F.col("_cl"), lambda c: (V.euclidean("_v", c["mean"]) - c["radius"]) <= F.col("r") * (1 + 1e-9))
+    the query's bound ``r``: a walk down the tree, one join per level."""
     keep = [c for c in queries.columns if c != "r"]
-    return (queries.withColumn("_cl", cl).select(*keep, F.explode(reach).alias("c"))
-            .select(*keep, F.col("c.cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("c.nsub") - 1)).alias("sub")))
+    if not index.levels:
+        subs = F.explode(F.sequence(F.lit(0), F.lit(index.nsub - 1)))
+        return queries.select(*keep, F.lit(0).cast("long").alias("cell"), subs.alias("sub"))
+    q = queries.withColumn("node", F.lit(ROOT).cast("long")).withColumn("nsub", F.lit(1))
+    for level in index.levels:
+        within = F.filter("kids", lambda c: index.metric.between("_v", c["c"]) - c["r"] <= F.col("r") * (1 + 1e-9) + 1e-12)
+        q = (q.join(level, "node").select(*keep, "r", F.explode(within).alias("kid"))
+             .select(*keep, "r", F.col("kid.id").alias("node"), F.col("kid.nsub").alias("nsub")))
+    return q.select(*keep, F.col("node").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)).alias("sub"))
 
 
 def knn_graph(points: DataFrame, k: int, vec: str = "reduced", cell_size: int = 2048,
-              seed: int = 42, index=None) -> DataFrame:
+              seed: int = 42, index: PointIndex | None = None, metric: Metric | str = "euclidean") -> DataFrame:
     """(row_id, nbr, d, rank) for the k nearest other points, exact; equal
     distances go to the smaller id."""
-    index = index or point_index(points, vec, cell_size, seed)
-    cells, _, centres = index
-    run = _brute_force(k)
+    index = index or point_index(points, vec, cell_size, seed, metric)
+    cells = index.cells
+    run = _brute_force(k, index.metric)
     cand = cells.select("row_id", "_v", "cell", "sub")
     first = materialize(_groups(cand, cand, run))
     merged = _merge(first, k)
-    if centres is None:
-        return _ranked(merged)
+    if not index.levels and index.nsub == 1:
+        return _ranked(merged, index.metric)
     # refinement: cells whose lower bound does not exceed the current k-th distance
     kth = merged.select("row_id", F.when(F.size("top") >= k, F.col("top")[k - 1]["d"])
                         .otherwise(F.lit(float("inf"))).alias("r"))
@@ -149,51 +257,97 @@ def knn_graph(points: DataFrame, k: int, vec: str = "reduced", cell_size: int =
             .withColumn("r", F.coalesce("r", F.lit(float("inf")))))
     again = (_reachable(index, info).where(~((F.col("_cell") == F.col("cell")) & (F.col("_sub") == F.col("sub"))))
              .select("row_id", "_v", "cell", "sub"))
-    return _ranked(_merge(first.unionByName(_groups(cand, again, run)), k))
+    return _ranked(_merge(first.unionByName(_groups(cand, again, run)), k), index.metric)
 
 
-def knn_search(index, queries: DataFrame, k: int, vec: str = "reduced") -> DataFrame:
+def knn_search(index: PointIndex, queries: DataFrame, k: int, vec: str = "reduced") -> DataFrame:
     """(row_id, nbr, d, rank): the k nearest indexed points of other rows. Query
     ids may equal ids of indexed points."""
-    from .assign import nearest_groups
-    cells, stats, centres = index
-    cand, run = cells.select("row_id", "_v", "cell", "sub"), _brute_force(k, own=False)
-    q = queries.select("row_id", V.as_double(vec).alias("_v"))
-    if centres is None:
-        return _ranked(_merge(_groups(cand, _reachable(index, q), run), k))
-    near = nearest_groups(q, centres, k=1, vec="_v").select("row_id", "_v", F.get("top", 0)["g"].alias("_cell"))
-    own = near.join(stats.select(F.col("cell").alias("_cell"), "nsub"), "_cell").select(
-        "row_id", "_v", F.col("_cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)).alias("sub"))
+    cand, run = index.cells.select("row_id", "_v", "cell", "sub"), _brute_force(k, index.metric, own=False)
+    q = queries.select("row_id", index.metric.prepared(vec).alias("_v"))
+    if not index.levels:
+        return _ranked(_merge(_groups(cand, _reachable(index, q), run), k), index.metric)
+    near = materialize(_descend(q, index.levels, index.metric).select("row_id", "_v", F.col("node").alias("_cell")))
+    subs = index.levels[-1].select(F.explode("kids").alias("k")).select(F.col("k.id").alias("_cell"), F.col("k.nsub").alias("nsub"))
+    own = near.join(subs, "_cell").select("row_id", "_v", F.col("_cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)).alias("sub"))
     first = materialize(_groups(cand, own, run))
     kth = _merge(first, k).select("row_id", F.when(F.size("top") >= k, F.col("top")[k - 1]["d"]).otherwise(F.lit(float("inf"))).alias("r"))
     info = near.join(kth, "row_id", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
     again = _reachable(index, info).where(F.col("_cell") != F.col("cell")).select("row_id", "_v", "cell", "sub")
-    return _ranked(_merge(first.unionByName(_groups(cand, again, run)), k))
+    return _ranked(_merge(first.unionByName(_groups(cand, again, run)), k), index.metric)
 
 
-def foreign_neighbours(index, labelled: DataFrame, queries: DataFrame, alpha: float = 1.0) -> DataFrame:
+def foreign_neighbours(index: PointIndex, labelled: DataFrame, queries: DataFrame, alpha: float = 1.0) -> DataFrame:
     """(row_id, nbr, d): for each query the point of another component that is
-    nearest by mutual reachability, if it is within the query's bound.
+    nearest by mutual reachability (of base distances), if it is within the query's bound.
 
     ``labelled`` has (row_id, comp, core) of all indexed points, ``queries``
     (row_id, bound). Mutual reachability is never below distance / alpha, so a cell
     farther off than bound * alpha cannot matter."""
-    cells = index[0]
-    cand = (cells.join(labelled, "row_id").select("row_id", "_v", "cell", "sub", F.col("comp").alias("_comp"),
-                                                  F.col("core").alias("_core")))
+    cand = (index.cells.join(labelled, "row_id").select("row_id", "_v", "cell", "sub", F.col("comp").alias("_comp"),
+                                                        F.col("core").alias("_core")))
     q = cand.drop("cell", "sub").join(queries, "row_id").withColumn("r", F.col("bound") * F.lit(alpha)).drop("bound")
-    found = _groups(cand, _reachable(index, q), _brute_force(1, foreign=True, alpha=alpha))
+    found = _groups(cand, _reachable(index, q), _brute_force(1, index.metric, foreign=True, alpha=alpha))
     return found.groupBy("row_id").agg(F.min(F.struct("d", "nbr")).alias("m")).select("row_id", "m.nbr", "m.d")
 
 
+def approximate_knn(points: DataFrame, k: int, vec: str = "reduced", tables: int = 8, bucket: int = 1024, rounds: int = 3, seed: int = 42,
+                    metric: Metric | str = "euclidean") -> DataFrame:
+    """(row_id, nbr, d, rank): about the k nearest other points, in time that does not
+    depend on how well bounds prune (for many dimensions).
+
+    ``tables`` times, random projections of the centred vectors cut the points into
+    buckets of about ``bucket`` points (a fuller one is split by a hash of the row id,
+    differently each time), which are searched by brute force. Then ``rounds``
+    times, a point also looks at its neighbours' neighbours and at the points that list
+    it, ``2 * k`` of those at most per point (NN-descent); every candidate's exact distance is kept.
+    Recall depends on the data; ``D10_approximate_knn`` reports it."""
+    metric = Metric(metric) if isinstance(metric, str) else metric
+    pts = materialize(points.select("row_id", metric.prepared(vec).alias("_v")))
+    n = pts.count()
+    if not n:
+        return pts.sparkSession.createDataFrame([], EDGE_SCHEMA + ", rank int")
+    dim = V.vector_dim(pts, "_v")
+    mean = [float(x) for x in pts.select(V.mean_vector("_v", dim).alias("m")).first()["m"]]
+    bits = max(0, math.ceil(math.log2(max(1, n / bucket))))
+    rng = np.random.default_rng(seed)
+    run, found = _brute_force(k, metric), None
+    for t in range(tables if bits else 1):
+        cell = F.lit(0).cast("long")
+        for _ in range(bits):
+            w = rng.normal(size=dim)
+            at = float(np.dot(w, mean))
+            side = F.aggregate(F.zip_with("_v", F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) > at
+            cell = cell * 2 + side.cast("long")
+        dealt = pts.withColumn("cell", cell)
+        nsub = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * bucket)).cast("int").alias("nsub"))
+        dealt = materialize(dealt.join(nsub, "cell").withColumn("sub", F.pmod(F.xxhash64("row_id", F.lit(t)), F.col("nsub")).cast("int")).drop("nsub"))
+        part = _groups(dealt, dealt, run)
+        found = part if found is None else found.unionByName(part)
+    best = materialize(_ranked(_merge(found.distinct(), k), Metric()))
+    for _ in range(rounds if bits else 0):
+        listed = best.select("row_id", "nbr", "rank")
+        back = listed.select(F.col("nbr").alias("row_id"), F.col("row_id").alias("nbr"), "rank")
+        # a point that very many list keeps the closest 2k of them here; all of them keep the point
+        back = back.withColumn("i", F.row_number().over(Window.partitionBy("row_id").orderBy("rank", "nbr"))).where(F.col("i") <= 2 * k).select("row_id", "nbr")
+        near = materialize(listed.select("row_id", "nbr").unionByName(back).distinct())
+        two = (near.select(F.col("nbr").alias("via"), "row_id").join(near.select(F.col("row_id").alias("via"), "nbr"), "via")
+               .where(F.col("row_id") != F.col("nbr")).select("row_id", "nbr").unionByName(near).distinct())
+        two = two.join(listed.select("row_id", "nbr"), ["row_id", "nbr"], "left_anti")
+        there = pts.select(F.col("row_id").alias("nbr"), F.col("_v").alias("_w"))
+        new = two.join(pts, "row_id").join(there, "nbr").select("row_id", "nbr", metric.between("_v", "_w").alias("d"))
+        best = materialize(_ranked(_merge(best.select("row_id", "nbr", "d").unionByName(new), k), Metric()))
+    return best.withColumn("d", metric.reported(F.col("d")))
+
+
 def _merge(edges: DataFrame, k: int) -> DataFrame:
     return (edges.groupBy("row_id")
             .agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "nbr"))), 1, k).alias("top")))
 
 
-def _ranked(merged: DataFrame) -> DataFrame:
+def _ranked(merged: DataFrame, metric: Metric) -> DataFrame:
     return (merged.select("row_id", F.posexplode("top").alias("pos", "t"))
-            .select("row_id", F.col("t.nbr").alias("nbr"), F.col("t.d").alias("d"),
+            .select("row_id", F.col("t.nbr").alias("nbr"), metric.reported(F.col("t.d")).alias("d"),
                     (F.col("pos") + 1).cast("int").alias("rank")))
 
 

@@ -88,15 +88,19 @@ def group_summaries(train: DataFrame, dim: int | None = None, vec: str = "reduce
                  .groupBy("group")
                  .agg(F.max("d").alias("max_dist"),
                       (F.max("d") - F.min("d")).alias("distance"),
-                      F.min_by(F.struct("row_id", "text"), F.struct("d", "row_id")).alias("repr")))
-    out = materialize(cents.join(per_group, "group"))
+                      F.min(F.struct("d", "row_id"))["row_id"].alias("repr_id")))
+    per_group = materialize(per_group)
+    # texts join the chosen rows only; an id with several texts gives the smallest of them
+    texts = (_attach_groups(members.select("group", "row_id", "text"), per_group.select("group", "repr_id"), "group", n_groups, row_bytes=24)
+             .where(F.col("row_id") == F.col("repr_id")).groupBy("group").agg(F.min("text").alias("repr_text")))
+    out = materialize(cents.join(per_group, "group").join(texts, "group", "left"))
     min_radius = out.select(F.min("distance")).scalar()
     # one row per group: written once, so the size checks, scalar subqueries
     # and joins downstream never re-run the member aggregation
     return materialize(out.select(
         F.col("group").cast("int").alias("group"), "mean", "x", "y", "count", "distance", "max_dist",
         F.try_divide(F.col("distance"), F.nullif(min_radius, F.lit(0.0))).alias("rel_size"),
-        F.col("repr.row_id").alias("repr_id"), F.col("repr.text").alias("repr_text"),
+        "repr_id", "repr_text",
     ))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import assign, summarise
+from .density_sql import density_cte
 from ..sources.tables import CANONICAL_CORPUS_SQL, TEXT_CORPUS_SQL, canonical_corpus, text_corpus
 
 R = 6  # decimal places compared
@@ -196,6 +197,13 @@ def q_filter_text(spark, sf_dir):
     return filters.filter_corpus(_texts(spark, sf_dir), REGEX).select("row_id", "ref")
 
 
+@register("B12_filter_text_unicode", _with(TEXTS_CTE) + """
+SELECT row_id, ref FROM corpus WHERE regexp_matches(text, '(?i)É[a-z]{2}|ÜBER')""")
+def q_filter_text_unicode(spark, sf_dir):
+    """Letters beyond ASCII match in either case."""
+    return filters.filter_corpus(_texts(spark, sf_dir), "É[a-z]{2}|ÜBER").select("row_id", "ref")
+
+
 @register("B14_filter_ref_target", _with(TEXTS_CTE) + """
 SELECT row_id, ref, target FROM corpus WHERE ref = 'src3' AND target IN (1)""")
 def q_filter_ref_target(spark, sf_dir):
@@ -623,6 +631,51 @@ def q_reduce(spark, sf_dir):
     return reduce_op.transform(c, lm).select("row_id", F.size("reduced").alias("dim"))
 
 
+SCATTER_CTE = """dims AS (SELECT t.row_id, t.target, u.v, u.i FROM corpus t, UNNEST(t.embedding) WITH ORDINALITY AS u(v, i) WHERE t."set" = 'train'),
+cov AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM dims a JOIN dims b USING (row_id) GROUP BY 1, 2),
+mu AS (SELECT i, avg(v) AS m FROM dims GROUP BY i),
+cls AS (SELECT target, d.i, avg(v) AS m, count(*) AS n FROM dims d WHERE target IS NOT NULL AND target <> -1 GROUP BY 1, 2),
+btw AS (SELECT a.i, b.i AS j, sum(a.n * (a.m - p.m) * (b.m - q.m)) / (SELECT count(DISTINCT row_id) FROM dims) AS c
+        FROM cls a JOIN cls b ON a.target = b.target JOIN mu p ON p.i = a.i JOIN mu q ON q.i = b.i GROUP BY 1, 2)"""
+
+
+def _map_identities(reduced, with_labels: bool):
+    """Trace, squared norm and largest entry off the diagonal of the scatter that a map
+    onto all axes gives. An orthogonal map keeps the first two, and only the scatter's own axes
+    make the third 0."""
+    import numpy as np
+
+    from ..functions.linalg import covariance, mean_and_count, weighted_scatter
+    dim = V.vector_dim(reduced, "reduced")
+    m = covariance(reduced, "reduced", dim)
+    if with_labels:
+        mu, n = mean_and_count(reduced, "reduced")
+        classes = (reduced.where(F.col("target").isNotNull() & (F.col("target") != -1)).groupBy("target")
+                   .agg(V.mean_vector("reduced", dim).alias("m"), F.count(F.lit(1)).alias("n")))
+        m = 0.5 * m + 0.5 * weighted_scatter(classes, "m", "n", mu) / max(n, 1)
+    off = m - np.diag(np.diag(m))
+    falls = bool((np.diff(np.diag(m)) <= 1e-9).all())
+    return reduced.sparkSession.createDataFrame([(round(float(np.trace(m)), 6), round(float((m ** 2).sum()), 6), round(float(np.abs(off).max()), 6), falls)],
+                                                "trace double, squares double, off_diagonal double, descending boolean")
+
+
+@register("D4_pca_identities", _with(CORPUS_CTE, SCATTER_CTE) + f"""
+SELECT round(sum(c) FILTER (WHERE i = j), {R}) AS trace, round(sum(c * c), {R}) AS squares, 0.0::DOUBLE AS off_diagonal, true AS descending FROM cov""")
+def q_pca_identities(spark, sf_dir):
+    """D4 + D6: the map onto all principal axes of the train rows' embeddings."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    return _map_identities(reduce_op.transform(train, reduce_op.fit_pca(train, "embedding", 64)), False)
+
+
+@register("D5_supervised_identities", _with(CORPUS_CTE, SCATTER_CTE) + f"""
+, s AS (SELECT i, j, 0.5 * cov.c + 0.5 * coalesce(btw.c, 0) AS c FROM cov LEFT JOIN btw USING (i, j))
+SELECT round(sum(c) FILTER (WHERE i = j), {R}) AS trace, round(sum(c * c), {R}) AS squares, 0.0::DOUBLE AS off_diagonal, true AS descending FROM s""")
+def q_supervised_identities(spark, sf_dir):
+    """D5 + D6 (D16 has the same fit): the supervised map onto all its axes."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    return _map_identities(reduce_op.transform(train, reduce_op.fit_supervised(train, "embedding", "target", 64)), True)
+
+
 @register("D5_reduce_supervised")
 def q_reduce_sup(spark, sf_dir):
     """Reduction supervised by the target (quality label)."""
@@ -656,19 +709,72 @@ def q_knn(spark, sf_dir):
     return out.select("row_id", "nbr", _r("d").alias("d"), "rank")
 
 
+@register("D10_knn_metrics", _with(CORPUS_CTE) + f"""
+, tv AS (SELECT t.row_id, u.v, u.i FROM corpus t, UNNEST(t.reduced) WITH ORDINALITY AS u(v, i) WHERE t."set" = 'train'),
+pd AS (SELECT a.row_id, b.row_id AS nbr, sum(abs(a.v - b.v)) AS l1, max(abs(a.v - b.v)) AS far,
+              1 - sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))) AS cs
+       FROM tv a JOIN tv b ON a.i = b.i AND a.row_id <> b.row_id GROUP BY a.row_id, b.row_id),
+m AS (SELECT 'manhattan' AS metric, row_id, nbr, l1 AS d FROM pd UNION ALL SELECT 'chebyshev', row_id, nbr, far FROM pd UNION ALL SELECT 'cosine', row_id, nbr, cs FROM pd),
+rk AS (SELECT *, row_number() OVER (PARTITION BY metric, row_id ORDER BY d, nbr) AS rank FROM m)
+SELECT metric, row_id, nbr, round(d, {R}) AS d, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= {KNN_K}""")
+def q_knn_metrics(spark, sf_dir):
+    """D9 + D10: exact nearest neighbours under three other metrics."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    out = None
+    for m in ("manhattan", "chebyshev", "cosine"):
+        part = neighbours.knn_graph(train, KNN_K, vec="reduced", cell_size=128, metric=m).select(F.lit(m).alias("metric"), "row_id", "nbr", _r("d").alias("d"), "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("D10_approximate_knn", _with(CORPUS_CTE) + f"""
+SELECT row_id, {KNN_K}::BIGINT AS n, true AS recall_reached FROM corpus WHERE "set" = 'train'""")
+def q_approximate_knn(spark, sf_dir):
+    """The approximate graph of the train rows, with whether 0.9 of the
+    exact graph's links are in it."""
+    from ..functions.materialize import materialize
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train").select("row_id", "reduced")
+    got = materialize(neighbours.approximate_knn(train, KNN_K, bucket=64))
+    want = neighbours.knn_graph(train, KNN_K).select("row_id", "nbr")
+    recall = want.join(got.select("row_id", "nbr", F.lit(1).alias("hit")), ["row_id", "nbr"], "left").agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+    return got.groupBy("row_id").agg(F.count("nbr").alias("n")).crossJoin(F.broadcast(recall))
+
+
+TR_CTE = "tr AS (SELECT * FROM corpus WHERE \"set\" = 'train')"
+DENSITY = _with("RECURSIVE " + CORPUS_CTE, TR_CTE, density_cte())
+# the rows with their density labels, for the group tables above
+LABELLED_CTE = "train AS (SELECT tr.* EXCLUDE (predict), lab.predict FROM tr JOIN lab USING (row_id))"
+
+
 def _clustered(spark, sf_dir):
     train = _corpus(spark, sf_dir).where(F.col("set") == "train")
     return train, density.hdbscan(train, ClusteringParams(min_cluster_size=5))
 
 
-@register("D11_density_clusters")
+@register("D11_density_clusters", DENSITY + "SELECT row_id, predict FROM lab")
 def q_density(spark, sf_dir):
-    """HDBSCAN* labels of the train rows (row count = train rows)."""
+    """HDBSCAN* labels of the train rows."""
     _, (labels, _, _) = _clustered(spark, sf_dir)
     return labels.select("row_id", "predict")
 
 
-@register("E12_tree_nodes")
+@register("D11_condensed_tree", _with("RECURSIVE " + CORPUS_CTE, TR_CTE, density_cte("[t.x, t.y]")) + f"""
+SELECT parent, child, round(lam, {R}) AS lambda_val, size AS child_size, grp AS "group", round(stab, {R}) AS stability, grp IS NOT NULL AS selected FROM ctree""")
+def q_condensed_tree(spark, sf_dir):
+    """The condensed tree of the train rows' x and y, every node."""
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train").select("row_id", F.array("x", "y").alias("xy"))
+    _, ctree, _ = density.hdbscan(train, ClusteringParams(min_cluster_size=5, local_edges=128), vec="xy")
+    return ctree.select("parent", "child", _r("lambda_val").alias("lambda_val"), "child_size", "group", _r("stability").alias("stability"), "selected")
+
+
+@register("E12_tree_nodes", DENSITY.rstrip() + ",\n" + ",\n".join([LABELLED_CTE, MEMBER_DIMS_CTE, CENT_DIMS_CTE, MEMBER_DIST_CTE, SUMMARY_CTE]) + """,
+walk AS (SELECT child, 1 AS depth, false AS trimmed, grp IS NOT NULL AS named FROM ctree WHERE parent NOT IN (SELECT child FROM ctree)
+         UNION ALL SELECT c.child, depth + 1, walk.trimmed OR walk.named, c.grp IS NOT NULL FROM walk JOIN ctree c ON c.parent = walk.child)
+SELECT c.child AS node, c.parent, coalesce(c.grp, -c.child)::BIGINT AS id,
+       CASE WHEN c.grp IS NULL THEN printf('[%d] %f', c.child, c.lam) ELSE '[' || c.grp || '] ' || summ.repr_text END AS label,
+       c.size AS "count", depth::INTEGER AS depth, trimmed
+FROM ctree c JOIN walk USING (child) LEFT JOIN summ ON summ.grp = c.grp
+UNION ALL SELECT DISTINCT parent, NULL, -parent, NULL, NULL, 0, false FROM ctree WHERE parent NOT IN (SELECT child FROM ctree)""")
 def q_tree_nodes(spark, sf_dir):
     """E11 + E12: condensed-tree edges with labels, depth and trim flag."""
     train, (labels, ctree, _) = _clustered(spark, sf_dir)
@@ -678,7 +784,9 @@ def q_tree_nodes(spark, sf_dir):
     return tree.tree_nodes(edges)
 
 
-@register("E13_tree_filter")
+@register("E13_tree_filter", DENSITY.rstrip() + """,
+down AS (SELECT child AS node, child AS d FROM ctree UNION ALL SELECT down.node, c.child FROM down JOIN ctree c ON c.parent = down.d)
+SELECT node, bool_or(coalesce(c.grp IN (0, 1, 2), false)) AS "open" FROM down JOIN ctree c ON c.child = down.d GROUP BY node""")
 def q_tree_filter(spark, sf_dir):
     """Tree nodes open for the groups 0-2."""
     _, (_, ctree, _) = _clustered(spark, sf_dir)
@@ -805,7 +913,13 @@ def q_train_result(spark, sf_dir):
                          _r("distance").alias("distance"), "repr_text")
 
 
-@register("D12_density_predict")
+@register("D12_density_predict", DENSITY.rstrip() + """,
+dv AS (SELECT c.row_id, u.v, u.i FROM corpus c, UNNEST(c.reduced) WITH ORDINALITY AS u(v, i) WHERE c."set" = 'dev'),
+far AS (SELECT a.row_id, b.row_id AS nbr, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS d FROM dv a JOIN dims b ON a.i = b.i GROUP BY 1, 2),
+near AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, nbr) AS k FROM far QUALIFY k <= 5),
+own AS (SELECT row_id, max(d) AS own FROM near GROUP BY row_id)
+SELECT near.row_id, arg_min(lab.predict, (greatest(core.c, own, d), d, nbr)) AS predict
+FROM near JOIN own USING (row_id) JOIN core ON core.x = nbr JOIN lab ON lab.row_id = nbr GROUP BY near.row_id""")
 def q_density_predict(spark, sf_dir):
     """Dev rows take the group of the nearest train row by mutual
     reachability (train labels from D11)."""
@@ -870,28 +984,43 @@ def q_csv_by_position(spark, sf_dir):
     return back.select(F.col("ref").cast("long").alias("ref"), "text", "set")
 
 
+def _as_documents_of_json(rows, path, opening: str, closing: str):
+    """Each task's rows as one JSON document over many lines, written as a text file."""
+    def run(batches):
+        import pyarrow as pa
+        held = None
+        for b in batches:
+            for line in b.column(0).to_pylist():
+                if held is not None:
+                    yield pa.RecordBatch.from_pydict({"value": [held + ","]})
+                held = opening + line if held is None else line
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"value": [held + closing]})
+    rows.repartition(3).mapInArrow(run, "value string").write.text(path)
+
+
 @register("A2_json_array", """
-SELECT item_id AS ref, text FROM benchmark""")
+SELECT doc_id AS ref, text FROM documents""")
 def q_json_array(spark, sf_dir):
-    """A2: the benchmark as one JSON array, its layout found by reading it."""
+    """A2: whole documents as a folder of JSON arrays, the layout found by reading."""
     from ..sources import files
     from ..sources.tables import read_table
     path = _scratch(spark, "json_array")
-    rows = read_table(spark, sf_dir, "benchmark").select(F.to_json(F.struct("item_id", "text")).alias("j"))
-    (rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value")).write.text(path))
-    back = files.read_json_roles(spark, path, {"ref": "item_id", "text": "text"})
+    _as_documents_of_json(read_table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "text")).alias("j")), path, "[", "]")
+    back = files.read_json_roles(spark, path, {"ref": "doc_id", "text": "text"})
     return back.select(F.col("ref").cast("long").alias("ref"), "text")
 
 
 @register("A2_json_keyed", """
-SELECT CAST(item_id AS VARCHAR) AS ref, text FROM benchmark""")
+SELECT CAST(doc_id AS VARCHAR) AS ref, text FROM documents""")
 def q_json_keyed(spark, sf_dir):
-    """A2: the benchmark as one object keyed by row id."""
+    """A2: whole documents as a folder of objects keyed by row id."""
     from ..sources import files
     from ..sources.tables import read_table
     path = _scratch(spark, "json_keyed")
-    rows = read_table(spark, sf_dir, "benchmark").select(
-        F.concat(F.lit('"'), F.col("item_id").cast("string"), F.lit('": '), F.to_json(F.struct("text"))).alias("j"))
-    (rows.agg(F.concat(F.lit("{"), F.array_join(F.collect_list("j"), ",\n"), F.lit("}")).alias("value")).write.text(path))
+    line = F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('": '), F.to_json(F.struct("text")))
+    _as_documents_of_json(read_table(spark, sf_dir, "documents").select(line.alias("j")), path, "{", "}")
     back = files.read_json_roles(spark, path, {"ref": "_key", "text": "text"})
     return back.select("ref", "text")
+
+

@@ -29,10 +29,15 @@ def _fixed(v) -> str | None:
     return s[len("fixed:"):] if s.startswith("fixed:") else None
 
 
-def apply_roles(df: DataFrame, roles: dict, by_position: bool) -> DataFrame:
+def _place() -> tuple:
+    """Where a row was read: the file, and the block of it that a task scanned."""
+    return F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+
+
+def apply_roles(df: DataFrame, roles: dict, by_position: bool, place: bool = False) -> DataFrame:
     """Select mapped columns under their role names, add fixed roles as
     literals (A5) and cast each role to its corpus type. Two roles may read
-    the same column (fixes Q4)."""
+    the same column (fixes Q4). ``place`` adds the file and block of a file scan."""
     if "text" not in roles:
         raise LoadError("a text role is required")
     cols = []
@@ -58,17 +63,20 @@ def apply_roles(df: DataFrame, roles: dict, by_position: bool) -> DataFrame:
         elif t is not None:
             c = c.cast(t)
         cols.append(c.alias(role))
-    return df.select(*cols)
+    if place and "_file" in df.columns:
+        return df.select(*cols, "_file", "_block")
+    return df.select(*cols, *_place()) if place else df.select(*cols)
 
 
 def read_csv_roles(spark: SparkSession, path: str, roles: dict, comment: str | None = None,
                    skip_first: int = 0, multi_line: bool = True, na_values: str | None = None,
-                   header: bool = False) -> DataFrame:
+                   header: bool = False, place: bool = False) -> DataFrame:
     """A1: headerless CSV by position. ``multi_line`` (default) keeps quoted
     newlines inside a text (one task per file); ``multi_line=False`` splits
     large files across tasks for one-line texts. ``skip_first`` drops the
     first physical lines of each file."""
     if skip_first:
+        place = False
         width = max((int(v) + 1 for v in roles.values() if not str(v).startswith("fixed:")), default=1)
         df = _read_csv_skipping(spark, path, skip_first, comment, header, multi_line, width)
         if na_values is not None:
@@ -81,7 +89,7 @@ def read_csv_roles(spark: SparkSession, path: str, roles: dict, comment: str | N
         if na_values is not None:
             reader = reader.option("nullValue", na_values)
         df = reader.csv(path)
-    return apply_roles(df, roles, by_position=True)
+    return apply_roles(df, roles, by_position=True, place=place)
 
 
 def _read_csv_skipping(spark, path, skip, comment, header, multi_line=True, width=0) -> DataFrame:
@@ -98,7 +106,7 @@ def _read_csv_skipping(spark, path, skip, comment, header, multi_line=True, widt
     return r.load()
 
 
-def read_json_roles(spark: SparkSession, path: str, roles: dict, layout: str = "auto") -> DataFrame:
+def read_json_roles(spark: SparkSession, path: str, roles: dict, layout: str = "auto", place: bool = False) -> DataFrame:
     """A2: JSON Lines, an array of records, or one object keyed by row id
     (read as ``map<string, struct>`` and exploded; the key becomes ``_key``).
     The role projection runs once, after reading (fixes Q5)."""
@@ -112,7 +120,7 @@ def read_json_roles(spark: SparkSession, path: str, roles: dict, layout: str = "
         df = _explode_keyed(spark, path, roles)
     else:
         raise LoadError(f"unknown JSON layout {layout!r}")
-    return apply_roles(df, roles, by_position=False)
+    return apply_roles(df, roles, by_position=False, place=place)
 
 
 def _explode_keyed(spark: SparkSession, path: str, roles: dict) -> DataFrame:
@@ -122,7 +130,7 @@ def _explode_keyed(spark: SparkSession, path: str, roles: dict) -> DataFrame:
     with a schema made from the roles, so no record decides for another."""
     raw = spark.read.text(path, wholetext=True)
     pairs = raw.select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType())))
-                       .alias("_key", "_json"))
+                       .alias("_key", "_json"), *_place())
     fields = {}
     for role, name in roles.items():
         if str(name).startswith("fixed:") or name == "_key":
@@ -130,26 +138,27 @@ def _explode_keyed(spark: SparkSession, path: str, roles: dict) -> DataFrame:
         t = ROLE_TYPES.get(role)
         fields[name] = t if isinstance(t, T.ArrayType) else fields.get(name, T.StringType())
     if not fields:
-        return pairs.select("_key")
+        return pairs.select("_key", "_file", "_block")
     schema = T.StructType([T.StructField(n, t) for n, t in fields.items()])
-    return pairs.select("_key", F.from_json("_json", schema).alias("_rec")).select("_key", "_rec.*")
+    return pairs.select("_key", F.from_json("_json", schema).alias("_rec"), "_file", "_block").select("_key", "_rec.*", "_file", "_block")
 
 
 def json_layout(spark: SparkSession, path: str) -> str:
-    """``lines``, ``array`` or ``keyed``, decided by a Spark read of all lines:
-    JSON Lines if each line is an object by itself; a single object whose
-    values are all objects is keyed by row id."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    """``lines``, ``array`` or ``keyed``, decided by a Spark read of all lines of
+    the file or of all files of a folder: JSON Lines if each line is an object by
+    itself; files that are one object each, whose values are all objects, are
+    keyed by row id."""
+    lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_path")).where(F.trim("value") != "")
     start = F.substring(F.trim("value"), 1, 1)
     whole = F.get_json_object("value", "$").isNotNull()
     values = F.map_values(F.from_json("value", T.MapType(T.StringType(), T.StringType())))
     keyed = whole & (start == "{") & (F.size(values) > 0) & F.forall(values, lambda v: F.coalesce(v.startswith("{"), F.lit(False)))
-    n, objects, keyed_lines = lines.agg(F.count(F.lit(1)), F.count(F.when(whole & (start == "{"), 1)),
-                                        F.count(F.when(keyed, 1))).first()
+    by_file = lines.groupBy("_file").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(whole & (start == "{"), 1)).alias("o"), F.count(F.when(keyed, 1)).alias("k"))
+    n, longest, objects, keyed_lines = by_file.agg(F.sum("n"), F.max("n"), F.sum("o"), F.sum("k")).first()
     if not n:
         return "lines"
     if n == objects:
-        return "keyed" if n == 1 and keyed_lines else "lines"
+        return "keyed" if longest == 1 and keyed_lines == n else "lines"
     return "array" if lines.select(start).first()[0] == "[" else "keyed"
 
 
@@ -182,13 +191,13 @@ def load_dataset(spark: SparkSession, corpus: DataFrame | None, filename: str, t
     roles = roles or {"text": 0}
     dedupe_sets = kw.pop("dedupe_sets", ("train",))
     if type == "csv":
-        new = read_csv_roles(spark, filename, roles, **kw)
+        new = read_csv_roles(spark, filename, roles, place=True, **kw)
     elif type == "json":
-        new = read_json_roles(spark, filename, roles, **kw)
+        new = read_json_roles(spark, filename, roles, place=True, **kw)
     elif type in ("sqlite", "sqlite3", "db"):
         new = read_sqlite_roles(spark, filename, roles, **kw)
     elif type == "parquet":
-        new = apply_roles(spark.read.parquet(filename), roles, by_position=False)
+        new = apply_roles(spark.read.parquet(filename), roles, by_position=False, place=True)
     elif type == "export":
         new = read_export(spark, filename)
     else:

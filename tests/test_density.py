@@ -221,10 +221,13 @@ def test_spectral_coordinates_match_numpy(spark):
 
 def _exact_mst(X, k, alpha=1.0):
     """Sorted edge weights of Prim's tree on the complete mutual-reachability graph."""
-    n = len(X)
     d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
     core = np.sort(d, axis=1)[:, k]
-    mr = np.maximum(np.maximum(core[:, None], core[None]), d / alpha)
+    return _prim(np.maximum(np.maximum(core[:, None], core[None]), d / alpha))
+
+
+def _prim(mr):
+    n = len(mr)
     best, inside, out = mr[0].copy(), np.zeros(n, bool), []
     inside[0] = True
     for _ in range(n - 1):
@@ -271,3 +274,44 @@ def test_knn_ties_go_to_the_smaller_id(spark):
     got = neighbours.knn_graph(_points(spark, X), 6, cell_size=16).toPandas().sort_values(["row_id", "rank"])
     want = neighbours.brute_force_knn(_points(spark, X), 6).sort_values(["row_id", "rank"])
     assert (got["nbr"].to_numpy() == want["nbr"].to_numpy()).all()
+
+
+@pytest.mark.parametrize("name,params", [("manhattan", {}), ("chebyshev", {}), ("minkowski", {"p": 3.0}), ("canberra", {}), ("haversine", {}), ("sqeuclidean", {}), ("correlation", {}),
+                                         ("seuclidean", {"V": [1.0, 4.0, 0.5]}), ("mahalanobis", {"VI": [[2.0, 0.5, 0.0], [0.5, 1.0, 0.0], [0.0, 0.0, 3.0]]})])
+def test_knn_by_metric(spark, name, params):
+    """Through a tree of three levels; a third of the points are copies."""
+    from corpusgrove.functions import vectors as V
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(150, 2 if name == "haversine" else 3))
+    X[:50] = X[0]
+    df = _points(spark, X)
+    got = neighbours.knn_graph(df, 3, index=neighbours.point_index(df, cell_size=8, fan=3, metric=neighbours.Metric(name, params)))
+    pairs = df.crossJoin(df.select(F.col("row_id").alias("nbr"), F.col("reduced").alias("other"))).where("row_id <> nbr")
+    want = pairs.select("row_id", "nbr", V.distance("reduced", "other", name, **params).alias("d")).toPandas()
+    want = want.assign(d=want.d.round(9)).sort_values(["row_id", "d", "nbr"]).groupby("row_id").head(3)
+    got = got.toPandas().assign(d=lambda x: x.d.round(9)).sort_values(["row_id", "rank"])
+    assert np.allclose(got.d.to_numpy(), want.d.to_numpy()) and len(got) == 450
+
+
+def test_metrics_without_bounds_are_refused():
+    for name in ("braycurtis", "nonsense"):
+        with pytest.raises(neighbours.MetricError):
+            neighbours.Metric(name)
+
+
+def test_cosine_tree_equals_its_own_distances(spark):
+    X = np.random.default_rng(8).normal(size=(60, 4))
+    got = density.mutual_reachability_mst(_points(spark, X), 3, metric="cosine", cell_size=16).toPandas()
+    U = X / np.linalg.norm(X, axis=1)[:, None]
+    d = 1 - U @ U.T
+    core = np.sort(d, axis=1)[:, 3]
+    mr = np.maximum(np.maximum(core[:, None], core[None]), d)
+    assert got.w.sum() == pytest.approx(_prim(mr).sum())
+
+
+def test_approximate_knn(spark):
+    X = np.random.default_rng(9).normal(size=(400, 6))
+    df = _points(spark, X)
+    got = {(r["row_id"], r["nbr"]) for r in neighbours.approximate_knn(df, 5, tables=3, bucket=64, rounds=2).collect()}
+    want = neighbours.brute_force_knn(df, 5)
+    assert len(got) == 2000 and len(got & set(zip(want.row_id, want.nbr))) >= 1800

@@ -150,3 +150,26 @@ def test_npy_blob_fallbacks(spark):
     df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "i int, b binary")
     got = {r["i"]: r["v"] for r in df.select("i", decode_npy("b").alias("v")).collect()}
     assert got == {0: [1.0, 2.0], 1: [12.0], 2: [1.5], 3: None, 4: None, 5: None}
+
+
+def test_rows_are_numbered_file_by_file(spark, tmp_path):
+    """The second file is the largest, so Spark reads it first."""
+    from corpusgrove.sources import files
+    for name, n in (("a", 3), ("b", 4000), ("c", 2)):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{name}{i},x\n" for i in range(n)))
+    got = files.load_dataset(spark, None, str(tmp_path), "csv", {"text": 0}).select("row_id", "text").orderBy("row_id").collect()
+    assert [r["text"] for r in got] == [f"{n}{i}" for n, k in (("a", 3), ("b", 4000), ("c", 2)) for i in range(k)]
+
+
+def test_json_folders(spark, tmp_path):
+    from corpusgrove.sources import files
+    (tmp_path / "k").mkdir()
+    (tmp_path / "k/1.json").write_text('{"7": {"text": "a"}}')
+    (tmp_path / "k/2.json").write_text('{"8": {"text": "b"}, "9": {"text": "c"}}')
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l/1.json").write_text('{"text": "a"}\n{"text": "b"}')
+    (tmp_path / "l/2.json").write_text('{"text": "c"}')
+    assert files.json_layout(spark, str(tmp_path / "k")) == "keyed" and files.json_layout(spark, str(tmp_path / "l")) == "lines"
+    for folder in ("k", "l"):
+        got = files.load_dataset(spark, None, str(tmp_path / folder), "json", {"text": "text"})
+        assert [r["text"] for r in got.orderBy("row_id").collect()] == ["a", "b", "c"]
