@@ -5,8 +5,10 @@ document fails a rule if it has fewer than 50 words, more than half of its words
 repeat, more than one symbol per ``SYMBOL_WORDS`` words, or a third of its lines
 or more are duplicates. Failures are summed by host (``source``), with
 partial sums first, so a host with a third of all rows is one row per task. The rates are
-shrunk with a beta prior fitted to the hosts by moments: few documents say little
-about a host. A host fails if its shrunk rate is above ``HOST_LIMIT``. The
+shrunk with a beta prior fitted to the hosts by moments. The variance of the rates is in
+part the chance of few documents: with rate m and n documents it is m * (1 - m) *
+(1 / n + (1 - 1 / n) * r), where r = 1 / (strength + 1) is what the hosts themselves differ
+by. So hosts that differ no more than chance would have it get the strongest prior. A host fails if its shrunk rate is above ``HOST_LIMIT``. The
 verdicts are joined back to the measures. Texts take no part in the join.
 
 Null text: no words, so it fails. Null host: no host verdict. Null ids and
@@ -73,9 +75,11 @@ def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("k")))
     rate = F.col("k") / F.col("n")
     # three numbers describe the hosts, however many there are
-    m, v, n = hosts.agg(F.avg(rate), F.var_pop(rate), F.count(F.lit(1))).first()
+    m, v, n, chance = hosts.agg(F.avg(rate), F.var_pop(rate), F.count(F.lit(1)), F.avg(1 / F.col("n"))).first()
     inner = n >= 2 and 0 < m < 1
-    strength = max(1.0, min(1000.0, m * (1 - m) / v - 1)) if inner and v > 0 else 2.0
+    # hosts of one document each tell nothing of how hosts differ
+    r = (v / (m * (1 - m)) - chance) / (1 - chance) if inner and chance < 1 else 0.0
+    strength = (max(1.0, min(1000.0, 1 / r - 1)) if r > 0 else 1000.0) if inner else 2.0
     a = (m if inner else 0.5) * strength
     return hosts.withColumn("rate", (F.col("k") + a) / (F.col("n") + strength)).withColumn("host_failed", F.col("rate") > limit)
 
@@ -119,10 +123,12 @@ WITH w AS (
 ), hosts AS (
   SELECT source, count(*) AS n, sum(failed::INT) AS k FROM g WHERE source IS NOT NULL GROUP BY source
 ), mo AS (
-  SELECT avg(k / n) AS m, coalesce(var_pop(k / n), 0) AS v, count(*) AS hosts FROM hosts
+  SELECT avg(k / n) AS m, coalesce(var_pop(k / n), 0) AS v, avg(1 / n) AS chance, count(*) AS hosts FROM hosts
+), differ AS (
+  SELECT *, (hosts >= 2 AND m > 0 AND m < 1) AS inside, CASE WHEN hosts >= 2 AND m > 0 AND m < 1 AND chance < 1 THEN (v / (m * (1 - m)) - chance) / (1 - chance) ELSE 0 END AS r FROM mo
 ), prior AS (
-  SELECT CASE WHEN hosts < 2 OR v <= 0 OR m <= 0 OR m >= 1 THEN 2.0 ELSE greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) END AS s,
-         CASE WHEN hosts < 2 OR m <= 0 OR m >= 1 THEN 0.5 ELSE m END AS c FROM mo
+  SELECT CASE WHEN NOT coalesce(inside, false) THEN 2.0 WHEN r > 0 THEN greatest(1.0, least(1000.0, 1 / r - 1)) ELSE 1000.0 END AS s,
+         CASE WHEN coalesce(inside, false) THEN m ELSE 0.5 END AS c FROM differ
 ), bad AS (
   SELECT source FROM hosts, prior WHERE (k + c * s) / (n + s) > 0.6
 )

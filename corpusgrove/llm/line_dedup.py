@@ -15,14 +15,19 @@ document id that holds it.
 
 ``insert`` sums a batch to one row per key first, so a line that a third of all
 documents share is one row. The shard's filter then tells keys that are surely
-new (appended as they are) from those that may exist (merged with the exact
-table). ``delete`` takes references away. Only keys whose largest document went
-are counted again from ``refs``, and keys without references leave the filter.
-After a deletion the index equals one that never saw the documents.
+new (appended to the table as they are) from those that may exist (looked up in it). New keys
+are added to the stored filters of their shards; other shards' filters stay as they are. A
+filter is dealt anew from the exact table only when it is full. ``delete`` takes
+references away. Only keys whose largest document went are counted again from
+``refs``, and keys without references are deleted from their shards' filters.
+After a deletion the tables equal those of an index that never saw the documents.
 
 Keys are 128-bit hashes (two independent 64-bit ones). Null or empty text: one
-empty line. Null ids: their lines count for no document and stay. Repeated ids
-are one document. An empty table gives an empty result.
+empty line. Null ids: their lines count for no document and stay. Rows with one id
+are one document (a key counts once), but each row loses its own lines: rows are told
+apart by a hash of their text. Equal rows lose the same lines. Very long texts are read
+whole. Columns with other names are carried in a struct, so none can clash. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ MIN_DOCS = 3
 #: distinct keys of one shard, about
 SHARD_KEYS = 250_000
 
-_REFS = "doc_id long, line int, lead boolean, k1 long, k2 long"
+_REFS = "doc_id long, row long, line int, lead boolean, k1 long, k2 long"
 _COUNTS = "shard int, k1 long, k2 long, n_docs long, max_doc long"
 
 
@@ -50,9 +55,9 @@ class CuckooFilter:
     """Buckets of four 16-bit fingerprints; vectorised insert, contains, delete.
 
     A key lives in one of two buckets; each follows from the other and the
-    fingerprint. Zero marks a free slot. ``insert`` doubles the table when a
-    key cannot be placed, so it never loses one. The full keys come from the
-    exact table, since fingerprints alone cannot be dealt anew.
+    fingerprint. Zero marks a free slot. ``insert`` is false when a key cannot be
+    placed: the filter is then of no use and is dealt anew, larger (``of``). The full keys
+    for that come from the exact table, since fingerprints alone cannot be dealt.
     """
 
     SLOTS = 4
@@ -64,8 +69,8 @@ class CuckooFilter:
         self.table = table
 
     @classmethod
-    def of(cls, keys: np.ndarray) -> CuckooFilter:
-        size = max(1, len(keys))
+    def of(cls, keys: np.ndarray, room: int = 1) -> CuckooFilter:
+        size = max(1, len(keys) * room)
         while True:
             f = cls(size)
             if f.insert(keys):
@@ -175,7 +180,7 @@ def _references(min_chars: int):
             r, p, q = row[at][order], k1[order], k2[order]
             lead[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
             yield pa.RecordBatch.from_arrays([
-                ids.take(pa.array(r + i)), pa.array((at - first[row[at]])[order].astype(np.int32)), pa.array(lead),
+                ids.take(pa.array(r + i)), b.column(2).take(pa.array(r + i)), pa.array((at - first[row[at]])[order].astype(np.int32)), pa.array(lead),
                 pa.array(p.view(np.int64)), pa.array(q.view(np.int64))], names=[f.split()[0] for f in _REFS.split(", ")])
     return run
 
@@ -219,9 +224,36 @@ def _test(key, rows, filters):
     return rows.append_column("seen", pa.array(seen, pa.bool_()))
 
 
+def _shard(key, data: bytes | None):
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
+
+
+def _keys(rows) -> np.ndarray:
+    return np.asarray(rows.column("k1").combine_chunks()).view(np.uint64)
+
+
 def _build(key, rows):
-    f = CuckooFilter.of(np.asarray(rows.column("k1").combine_chunks()).view(np.uint64))
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([f.to_bytes()], pa.binary())})
+    # room for as many keys again, so that the next insertions find a place
+    return _shard(key, CuckooFilter.of(_keys(rows), room=2).to_bytes())
+
+
+def _extend(key, rows, filters):
+    """The shard's filter with the new keys; null if it is full."""
+    if not filters.num_rows:
+        return _build(key, rows)
+    if not rows.num_rows:
+        return _shard(key, filters.column("data")[0].as_py())
+    f = CuckooFilter.from_bytes(filters.column("data")[0].as_py())
+    return _shard(key, f.to_bytes() if f.insert(_keys(rows)) else None)
+
+
+def _shrink(key, rows, filters):
+    """The shard's filter without the keys."""
+    if not filters.num_rows:
+        return _shard(key, None).slice(0, 0)
+    f = CuckooFilter.from_bytes(filters.column("data")[0].as_py())
+    f.delete(_keys(rows) if rows.num_rows else np.zeros(0, np.uint64))
+    return _shard(key, f.to_bytes())
 
 
 @dataclass(frozen=True)
@@ -241,7 +273,8 @@ class LineIndex:
 
     def references(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Lines of ``docs`` that may count."""
-        docs = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
+        text = F.col(text_col).cast("string")
+        docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text, F.xxhash64(text))
         return arrow_map(docs, _references(self.min_chars), _REFS)
 
     def _summed(self, refs: DataFrame) -> DataFrame:
@@ -250,18 +283,34 @@ class LineIndex:
                 .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
                 .withColumn("shard", bucket_of("k1", self.shards)).select(*[c.split()[0] for c in _COUNTS.split(", ")]))
 
-    def _filtered(self, counts: DataFrame) -> DataFrame:
-        return materialize(counts.select("shard", "k1").groupBy("shard").applyInArrow(_build, "shard int, data binary"))
+    def _changed(self, keys: DataFrame, change, counts: DataFrame) -> DataFrame:
+        """The filters after a change by ``keys(shard, k1)``: filters of other shards as
+        they are, full ones built anew from the counts. Not computed before it is used."""
+        schema = "shard int, data binary"
+        touched = keys.select("shard").distinct()
+        done = keys.groupBy("shard").cogroup(self.filters.join(touched, "shard", "left_semi").groupBy("shard")).applyInArrow(change, schema)
+        full = counts.join(done.where("data is null").select("shard"), "shard", "left_semi")
+        return (self.filters.join(touched, "shard", "left_anti").unionByName(done.where("data is not null"))
+                .unionByName(full.select("shard", "k1").groupBy("shard").applyInArrow(_build, schema)))
+
+    def settled(self) -> LineIndex:
+        """The index with its filters written, as the next change needs them."""
+        return replace(self, filters=materialize(self.filters))
 
     def insert(self, docs: DataFrame | None = None, refs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """Adds documents (or their ``references``) whose ids are not in the index yet."""
         refs = materialize(self.references(docs, id_col, text_col)) if refs is None else refs
-        tested = materialize(self._summed(refs).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_test, _COUNTS + ", seen boolean"))
-        new = tested.where("not seen").drop("seen")
-        merged = (self.counts.unionByName(tested.where("seen").drop("seen")).groupBy("shard", "k1", "k2")
-                  .agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc")))
-        counts = materialize(merged.unionByName(new))
-        return replace(self, refs=self.refs.unionByName(refs), counts=counts, filters=self._filtered(counts))
+        was = self.settled()
+        tested = materialize(was._summed(refs).groupBy("shard").cogroup(was.filters.groupBy("shard")).applyInArrow(_test, _COUNTS + ", seen boolean"))
+        key = ["shard", "k1", "k2"]
+        seen = tested.where("seen").select(*key, F.col("n_docs").alias("more"), F.col("max_doc").alias("new_max"))
+        # what the filter has not seen is appended; the rest changes or joins rows of the table
+        both = self.counts.join(seen, key, "full").withColumn("fresh", F.col("n_docs").isNull())
+        both = materialize(both.select(*key, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"),
+                                       F.greatest("max_doc", "new_max").alias("max_doc"), "fresh")
+                           .unionByName(tested.where("not seen").select(*key, "n_docs", "max_doc", F.lit(True).alias("fresh"))))
+        counts = both.drop("fresh")
+        return replace(was, refs=self.refs.unionByName(refs), counts=counts, filters=was._changed(both.where("fresh").select("shard", "k1"), _extend, counts))
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Takes the documents with these ids out again."""
@@ -269,27 +318,29 @@ class LineIndex:
         gone = self._summed(self.refs.join(ids, "doc_id", "left_semi")).select("shard", "k1", "k2", F.col("n_docs").alias("less"), F.col("max_doc").alias("gone_max"))
         refs = materialize(self.refs.join(ids, "doc_id", "left_anti"))
         c = self.counts.join(gone, ["shard", "k1", "k2"], "left")
-        left = c.withColumn("n_docs", F.col("n_docs") - F.coalesce("less", F.lit(0))).where("n_docs > 0")
+        c = materialize(c.withColumn("n_docs", F.col("n_docs") - F.coalesce("less", F.lit(0))))
+        left = c.where("n_docs > 0")
         stays = F.col("gone_max").isNull() | (F.col("gone_max") < F.col("max_doc"))
         again = left.where(~stays).select("k1", "k2")
         recounted = self._summed(refs.join(again, ["k1", "k2"], "left_semi"))
         counts = materialize(left.where(stays).select(self.counts.columns).unionByName(recounted))
-        return replace(self, refs=refs, counts=counts, filters=self._filtered(counts))
+        was = self.settled()
+        return replace(was, refs=refs, counts=counts, filters=was._changed(c.where("n_docs <= 0").select("shard", "k1"), _shrink, counts))
 
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """Keys that lose lines, with the document that keeps its own."""
         return self.counts.where(F.col("n_docs") >= min_docs).select("k1", "k2", F.col("max_doc").alias("keeper"))
 
     def dropped(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """doc_id and the numbers of its lines that go."""
+        """doc_id, row (the hash of its text) and the numbers of its lines that go."""
         hit = self.refs.join(self.repeated(min_docs), ["k1", "k2"]).where("doc_id <> keeper")
-        return hit.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+        return hit.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
     def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept_text of documents that are in the
         index, and ``rest``: a struct of the columns to carry along."""
-        docs = with_rest(docs, id_col, text_col, carry)
-        joined = docs.join(self.dropped(min_docs), "doc_id", "left").select("doc_id", "text", "lines", "rest")
+        docs = with_rest(docs, id_col, text_col, carry).withColumn("row", F.xxhash64("text"))
+        joined = docs.join(self.dropped(min_docs), ["doc_id", "row"], "left").select("doc_id", "text", "lines", "rest")
         out = arrow_map(joined, _drop_lines, f"doc_id long, n_lines long, n_dropped long, kept_text string, rest {rest_type(docs)}")
         return out if carry else out.drop("rest")
 

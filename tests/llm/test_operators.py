@@ -93,6 +93,11 @@ def test_bad_host_is_rejected_and_small_one_shrunk(spark):
     rows = [(i, "short", "bad") for i in range(50)] + [(100, good, "bad"), (101, "short", "tiny")] + [(200 + i, good, f"ok{i % 3}") for i in range(90)]
     got = {r["doc_id"]: r["kept"] for r in host_rules.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[100] is False and got[200] and all(got[200 + i] for i in range(90))
+    hosts = {r["host"]: r for r in host_rules.host_verdicts(spark.createDataFrame([(f"h{i % 9}" if i < 900 else "tiny", i % 10 == 0 or i >= 900) for i in range(901)], "host string, failed boolean")).collect()}
+    assert not hosts["tiny"]["host_failed"]  # one failure of one is not enough
+    # one document per host, one in ten fails: that is chance, not hosts that differ
+    alone = host_rules.host_verdicts(spark.createDataFrame([(str(i), i % 10 == 0) for i in range(1000)], "host string, failed boolean"))
+    assert alone.where("host_failed").count() == 0 and alone.agg(F.max("rate")).first()[0] < 0.12
 
 
 # ---------------------------------------------------------------- 4
@@ -111,6 +116,33 @@ def brute_lines(rows):
     return out
 
 
+def test_one_id_with_two_texts(spark):
+    """Each row loses its own lines, and a line of both counts once for the id."""
+    a, b = "the first line that repeats", "the second line that repeats"
+    rows = [(1, f"{a}\nkeep me please, I am unique"), (1, f"x\ny\n{b}\nanother line that is unique"), (2, f"{a}\n{b}"), (3, f"{a}\n{b}"), (1, None), (1, f"{a}\nkeep me please, I am unique")]
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 0, ""), (1, 2, 1, "keep me please, I am unique"), (1, 2, 1, "keep me please, I am unique"), (1, 4, 1, "x\ny\nanother line that is unique"), (2, 2, 2, ""), (3, 2, 0, f"{a}\n{b}")]
+
+
+def test_filters_change_in_touched_shards_only(spark):
+    make = lambda ids: spark.createDataFrame([(i, f"a line of enough length, number {i}") for i in ids], "doc_id long, text string")
+    data = lambda ix: {r["shard"]: bytes(r["data"]) for r in ix.filters.collect()}
+    keys = lambda ix: {(r["shard"], r["k1"]) for r in ix.counts.collect()}
+    one = line_dedup.LineIndex.empty(spark, 64).insert(make(range(300))).settled()
+    two = one.insert(make([1000])).settled()
+    (shard, key), = keys(two) - keys(one)
+    before, after = data(one), data(two)
+    assert {s for s in after if after[s] != before.get(s)} == {shard}
+    assert line_dedup.CuckooFilter.from_bytes(after[shard]).contains(np.array([key]).view(np.uint64)).all()
+    assert len(after[shard]) == len(before[shard])  # the stored filter took the key; none was built
+    three = two.delete(spark.createDataFrame([(1000,)], "doc_id long")).settled()
+    assert keys(three) == keys(one) and {s for s in after if data(three)[s] != after[s]} == {shard}
+    assert sum(np.count_nonzero(np.frombuffer(d, np.uint16)) for d in data(three).values()) == 300
+    # filters that are full are built anew, and lose nothing
+    many = one.insert(make(range(300, 3000))).settled()
+    assert all(line_dedup.CuckooFilter.from_bytes(d).contains(np.array([k for s2, k in keys(many) if s2 == s]).view(np.uint64)).all() for s, d in data(many).items())
+
+
 def test_line_dedup_equals_brute_force(docs, edges):
     rows = docs.unionByName(edges.where("doc_id >= 10").withColumn("doc_id", F.col("doc_id") + 100_000).select(docs.columns))
     got = {r["doc_id"]: tuple(r)[1:] for r in line_dedup.line_dedup(rows).collect()}
