@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .util import bucket_of, materialize, shuffle_partitions, text_size
+from .util import arrow_map, bucket_of, materialize, shuffle_partitions, text_size
 
 WINDOW = 50
 DEPTH = 2
@@ -240,6 +240,9 @@ def _rebuild(window: int, width: int, depth: int):
     return run
 
 
+_RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
+
+
 def _joined(b: np.ndarray, o: np.ndarray, keep: np.ndarray) -> pa.Array:
     """Kept words of each row, joined by one space."""
     starts, ends, first = T.words(b, o)
@@ -261,6 +264,17 @@ def _joined(b: np.ndarray, o: np.ndarray, keep: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(o) - 1, pa.py_buffer(off.tobytes()), pa.py_buffer(out[inside].tobytes()))
 
 
+def _whole(b: pa.RecordBatch):
+    """Rows without an id are neither earlier nor later than any: they keep all words, in no block."""
+    buf, off = T.flat(b.column(1))
+    for i, j in T.slices(off):
+        x, o = buf[off[i]:off[j]], off[i:j + 1] - off[i]
+        first = T.words(x, o)[2]
+        n_words = np.diff(first)
+        yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n_words, pa.int64()), pa.array(np.zeros(j - i, np.int64)),
+                                          _joined(x, o, np.ones(int(first[-1]), bool))], names=["doc_id", "n_words", "n_removed", "kept_text"])
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, depth: int = DEPTH) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text."""
     if not 1 <= depth <= len(_ROW_MUL):
@@ -271,10 +285,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = max(1, min(n, max(-(-size // BLOCK_BYTES), shuffle_partitions(spark))))
     width = max(16, min(56, int(size * 4 // 5).bit_length()))
     parts = max(1, min(1 << 20, size // 20 // EXACT_PER_TASK + 1))
-    dealt = docs.withColumn("block", bucket_of("doc_id", blocks))
+    dealt = docs.where("doc_id is not null").withColumn("block", bucket_of("doc_id", blocks))
     sketch = dealt.groupBy("block").applyInArrow(_sketch(window, width, depth), _SKETCH)
     answers = materialize(sketch.groupBy("row", "part").applyInArrow(_sum_sketches(width), _ANSWER))
     by_block = dealt.groupBy("block")
     exact = by_block.cogroup(answers.groupBy("block")).applyInArrow(_candidates(window, width, depth, parts), _EXACT)
     earlier = exact.groupBy("part").applyInArrow(_group_exactly, _ANSWER)
-    return by_block.cogroup(answers.unionByName(earlier).groupBy("block")).applyInArrow(_rebuild(window, width, depth), "doc_id long, n_words long, n_removed long, kept_text string")
+    with_id = by_block.cogroup(answers.unionByName(earlier).groupBy("block")).applyInArrow(_rebuild(window, width, depth), _RESULT)
+    return with_id.unionByName(arrow_map(docs.where("doc_id is null"), _whole, _RESULT))

@@ -1,6 +1,7 @@
 """The numbered operators against brute force on whole small tables."""
 import collections
 import hashlib
+import re
 import zlib
 
 import duckdb
@@ -344,3 +345,84 @@ def test_words_and_hashes():
     assert [[raw[s:e].decode() for s, e in zip(starts[a:z], ends[a:z])] for a, z in zip(first[:-1], first[1:])] == [words(r) for r in rows]
     h = tokens.span_hash(buf, starts, ends)
     assert h[0] == h[4] and len(set(h.tolist())) == 5
+
+
+# ---------------------------------------------------------------- 2, read by plain Python
+def plain_words(clause):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+(?:'[0-9a-z\x80-\U0010ffff]+)*", clause)
+
+
+def brute_features(text, lexicon):
+    """Clause weights by rules over positions, without transducers."""
+    plain = (text or "").lower().translate(str.maketrans(toxicity.MARKS))
+    total = dict.fromkeys(toxicity.KINDS, 0.0)
+
+    def symbol(word):
+        hits = [lexicon.words[word]] if word in lexicon.words else []
+        hits += [v for s, v in lexicon.stems.items() if len(word.encode()) > len(s.encode()) and word.startswith(s)]
+        return max(((w, k) for k, w in hits), default=(0.0, "other"))
+
+    for clause in re.split(r"[.,;:!?\n]", plain):
+        seen = [symbol(w) for w in plain_words(clause)]
+        kinds = [k for _, k in seen]
+        for i, (w, k) in enumerate(seen):
+            if k not in ("insult", "threat"):
+                continue
+            before = kinds[max(0, i - toxicity.REACH):i]
+            if k == "insult" and "intense" in before:
+                w *= toxicity.INTENSIFIED
+            if k == "threat" and "modal" in before:
+                w *= toxicity.ANNOUNCED
+            out = "targeted" if k == "insult" and "target" in kinds else "bare" if k == "insult" else "threat"
+            if "report" in kinds[:i]:
+                out = "reported"
+            elif "negation" in before:
+                out = "negated"
+            elif out == "threat" and "target" not in kinds:
+                w *= 0.5
+            total[out] += w
+    return [total[k] for k in toxicity.KINDS]
+
+
+TYPOGRAPHIC = ["you “idiot”", "'idiot' you", "YOU – IDIOT…such an idiot", "ты ДУРАК", "isn’t an idiot", "¡idiota! I will kill you", "you idiot’", "’idiot",
+               "he said: idiot", "he said idiot you", "they will never kill you", "not a b c d idiot", "you idiot,kill", "", None, "'", "''", "a'", "'a"]
+
+
+def test_features_equal_a_plain_reader(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    learned = toxicity.fit(docs, labels)
+    lexicon = toxicity._Lexicon({**learned.lexicon.words, "idiot": ("insult", 2.0), "дурак": ("insult", 2.5), "ты": ("target", 0.0)},
+                                {**learned.lexicon.stems, "idio": ("insult", 1.5)})
+    model = toxicity.ToxicityModel(lexicon, toxicity.PRIOR)
+    extra = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(TYPOGRAPHIC)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(extra)
+    text = {r["doc_id"]: r["text"] for r in rows.collect()}
+    got = {r["doc_id"]: [r[k] for k in toxicity.KINDS] for r in model.score(rows).collect()}
+    assert got.keys() == text.keys()
+    for d, t in text.items():
+        assert got[d] == pytest.approx(brute_features(t, lexicon)), t
+    by = {t: dict(zip(toxicity.KINDS, got[10**9 + i])) for i, t in enumerate(TYPOGRAPHIC)}
+    assert by["you “idiot”"]["targeted"] == 2 and by["ты ДУРАК"]["targeted"] == 2.5 and by["isn’t an idiot"]["negated"] == 2
+    assert by["¡idiota! I will kill you"]["threat"] == 4.5
+
+
+def test_threats_are_learned_from_what_follows_a_modal(spark):
+    rows = [(i, "i will zorgle all of it" if i % 4 == 0 else "plain words of a clean text") for i in range(400)]
+    docs = spark.createDataFrame([(i, t + (" you snorf" if i % 4 == 0 else "")) for i, t in rows], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    words = toxicity.fit(docs, labels).lexicon.words
+    assert words["zorgle"][0] == "threat" and words["snorf"][0] == "insult"
+
+
+# ---------------------------------------------------------------- 1 and 10: ids and signatures
+def test_rows_without_id_keep_their_words_outside_of_blocks(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(None, text)] * 50 + [(None, None), (3, text), (7, text)], "doc_id long, text string")
+    got = substring_dedup.substring_dedup(df)
+    assert got.where("doc_id is null and n_words = 80 and n_removed = 0").where(F.col("kept_text") == text).count() == 50
+    assert got.where("doc_id is null and n_words = 0 and kept_text = ''").count() == 1
+    assert {r["doc_id"]: r["n_removed"] for r in got.where("doc_id is not null").collect()} == {3: 0, 7: 80}
+
+
+def test_shadow_never_rejects_within_the_signature_distance():
+    assert near_dedup.SHADOW_LIMIT == near_dedup.CHUNKS * (near_dedup.ERRORS + 1) - 1
