@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A centroid list embedded into every task must stay below this many bytes.
-DEFAULT_BROADCAST_BUDGET = 256 * 1024 * 1024
+DEFAULT_BROADCAST_BUDGET = 32 * 1024 * 1024
 
 
 def broadcast_budget(spark) -> int:

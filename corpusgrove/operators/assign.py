@@ -6,11 +6,17 @@ grows with the number of groups, so its size is checked:
 * fits the broadcast budget: the whole centroid list becomes one scalar
   subquery value that every task reads; each row is scored in a narrow
   projection (no shuffle of the rows at all);
-* otherwise: centroids are packed into blocks of ``block_size``; each row is
-  paired with every block through an equi-join on ``(block, salt)`` (the salt
-  spreads the rows of one block over many tasks), scored per block, and the
-  per-block top-k lists are merged by ``row_id``. Rows are never paired with
-  single centroids, only with blocks.
+* otherwise: a pruned block join. The centroids become the leaves of a cell tree
+  (:mod:`corpusgrove.operators.neighbours`), in blocks of about ``block_size``. A row
+  walks down the tree by joins to its own block, which gives it a k-th distance,
+  and then meets only the blocks whose centre and radius allow a nearer centroid
+  (triangle inequality). Rows of a hot block are dealt to several tasks;
+* a metric without a triangle inequality (braycurtis) cannot be pruned: there a row
+  meets every block, through an equi-join on ``(block, salt)`` (the salt spreads
+  the rows of one block over many tasks).
+
+A row without a vector has no nearest group (``top`` is empty); repeated and null row ids
+are told apart by a row number of their own.
 """
 
 from __future__ import annotations
@@ -21,7 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.materialize import materialize
 from ..functions.sizing import broadcast_budget
+from . import neighbours
+
+
+TOP = "array<struct<d:double,g:int,r:double>>"
 
 
 def _score_block(cands, vec: str, metric: str, k: int):
@@ -29,16 +40,16 @@ def _score_block(cands, vec: str, metric: str, k: int):
     list, ties broken by the lower group id."""
     scored = F.transform(cands, lambda c: F.struct(
         V.distance(vec, c["mean"], metric).alias("d"), c["group"].alias("g"), c["r"].alias("r")))
-    return F.slice(F.array_sort(scored), 1, k)
+    return F.slice(F.array_sort(F.filter(scored, lambda t: t["d"].isNotNull())), 1, k)
 
 
 def nearest_groups(rows: DataFrame, cents: DataFrame, k: int = 1, vec: str = "reduced",
-                   metric: str = "euclidean", block_size: int = 4096,
+                   metric: str = "euclidean", block_size: int = 1024,
                    salt: int = 64, budget: int | None = None) -> DataFrame:
-    """Add ``top`` = array of up to k structs (d, g), nearest first.
+    """Add ``top`` = array of up to k structs (d, g, r), nearest first.
 
-    ``cents`` has columns ``group`` and ``mean``; ``rows`` has ``row_id`` and
-    ``vec``. Fewer than k groups gives a shorter array.
+    ``cents`` has columns ``group`` and ``mean``; ``rows`` has ``vec``. Fewer
+    than k groups gives a shorter array.
     """
     spark = rows.sparkSession
     budget = broadcast_budget(spark) if budget is None else budget
@@ -53,20 +64,39 @@ def nearest_groups(rows: DataFrame, cents: DataFrame, k: int = 1, vec: str = "re
         return (rows.withColumn("_cands", cand_list)
                 .withColumn("top", _score_block(F.col("_cands"), vec, metric, k))
                 .drop("_cands"))
-
-    n_blocks = max(1, math.ceil(n_groups / block_size))
+    tagged = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    queries = tagged.where(F.col(vec).isNotNull()).select(F.col("_row").alias("row_id"), F.col(vec).alias("_q"))
+    try:
+        neighbours.Metric(metric)
+    except neighbours.MetricError:
+        found = _every_block(queries, cents, k, metric, max(1, math.ceil(n_groups / block_size)), salt)
+    else:
+        found = _allowed_blocks(queries, cents, k, metric, block_size)
+    return (tagged.join(found.select(F.col("row_id").alias("_row"), "top"), "_row", "left")
+            .withColumn("top", F.coalesce("top", F.array().cast(TOP))).drop("_row"))
+
+
+def _allowed_blocks(queries: DataFrame, cents: DataFrame, k: int, metric: str, block_size: int) -> DataFrame:
+    """(row_id, top): rows meet the blocks of centroids that the triangle inequality leaves."""
+    cents = materialize(cents.where(F.col("mean").isNotNull()))
+    points = cents.select(F.col("group").cast("long").alias("row_id"), "mean")
+    index = neighbours.point_index(points, "mean", cell_size=block_size, metric=metric)
+    near = neighbours.knn_search(index, queries, k, "_q")
+    radii = cents.select(F.col("group").cast("long").alias("nbr"), "r")
+    one = F.struct("d", F.col("nbr").cast("int").alias("g"), "r")
+    return near.join(radii, "nbr").groupBy("row_id").agg(F.array_sort(F.collect_list(one)).alias("top"))
+
+
+def _every_block(queries: DataFrame, cents: DataFrame, k: int, metric: str, n_blocks: int, salt: int) -> DataFrame:
+    """(row_id, top): rows meet all blocks, and the tops of the blocks are merged."""
     blocks = (cents.withColumn("block", F.pmod(F.xxhash64("group"), F.lit(n_blocks)))
               .groupBy("block").agg(F.collect_list(F.struct("group", "mean", "r")).alias("_cands"))
               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))))
-    spread = (rows.select("row_id", vec)
-              .withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salt)))
-              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                        F.lit(n_blocks - 1).cast("long")))))
+    spread = (queries.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salt)))
+              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))))
     per_block = (spread.join(blocks, ["block", "salt"])
-                 .select("row_id", _score_block(F.col("_cands"), vec, metric, k).alias("part")))
-    merged = (per_block.groupBy("row_id")
-              .agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, k).alias("top")))
-    return rows.join(merged, "row_id")
+                 .select("row_id", _score_block(F.col("_cands"), "_q", metric, k).alias("part")))
+    return per_block.groupBy("row_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, k).alias("top"))
 
 
 def assign_nearest(dev: DataFrame, summaries: DataFrame, vec: str = "reduced",

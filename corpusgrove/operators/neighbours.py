@@ -42,6 +42,8 @@ EDGE_SCHEMA = "row_id long, nbr long, d double"
 
 #: rows of a query block that meets the candidates of a sub-cell at once
 QUERY_BLOCK = 512
+#: queries that one task searches in one sub-cell, about
+QUERIES_PER_TASK = 16384
 #: children of a tree node, on average
 FAN = 64
 #: metrics with a triangle inequality that are computed on the given vectors
@@ -216,11 +218,19 @@ def point_index(points: DataFrame, vec: str = "reduced", cell_size: int = 2048,
     return PointIndex(materialize(cells), tree, 0, metric)
 
 
-def _groups(cand: DataFrame, queries: DataFrame, run) -> DataFrame:
-    """Queries (with a cell and sub-cell each) against its candidates."""
+def _groups(cand: DataFrame, queries: DataFrame, run, split: bool = False) -> DataFrame:
+    """Queries (with a cell and sub-cell each) against its candidates. With ``split``,
+    many queries of one sub-cell are dealt to several tasks, each with its candidates."""
+    if split:
+        queries = materialize(queries)
+        load = queries.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES_PER_TASK)).cast("int").alias("pieces"))
+        queries = queries.join(load, ["cell", "sub"]).withColumn("piece", F.pmod(F.xxhash64("row_id"), F.col("pieces")).cast("int")).drop("pieces")
+        cand = cand.join(load, ["cell", "sub"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    else:
+        queries, cand = queries.withColumn("piece", F.lit(0)), cand.withColumn("piece", F.lit(0))
     q = queries.withColumn("_role", F.lit(0))
     c = cand.withColumn("_role", F.lit(1)).select(*q.columns)
-    return q.unionByName(c).groupBy("cell", "sub").applyInPandas(run, EDGE_SCHEMA)
+    return q.unionByName(c).groupBy("cell", "sub", "piece").applyInPandas(run, EDGE_SCHEMA)
 
 
 def _reachable(index: PointIndex, queries: DataFrame) -> DataFrame:
@@ -257,7 +267,7 @@ def knn_graph(points: DataFrame, k: int, vec: str = "reduced", cell_size: int =
             .withColumn("r", F.coalesce("r", F.lit(float("inf")))))
     again = (_reachable(index, info).where(~((F.col("_cell") == F.col("cell")) & (F.col("_sub") == F.col("sub"))))
              .select("row_id", "_v", "cell", "sub"))
-    return _ranked(_merge(first.unionByName(_groups(cand, again, run)), k), index.metric)
+    return _ranked(_merge(first.unionByName(_groups(cand, again, run, split=True)), k), index.metric)
 
 
 def knn_search(index: PointIndex, queries: DataFrame, k: int, vec: str = "reduced") -> DataFrame:
@@ -266,15 +276,15 @@ def knn_search(index: PointIndex, queries: DataFrame, k: int, vec: str = "reduce
     cand, run = index.cells.select("row_id", "_v", "cell", "sub"), _brute_force(k, index.metric, own=False)
     q = queries.select("row_id", index.metric.prepared(vec).alias("_v"))
     if not index.levels:
-        return _ranked(_merge(_groups(cand, _reachable(index, q), run), k), index.metric)
+        return _ranked(_merge(_groups(cand, _reachable(index, q), run, split=True), k), index.metric)
     near = materialize(_descend(q, index.levels, index.metric).select("row_id", "_v", F.col("node").alias("_cell")))
     subs = index.levels[-1].select(F.explode("kids").alias("k")).select(F.col("k.id").alias("_cell"), F.col("k.nsub").alias("nsub"))
     own = near.join(subs, "_cell").select("row_id", "_v", F.col("_cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)).alias("sub"))
-    first = materialize(_groups(cand, own, run))
+    first = materialize(_groups(cand, own, run, split=True))
     kth = _merge(first, k).select("row_id", F.when(F.size("top") >= k, F.col("top")[k - 1]["d"]).otherwise(F.lit(float("inf"))).alias("r"))
     info = near.join(kth, "row_id", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
     again = _reachable(index, info).where(F.col("_cell") != F.col("cell")).select("row_id", "_v", "cell", "sub")
-    return _ranked(_merge(first.unionByName(_groups(cand, again, run)), k), index.metric)
+    return _ranked(_merge(first.unionByName(_groups(cand, again, run, split=True)), k), index.metric)
 
 
 def foreign_neighbours(index: PointIndex, labelled: DataFrame, queries: DataFrame, alpha: float = 1.0) -> DataFrame:

@@ -161,6 +161,24 @@ def q_score_top3(spark, sf_dir):
                          _r("distance3").alias("distance3"), _r("confidence").alias("confidence"))
 
 
+@register("C3_pruned_block_join", f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+x AS (SELECT vec_id, u.i, u.x FROM e, UNNEST(e.v) WITH ORDINALITY AS u(x, i)),
+c AS (SELECT vec_id // 8 AS grp, i, avg(x) AS m FROM x GROUP BY 1, 2),
+d AS (SELECT x.vec_id, c.grp, sqrt(sum((x.x - c.m) * (x.x - c.m))) AS d FROM x JOIN c USING (i) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, grp) AS rk FROM d)
+SELECT vec_id, CAST(rk AS INTEGER) AS rank, CAST(grp AS INTEGER) AS "group", round(d, {R}) AS distance FROM k WHERE rk <= 3""")
+def q_pruned_block_join(spark, sf_dir):
+    """C3 beyond the broadcast budget: every vector and its three nearest of a centroid per eight vectors."""
+    from ..sources.tables import read_table
+    vecs = read_table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", V.as_double("embedding").alias("v"))
+    dim = V.vector_dim(vecs, "v")
+    cents = vecs.groupBy(F.expr("vec_id div 8").cast("int").alias("group")).agg(V.mean_vector("v", dim).alias("mean"))
+    near = assign.nearest_groups(vecs, cents, k=3, vec="v", budget=0, block_size=16)
+    return (near.select("vec_id", F.posexplode("top").alias("pos", "t"))
+            .select("vec_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.g").alias("group"), _r("t.d").alias("distance")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry query: group summaries of the canonical corpus."""
     return q_group_summaries(spark, sf_dir)
@@ -817,11 +835,7 @@ def q_score_texts(spark, sf_dir):
     return scored.select("row_id", "predict", "choice1", "choice2", "choice3", "distance")
 
 
-@register("S2_streaming_trend", """
-SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, event_type AS "group", count(*) AS "count"
-FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2""")
-def q_stream_trend(spark, sf_dir):
-    """Events read as a file stream, daily windows per event type."""
+def _stream_trend(spark, sf_dir, dedupe):
     import os
     import uuid
 
@@ -831,11 +845,27 @@ def q_stream_trend(spark, sf_dir):
     schema = read_table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     root = os.path.join(ensure_checkpoint_dir(spark), "s2_" + uuid.uuid4().hex[:8])
-    agg = strend.windowed_trend(stream, ts="ts", group="event_type", width="1 day", watermark="1 hour")
+    agg = strend.windowed_trend(stream, ts="ts", group="event_type", width="1 day", watermark="1 hour", dedupe=dedupe)
     done = strend.run_to_parquet(agg, os.path.join(root, "out"), os.path.join(root, "ckpt"))
     return done.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "group", "count")
 
 
+@register("S2_streaming_trend", """
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, event_type AS "group", count(*) AS "count"
+FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2""")
+def q_stream_trend(spark, sf_dir):
+    """Events read as a file stream, daily windows per event type."""
+    return _stream_trend(spark, sf_dir, False)
+
+
+@register("S2_streaming_trend_dedupe", """
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, event_type AS "group", count(DISTINCT ts) AS "count"
+FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2""")
+def q_stream_trend_dedupe(spark, sf_dir):
+    """S2 with each (time, event type) counted once, as in the batch trend."""
+    return _stream_trend(spark, sf_dir, True)
+
+
 @register("S1_streaming_scoring")
 def q_stream_score(spark, sf_dir):
     """Benchmark texts as a file stream, scored per micro-batch."""

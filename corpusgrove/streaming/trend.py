@@ -13,9 +13,13 @@ from pyspark.sql import types as T
 
 
 def windowed_trend(stream: DataFrame, ts: str = "ts", group: str = "predict", width: str = "1 day",
-                   watermark: str = "1 hour") -> DataFrame:
+                   watermark: str = "1 hour", dedupe: bool = False) -> DataFrame:
     """Counts per (window start, group); rows with NULL ts or group are left out.
 
+    With ``dedupe`` a (ts, group) pair counts once, as in the batch trend (E18). A seen
+    pair is kept as state until the watermark passes its time; a copy that comes
+    later still is a late row, which no window takes anyway.
+
     Watermarks need an instant (TIMESTAMP), while the corpus keeps wall-clock
     TIMESTAMP_NTZ, so the event time is taken as UTC (the session time zone
     the library sets) and the window start is returned as TIMESTAMP_NTZ."""
@@ -25,6 +29,10 @@ def windowed_trend(stream: DataFrame, ts: str = "ts", group: str = "predict", wi
     rows = rows.withColumn(evt, F.col(ts).cast("timestamp") if ntz else F.col(ts))
     if watermark:
         rows = rows.withWatermark(evt, watermark)
+    if dedupe:
+        if not watermark:
+            raise ValueError("dedupe needs a watermark, or its state would grow without end")
+        rows = rows.dropDuplicatesWithinWatermark([evt, group])
     start = F.col("w.start").cast("timestamp_ntz") if ntz else F.col("w.start")
     return (rows.groupBy(F.window(evt, width).alias("w"), F.col(group).alias("group"))
             .agg(F.count(F.lit(1)).alias("count"))

@@ -24,3 +24,26 @@ def test_parquet_sink_equals_batch(spark, tmp_dir):
     # a second run over the same checkpoint reads nothing new and changes nothing
     again = trend.run_to_parquet(agg, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
     assert again.count() == len(want)
+
+
+def test_stream_dedupe_equals_batch_trend(spark, tmp_dir):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base + dt.timedelta(hours=h), "click" if h % 3 else "view") for h in range(0, 60, 2)]
+    src = os.path.join(tmp_dir, "events")
+    schema = "ts timestamp_ntz, event_type string"
+    # copies inside a file and over the files, one file a micro-batch
+    for part in (rows[:12] + rows[:5], rows[10:22], rows[20:] + rows[25:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    agg = trend.windowed_trend(stream, group="event_type", watermark="2 days", dedupe=True)
+    out = trend.run_to_parquet(agg, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
+    got = {(r["bucket"], r["group"]): r["count"] for r in out.collect()}
+    batch = (spark.read.parquet(src).distinct().groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("d"), "event_type").count())
+    assert {(k[0].replace(tzinfo=None), k[1]): v for k, v in got.items()} == {(r["d"], r["event_type"]): r["count"] for r in batch.collect()}
+    assert sum(got.values()) == len(rows)
+
+
+def test_dedupe_needs_a_watermark(spark):
+    rows = spark.createDataFrame([], "ts timestamp_ntz, event_type string")
+    with __import__("pytest").raises(ValueError):
+        trend.windowed_trend(rows, group="event_type", watermark=None, dedupe=True)

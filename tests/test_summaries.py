@@ -93,3 +93,61 @@ def test_score_without_groups_gives_nulls(spark):
     got = assign.score_rows(rows, none).first()
     assert got["predict"] == -1 and got["choice1"] is None and got["distance"] is None
     assert assign.assign_nearest(rows, none).first()["predict"] is None
+
+
+def brute_nearest(rows, cents, k):
+    return {i: [g for _, g in sorted((math.dist(v, m), g) for g, m in cents)[:k]] for i, v in rows}
+
+
+def test_pruned_block_join_equals_brute_force_and_prunes(spark):
+    from corpusgrove.operators import neighbours
+    rng = __import__("random").Random(5)
+    # lines of centroids far apart; every tenth one repeated under another id (ties)
+    cents = [(g, [float(100 * (g % 20)) + g / 1000, float(g // 20)]) for g in range(400)]
+    cents += [(1000 + g, m) for g, m in cents if g % 10 == 0]
+    rows = [(i, [100.0 * rng.randrange(20) + rng.random(), 20 * rng.random()]) for i in range(300)]
+    rows += [(900 + i, cents[i][1]) for i in range(0, 400, 40)]
+    want = brute_nearest(rows, cents, 3)
+    df = spark.createDataFrame(rows, "row_id long, reduced array<double>")
+    cd = spark.createDataFrame([(g, m, 1.0) for g, m in cents], "group int, mean array<double>, distance double")
+    got = {r["row_id"]: r["top"] for r in assign.nearest_groups(df, cd, k=3, budget=0, block_size=8).collect()}
+    assert {i: [t["g"] for t in top] for i, top in got.items()} == want
+    assert all(t["r"] == 1.0 for top in got.values() for t in top)
+    # copies of a row: blocks that the bound allows, out of all blocks
+    index = neighbours.point_index(cd.select(F.col("group").cast("long").alias("row_id"), "mean"), "mean", cell_size=8)
+    bound = spark.createDataFrame([(i, v, sorted(math.dist(v, m) for _, m in cents)[2]) for i, v in rows], "row_id long, _v array<double>, r double")
+    blocks = index.cells.select("cell", "sub").distinct().count()
+    assert blocks >= 40 and neighbours._reachable(index, bound).count() < 0.2 * blocks * len(rows)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "braycurtis"])
+def test_null_and_repeated_rows_in_every_path(spark, metric):
+    cd = spark.createDataFrame([(g, [float(g + 1), float(g * g)]) for g in range(30)], "group int, mean array<double>")
+    df = spark.createDataFrame([(None, [3.0, 4.0]), (None, [9.0, 1.0]), (1, [5.0, 5.0]), (1, [20.0, 400.0]), (2, None)], "row_id long, reduced array<double>")
+
+    def tops(**kw):
+        return sorted(((r["row_id"], r["reduced"], [t["g"] for t in r["top"]]) for r in assign.nearest_groups(df, cd, k=4, metric=metric, **kw).collect()), key=str)
+
+    assert tops() == tops(budget=0, block_size=4)
+    assert (2, None, []) in tops(budget=0, block_size=4) and len(tops(budget=0)) == 5
+
+
+def test_queries_of_a_hot_block_are_dealt_to_several_tasks(spark, monkeypatch):
+    from corpusgrove.operators import neighbours
+    monkeypatch.setattr(neighbours, "QUERIES_PER_TASK", 16)
+    cents = [(g, [float(g), 0.0]) for g in range(40)]
+    df = spark.createDataFrame([(i, [7.1, 0.0]) for i in range(200)], "row_id long, reduced array<double>")
+    index = neighbours.point_index(spark.createDataFrame(cents, "row_id long, mean array<double>"), "mean", cell_size=8)
+    sizes = []
+    run = neighbours._brute_force(2, index.metric, own=False)
+
+    def watched(pdf):
+        out = run(pdf)
+        return out.assign(nbr=len(pdf)) if len(out) else out
+
+    q = df.select("row_id", index.metric.prepared("reduced").alias("_v"), F.lit(1.0).alias("r"))
+    got = neighbours._groups(index.cells.select("row_id", "_v", "cell", "sub"), neighbours._reachable(index, q), watched, split=True)
+    sizes = [r["nbr"] for r in got.select("nbr").distinct().collect()]
+    assert max(sizes) < 80  # 200 queries of one block, in pieces of about 16
+    got = assign.nearest_groups(df, spark.createDataFrame(cents, "group int, mean array<double>"), k=2, budget=0, block_size=8)
+    assert {tuple(t["g"] for t in r["top"]) for r in got.collect()} == {(7, 8)} and got.count() == 200
