@@ -376,15 +376,13 @@ def brute_force_knn(points: DataFrame, k: int, vec: str = "reduced") -> pd.DataF
     return pd.DataFrame(rows, columns=["row_id", "nbr", "d", "rank"])
 
 
-def fuzzy_graph(knn: DataFrame, k: int, n_iter: int = 64) -> DataFrame:
-    """D10 neighbour-graph variant: fuzzy membership per directed kNN edge,
-    then the fuzzy union ``a + b - a*b`` of the graph with its transpose.
+def memberships(knn: DataFrame, k: int, n_iter: int = 64) -> DataFrame:
+    """(i, j, w, d): fuzzy membership of each directed kNN edge.
 
     Per row: rho = distance to the nearest neighbour at distance > 0, sigma
     found by bisection (``n_iter`` steps inside one ``aggregate`` expression)
     so that ``sum_j exp(-max(0, d_ij - rho) / sigma) = log2(k)``. Everything
-    is expressions over the row's k distances; the union is one full outer
-    join on the (unordered) edge key.
+    is expressions over the row's k distances.
     """
     target = math.log2(max(k, 2))
     rows = knn.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("d", "nbr"))).alias("nb"))
@@ -407,62 +405,18 @@ def fuzzy_graph(knn: DataFrame, k: int, n_iter: int = 64) -> DataFrame:
 
     sigma = F.aggregate(F.sequence(F.lit(1), F.lit(n_iter)), init, step)["mid"]
     rows = rows.withColumn("sigma", F.greatest(sigma, F.lit(1e-12)))
-    directed = (rows.select("row_id", "rho", "sigma", F.explode("nb").alias("t"))
+    return (rows.select("row_id", "rho", "sigma", F.explode("nb").alias("t"))
                 .select(F.col("row_id").alias("i"), F.col("t.nbr").alias("j"),
-                        F.exp(-F.greatest(F.col("t.d") - F.col("rho"), F.lit(0.0)) / F.col("sigma")).alias("w")))
+                        F.exp(-F.greatest(F.col("t.d") - F.col("rho"), F.lit(0.0)) / F.col("sigma")).alias("w"), F.col("t.d").alias("d")))
+
+
+def fuzzy_graph(knn: DataFrame, k: int, n_iter: int = 64) -> DataFrame:
+    """D10 neighbour-graph variant: the fuzzy union ``a + b - a*b`` of the graph of
+    :func:`memberships` with its transpose: one aggregate on the (unordered) edge key."""
+    directed = memberships(knn, k, n_iter)
     fwd = directed.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"),
                           F.when(F.col("i") < F.col("j"), F.col("w")).alias("w_ab"),
                           F.when(F.col("i") > F.col("j"), F.col("w")).alias("w_ba"))
     both = fwd.groupBy("a", "b").agg(F.max("w_ab").alias("p"), F.max("w_ba").alias("q"))
     p, q = F.coalesce(F.col("p"), F.lit(0.0)), F.coalesce(F.col("q"), F.lit(0.0))
     return both.select("a", "b", (p + q - p * q).alias("w"))
-
-
-def spectral_coordinates(graph: DataFrame, k: int = 2, n_iter: int = 30, seed: int = 42) -> DataFrame:
-    """D10 spectral variant: coordinates from the top non-trivial
-    eigenvectors of the lazy normalised adjacency ``(I + D^-1/2 W D^-1/2) / 2`` of a
-    symmetric weighted graph (a, b, w), by subspace iteration.
-
-    Each iteration is one sparse mat-vec (join on the neighbour + grouped
-    sum of k-vectors) and one orthonormalisation from the (k+1) x (k+1) Gram
-    aggregate (Cholesky on the driver: a k-sized matrix, not data). The
-    trivial eigenvector ``D^1/2 1`` is projected out every round. Every
-    round is cut to a table. Returns (row_id, coords array<double>).
-    """
-    import numpy as np
-    m = k + 1
-    und = graph.select("a", "b", "w").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    deg = materialize(und.groupBy("a").agg(F.sum("w").alias("deg")).withColumnRenamed("a", "v"))
-    edges = materialize(
-        und.join(deg.select(F.col("v").alias("a"), F.col("deg").alias("da")), "a")
-        .join(deg.select(F.col("v").alias("b"), F.col("deg").alias("db")), "b")
-        .select("a", "b", (F.col("w") / F.sqrt(F.col("da") * F.col("db"))).alias("w")))
-    triv = F.sqrt(F.col("deg"))
-    tnorm = deg.agg(F.sqrt(F.sum("deg"))).first()[0] or 1.0
-    # seeded start vectors from the row id, the trivial direction first
-    init = [F.sqrt(F.col("deg")) / F.lit(tnorm)] + [
-        (F.pmod(F.xxhash64(F.col("v"), F.lit(seed + j)), F.lit(10_000)) / F.lit(10_000.0)) - 0.5
-        for j in range(k)]
-    X = materialize(deg.select("v", F.array(*init).alias("x"), triv.alias("t")))
-
-    def orthonormalise(Y):
-        gram_cols = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"g{i}_{j}") for i in range(m) for j in range(m)]
-        g = Y.agg(*gram_cols).first()
-        G = np.array([[g[f"g{i}_{j}"] for j in range(m)] for i in range(m)], dtype=float)
-        L = np.linalg.cholesky(G + 1e-12 * np.eye(m))
-        R = np.linalg.inv(L).T  # X R has orthonormal columns
-        cols = [F.aggregate(F.zip_with(F.col("x"), F.array(*[F.lit(float(R[i, j])) for i in range(m)]),
-                                       lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for j in range(m)]
-        return Y.select("v", F.array(*cols).alias("x"), "t")
-
-    X = materialize(orthonormalise(X))
-    for _ in range(n_iter):
-        prod = (edges.join(X.select(F.col("v").alias("b"), "x"), "b")
-                .groupBy("a").agg(*[F.sum(F.col("w") * F.col("x")[j]).alias(f"y{j}") for j in range(m)]))
-        # lazy walk (I + A) / 2: same eigenvectors, spectrum moved into [0, 1]
-        Y = (X.select("v", "x", "t").join(prod.withColumnRenamed("a", "v"), "v", "left")
-             .select("v", F.array(F.col("t") / F.lit(tnorm),
-                                  *[0.5 * F.col("x")[j] + 0.5 * F.coalesce(F.col(f"y{j}"), F.lit(0.0))
-                                    for j in range(1, m)]).alias("x"), "t"))
-        X = materialize(orthonormalise(Y))
-    return X.select(F.col("v").alias("row_id"), F.slice(F.col("x"), 2, k).alias("coords"))

@@ -962,15 +962,66 @@ def q_density_predict(spark, sf_dir):
     return density.predict_density(lab_train, dev, core).select("row_id", "predict")
 
 
+SPECTRAL_K = 3
+SPECTRAL_TOL = 1e-6
+
+
+def _spectrum(spark, sf_dir):
+    from ..functions.materialize import materialize
+    from ..operators import spectral
+    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
+    graph = materialize(neighbours.fuzzy_graph(neighbours.knn_graph(train, 15, vec="reduced"), 15))
+    return graph, spectral.spectrum(graph, SPECTRAL_K, tol=SPECTRAL_TOL)
+
+
 @register("D10_spectral_coordinates")
 def q_spectral(spark, sf_dir):
     """D10 neighbour-graph variant: fuzzy kNN graph of the train rows, then
-    2 spectral coordinates by subspace iteration."""
-    train = _corpus(spark, sf_dir).where(F.col("set") == "train")
-    knn = neighbours.knn_graph(train, 15, vec="reduced", cell_size=2048)
-    graph = neighbours.fuzzy_graph(knn, 15)
-    return neighbours.spectral_coordinates(graph, k=2, n_iter=20).select(
-        "row_id", F.size("coords").alias("dim"))
+    spectral coordinates."""
+    found = _spectrum(spark, sf_dir)[1]
+    return found.vectors.select("row_id", F.size("coords").alias("dim"), _r(V.norm("coords")).alias("norm"))
+
+
+@register("D10_spectral_residuals", _with(CORPUS_CTE, TRAIN_CTE) + f"""
+SELECT CAST(a AS INTEGER) AS axis, (SELECT count(*) FROM train) AS n_rows, CAST(1.0 AS DOUBLE) AS squares, CAST(0.0 AS DOUBLE) AS trivial,
+       true AS descending, true AS small_residual, true AS same_residual FROM range({SPECTRAL_K}) t(a)""")
+def q_spectral_residuals(spark, sf_dir):
+    """What the coordinates must satisfy, from the graph and the coordinates alone:
+    unit length, no part of the trivial vector, falling Rayleigh quotients, and residuals
+    below the bound and equal to those the solver reports (to the bound)."""
+    from ..functions.materialize import materialize
+    graph, found = _spectrum(spark, sf_dir)
+    und = graph.select("a", "b", "w").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    x = found.vectors.select("row_id", "deg", F.posexplode("coords").alias("axis", "x"))
+    there = x.select(F.col("row_id").alias("b"), "axis", (F.col("x") / F.sqrt("deg")).alias("y"))
+    image = und.join(there, "b").groupBy(F.col("a").alias("row_id"), "axis").agg(F.sum(F.col("w") * F.col("y")).alias("z"))
+    rows = materialize(x.join(image, ["row_id", "axis"]).withColumn("z", F.col("z") / F.sqrt("deg")))
+    quotient = rows.groupBy("axis").agg(F.sum(F.col("x") * F.col("z")).alias("value"))
+    left = rows.join(quotient, "axis").groupBy("axis").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("x") * F.col("x")).alias("squares"), F.max("value").alias("value"),
+        F.abs(F.sum(F.col("x") * F.sqrt("deg")) / F.sqrt(F.sum("deg"))).alias("trivial"), F.sqrt(F.sum((F.col("z") - F.col("value") * F.col("x")) ** 2)).alias("residual"))
+    told = spark.createDataFrame(list(enumerate(zip(found.values, found.residuals))), "axis int, t struct<value double, residual double>")
+    before = told.select((F.col("axis") + 1).alias("axis"), F.col("t.value").alias("above"))
+    return left.join(told, "axis").join(before, "axis", "left").select(
+        "axis", "n_rows", _r("squares").alias("squares"), _r("trivial").alias("trivial"),
+        (F.coalesce("above", F.lit(1.0)) >= F.col("value") - 1e-9).alias("descending"),
+        (F.col("residual") <= 2 * SPECTRAL_TOL).alias("small_residual"),
+        ((F.abs(F.col("value") - F.col("t.value")) <= SPECTRAL_TOL) & (F.abs(F.col("residual") - F.col("t.residual")) <= SPECTRAL_TOL)).alias("same_residual"))
+
+
+@register("D6_graph_transform", _with(CORPUS_CTE) + """,
+firsts AS (SELECT embedding, min(row_id) AS first FROM corpus WHERE "set" = 'train' GROUP BY embedding)
+SELECT c.row_id, f.first AS copy_of, f.first IS NOT NULL AS same, true AS placed FROM corpus c LEFT JOIN firsts f USING (embedding)""")
+def q_graph_transform(spark, sf_dir):
+    """D6 of the graph reduction: all rows placed as new ones. A train row (or a copy of one)
+    falls on the coordinates of the first such train row; others get coordinates too."""
+    c = _corpus(spark, sf_dir)
+    fitted = reduce_op.fit_graph(c.where(F.col("set") == "train"), "embedding", SPECTRAL_K)
+    placed = fitted.apply(c, "embedding", "at")
+    firsts = (fitted.points.groupBy("embedding").agg(F.min_by("reduced", "row_id").alias("own"), F.min("row_id").alias("copy_of")))
+    out = placed.withColumn("key", V.as_double("embedding")).join(firsts.withColumnRenamed("embedding", "key"), "key", "left")
+    finite = (F.size("at") == SPECTRAL_K) & F.forall("at", lambda v: F.abs(v) < F.lit(float("inf")))
+    return out.select("row_id", "copy_of", F.coalesce(F.col("at") == F.col("own"), F.lit(False)).alias("same"), F.coalesce(finite, F.lit(False)).alias("placed"))
 
 
 CUTS = (0.9, 0.95, 1.0)

@@ -68,7 +68,9 @@ class EmbeddingParams:
 
 @dataclass
 class ReductionParams:
-    """D4-D6 (neighbour-graph knobs are used by D10)."""
+    """D4-D6. ``method`` is linear (principal or supervised axes) or graph (spectral
+    coordinates of the kNN graph: ``n_neighbors``, ``metric``, ``random_state``)."""
+    method: str = "linear"
     n_components: int = 10
     n_neighbors: int = 15
     metric: str = "euclidean"

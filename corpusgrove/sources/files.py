@@ -9,7 +9,9 @@ Only mapped columns are selected, so the CSV/JSON scan prunes the rest.
 from __future__ import annotations
 
 import os
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -205,53 +207,74 @@ def load_dataset(spark: SparkSession, corpus: DataFrame | None, filename: str, t
     return append_rows(corpus, new, dedupe_sets)
 
 
+#: how export files are written: all cells quoted, texts kept as they are
+_EXPORT_CSV = {"escape": '"', "quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+               "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+_TAG_FOLDER = "_EXPORT_TAG"
+
+
 def export_csv(corpus: DataFrame, path: str, single_file: bool = False) -> str:
     """Both sets in one CSV dataset: header + columns text, ref, ts,
-    target, predict, distance, set. Texts keep padding and quotes; the
-    export tag is written as a marker file next to the part files (or as
-    the first line when ``single_file`` is asked for small data)."""
+    target, predict, distance, set. Texts keep padding and quotes. The
+    export tag is a small text table beside the part files (or
+    the first line when ``single_file`` is asked for small data, which one task
+    then writes). Everything is written by Spark, on any file system it knows."""
     if corpus.limit(1).count() == 0:
         raise LoadError("nothing to save")
+    spark = corpus.sparkSession
     out = corpus.select(*[F.col(c) for c in EXPORT_COLUMNS])
-    w = (out.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     if single_file:
-        w = w.option("emptyValue", "")
-        tmp = path + ".parts"
-        w.csv(tmp)
-        parts = sorted(p for p in os.listdir(tmp) if p.startswith("part-"))
-        with open(path, "w", encoding="utf-8", newline="") as fh:
-            fh.write(EXPORT_TAG + "\n")
-            first = True
-            for p in parts:
-                with open(os.path.join(tmp, p), encoding="utf-8", newline="") as src:
-                    data = src.read()
-                if not first and data:
-                    data = data.split("\n", 1)[1] if "\n" in data else ""
-                fh.write(data)
-                first = False
-        return path
-    w.csv(path)
-    with open(os.path.join(path, "_EXPORT_TAG"), "w", encoding="utf-8") as fh:
-        fh.write(EXPORT_TAG + "\n")
+        return _export_one(out, path)
+    out.write.mode("overwrite").options(header=True, **_EXPORT_CSV).csv(path)
+    spark.createDataFrame([(EXPORT_TAG,)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, _TAG_FOLDER))
+    return path
+
+
+def _export_one(out: DataFrame, path: str) -> str:
+    spark = out.sparkSession
+    head = spark.createDataFrame([(EXPORT_TAG + "\n" + ",".join(f'"{c}"' for c in out.columns),)], "value string").coalesce(1)
+    lines = head.union(out.select(F.to_csv(F.struct(*out.columns), {**_EXPORT_CSV, "emptyValue": ""})))
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    lines.coalesce(1).write.text(parts)  # the partitions of a union are written in order
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder, target = hadoop.Path(parts), hadoop.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    written = fs.globStatus(hadoop.Path(parts, "part-*"))
+    if fs.exists(target):
+        if fs.getFileStatus(target).isDirectory():
+            raise LoadError(f"{path} is a folder")
+        fs.delete(target, False)
+    fs.rename(written[0].getPath(), target)
+    fs.delete(folder, True)  # the folder named above, which holds no more than the commit marker
     return path
 
 
 def is_export(path: str) -> bool:
-    """Detect an export by its tag (marker file or first cell)."""
-    if os.path.isdir(path):
-        return os.path.exists(os.path.join(path, "_EXPORT_TAG"))
-    with open(path, encoding="utf-8") as fh:
-        return fh.readline().rstrip("\r\n").split(",")[0] == EXPORT_TAG
+    """Detect an export by its tag (tag table, or first cell of a file)."""
+    spark = SparkSession.active()
+    try:
+        tag = spark.read.text(os.path.join(path, _TAG_FOLDER))
+        return tag.where(F.col("value") == EXPORT_TAG).limit(1).count() > 0
+    except AnalysisException:
+        pass  # no tag table: a file, or a folder of other data
+    where = F.col("_metadata.file_block_start") == 0
+    files = spark.read.text(path)
+    if len(files.inputFiles()) != 1:
+        return False
+    first = files.where(where).select("value").take(1)
+    return bool(first) and first[0]["value"].split(",")[0] == EXPORT_TAG
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Export profile: header, multi-line, fixed role order; ``#``
-    comments only for a tagged single file."""
+    comments only for a tagged single file. A first cell that starts with the comment
+    sign is quoted in such a file, so it is no comment."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    if not os.path.isdir(path):
-        reader = reader.option("comment", "#")
+    try:
+        spark.read.text(os.path.join(path, _TAG_FOLDER))
+    except AnalysisException:
+        if is_export(path):
+            reader = reader.option("comment", "#")
     df = reader.csv(path)
     roles = {r: r for r in EXPORT_COLUMNS}
     return apply_roles(df, roles, by_position=False)

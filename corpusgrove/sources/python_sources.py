@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import glob
+import heapq
 import io
 import os
 import sqlite3
@@ -43,6 +44,53 @@ class SqlitePartition(InputPartition):
         self.lo, self.hi = lo, hi
 
 
+#: row-id intervals that planning looks at before it cuts the rest by counting
+MAX_INTERVALS = 100_000
+
+
+def rowid_ranges(con, table: str, step: int, max_intervals: int = MAX_INTERVALS) -> list[tuple[int, int]]:
+    """Row-id intervals, in order, that hold all rows and at most ``step`` of them each.
+
+    The widest interval is halved by its ids, and both halves shrink to the ids that
+    occur in them (two index look-ups), until none is wider than ``step``, so empty
+    ranges cost nothing. With ``max_intervals`` reached (ids far apart), what is
+    still wider is cut at every ``step``-th id that occurs. Neighbours that together cannot
+    hold more than ``step`` rows become one, so their number follows the rows, not the ids."""
+    name = quote_ident(table)
+    lo, hi = con.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone()
+    if lo is None:
+        return []
+    wide, done = [(lo - hi, lo, hi)], []
+    while wide and len(wide) + len(done) < max_intervals:
+        _, a, b = heapq.heappop(wide)
+        if b - a < step:
+            done.append((a, b, b - a + 1))
+            continue
+        mid = (a + b) // 2
+        left = con.execute(f"SELECT rowid FROM {name} WHERE rowid <= ? ORDER BY rowid DESC LIMIT 1", (mid,)).fetchone()[0]
+        right = con.execute(f"SELECT rowid FROM {name} WHERE rowid > ? ORDER BY rowid LIMIT 1", (mid,)).fetchone()[0]
+        heapq.heappush(wide, (a - left, a, left))
+        heapq.heappush(wide, (right - b, right, b))
+    for _, a, b in wide:
+        if b - a < step:
+            done.append((a, b, b - a + 1))
+            continue
+        while True:
+            ids = f"SELECT rowid FROM {name} WHERE rowid BETWEEN ? AND ? ORDER BY rowid LIMIT {int(step)}"
+            n, last = con.execute(f"SELECT count(*), max(rowid) FROM ({ids})", (a, b)).fetchone()
+            done.append((a, last, n))
+            if last >= b:
+                break
+            a = con.execute(f"SELECT rowid FROM {name} WHERE rowid > ? ORDER BY rowid LIMIT 1", (last,)).fetchone()[0]
+    out: list[tuple[int, int, int]] = []
+    for a, b, n in sorted(done):
+        if out and out[-1][2] + n <= step:
+            out[-1] = (out[-1][0], b, out[-1][2] + n)
+        else:
+            out.append((a, b, n))
+    return [(a, b) for a, b, _ in out]
+
+
 class SqliteReader(DataSourceReader):
     def __init__(self, options, schema):
         self.path = options["path"]
@@ -53,11 +101,10 @@ class SqliteReader(DataSourceReader):
 
     def partitions(self):
         con = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-        lo, hi = con.execute(f"SELECT min(rowid), max(rowid) FROM {quote_ident(self.table)}").fetchone()
-        con.close()
-        if lo is None:
-            return [SqlitePartition(0, -1)]
-        return [SqlitePartition(a, min(a + self.step - 1, hi)) for a in range(lo, hi + 1, self.step)]
+        try:
+            return [SqlitePartition(a, b) for a, b in rowid_ranges(con, self.table, self.step)] or [SqlitePartition(0, -1)]
+        finally:
+            con.close()
 
     def read(self, partition):
         con = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
@@ -89,7 +136,8 @@ def _coerce(v, t):
 
 class SqliteDataSource(DataSource):
     """``spark.read.format("cg_sqlite").option("path", p).option("table", t)
-    .option("columns", "a\\x1fb")``: one partition per rowid range."""
+    .option("columns", "a\\x1fb")``: one partition per range of
+    :func:`rowid_ranges`."""
 
     @classmethod
     def name(cls):

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgrove.operators import density, neighbours, tree
+from corpusgrove.operators import density, neighbours, spectral, tree
 from corpusgrove.schema import ClusteringParams
 
 
@@ -205,7 +205,7 @@ def test_spectral_coordinates_match_numpy(spark):
     edges = [(a, b, 1.0) for g in (0, 15) for a in range(g, g + 15) for b in range(a + 1, g + 15)]
     edges.append((3, 20, 0.1))
     g = spark.createDataFrame(edges, "a long, b long, w double")
-    co = neighbours.spectral_coordinates(g, k=1, n_iter=25).toPandas().set_index("row_id").sort_index()
+    co = spectral.spectrum(g, k=1).vectors.toPandas().set_index("row_id").sort_index()
     got = np.array([c[0] for c in co["coords"]])
     W = np.zeros((30, 30))
     for a, b, w in edges:

@@ -95,6 +95,41 @@ def test_sqlite_with_blobs(spark, tmp_dir):
     assert corpus.where(F.col("set") == "dev").count() == 1
 
 
+@pytest.mark.parametrize("max_intervals", [4, 100_000])
+def test_sqlite_ranges_follow_the_rows(tmp_dir, max_intervals):
+    from corpusgrove.sources.python_sources import rowid_ranges
+    rng = np.random.default_rng(1)
+    ids = {"dense": range(1, 1001), "ends": [-(1 << 62), 0, (1 << 62)], "one": [1 << 61], "none": [],
+           "far": sorted({int(x) for x in rng.integers(0, 1 << 62, 1000)}),
+           "mixed": [*range(500), *[int(x) for x in sorted(rng.integers(1 << 40, 1 << 62, 300))], *range((1 << 62) + 5, (1 << 62) + 205)]}
+    con = sqlite3.connect(os.path.join(tmp_dir, "r.sqlite3"))
+    for name, keys in ids.items():
+        con.execute(f"CREATE TABLE {name} (k INTEGER PRIMARY KEY, v TEXT)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, 'x')", [(k,) for k in keys])
+        got = rowid_ranges(con, name, 10, max_intervals)
+        held = [sum(a <= k <= b for k in keys) for a, b in got]
+        assert sum(held) == len(keys) and all(0 < n <= 10 for n in held), name
+        assert all(p[1] < q[0] for p, q in zip(got, got[1:])), name
+        # two neighbours hold more than a step by width or by count; a dense run is cut at most twice too often
+        assert len(got) <= 4 * len(keys) / 10 + 2, (name, len(got))
+    con.close()
+
+
+def test_export_of_odd_texts_through_spark(spark, tmp_dir):
+    from corpusgrove.operators.curate import conform
+    texts = ["# no comment", "two\nlines", 'a "quote", and a comma', "  padded  ", "plain", "back\\slash"]
+    corpus = conform(spark.createDataFrame([(i, t, "train") for i, t in enumerate(texts)], "row_id long, text string, set string"))
+    for single in (False, True):
+        path = files.export_csv(corpus, os.path.join(tmp_dir, f"e{single}"), single_file=single)
+        path = files.export_csv(corpus, path, single_file=single)  # once more over the first
+        assert files.is_export(path) and os.path.isfile(path) == single
+        assert sorted(r["text"] for r in files.read_export(spark, path).collect()) == sorted(texts), single
+    assert not [p for p in os.listdir(tmp_dir) if ".parts" in p]
+    other = os.path.join(tmp_dir, "other.csv")
+    corpus.select("text").write.csv(other)
+    assert not files.is_export(other)
+
+
 def test_bundle_and_catalogue(spark, tmp_dir):
     from corpusgrove.operators.curate import conform
     corpus = conform(spark.createDataFrame([(0, "a", "train"), (1, "b", "dev")], "row_id long, text string, set string"))

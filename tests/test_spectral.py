@@ -1,0 +1,157 @@
+"""D10 spectral coordinates and the neighbour-graph reduction (D4, D6), against NumPy."""
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusgrove.operators import neighbours, reduce, spectral
+from corpusgrove.plans import pipeline
+from corpusgrove.schema import ReductionParams
+
+
+def _dense(edges, n):
+    w = np.zeros((n, n))
+    for a, b, x in edges:
+        w[a, b] = w[b, a] = x
+    d = w.sum(1)
+    return w, d, w / np.sqrt(np.outer(d, d))
+
+
+def _graph(spark, edges):
+    return spark.createDataFrame(edges, "a long, b long, w double")
+
+
+def test_values_and_residuals_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    n = 80
+    edges = [(i, i + 1, 1.0) for i in range(n - 1)]  # a path: values close to each other
+    edges += [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 40, 60), rng.integers(41, n, 60), rng.uniform(0.1, 1, 60))]
+    edges = list({(a, b): (a, b, w) for a, b, w in edges}.values())
+    _, _, adj = _dense(edges, n)
+    got = spectral.spectrum(_graph(spark, edges), 4, tol=1e-7)
+    want = np.sort(np.linalg.eigvalsh(adj))[::-1][1:5]
+    assert np.allclose(got.values, want, atol=1e-9)
+    rows = got.vectors.toPandas().sort_values("row_id")
+    x = np.stack(rows["coords"].to_numpy())
+    assert np.abs(adj @ x - x * want).max() < 1e-6 and max(got.residuals) <= 1e-7
+    assert np.allclose(x.T @ x, np.eye(4), atol=1e-8)
+
+
+def test_components_small_graphs_and_no_graph(spark):
+    two = [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (10, 11, 2.0), (11, 12, 2.0), (10, 12, 2.0)]
+    got = spectral.spectrum(_graph(spark, two + [(0, 0, 5.0), (1, 10, 0.0)]), 1)
+    assert got.values[0] == pytest.approx(1.0)
+    signs = {r["row_id"]: np.sign(r["coords"][0]) for r in got.vectors.collect()}
+    assert signs[0] == signs[1] == signs[2] == -signs[10] == -signs[11] == -signs[12]
+    pair = spectral.spectrum(_graph(spark, [(5, 9, 3.0)]), 2)
+    assert pair.values == pytest.approx([-1.0])
+    assert all(r["coords"][1] == 0.0 and abs(r["coords"][0]) == pytest.approx(0.5 ** 0.5) for r in pair.vectors.collect())
+    none = spectral.spectrum(_graph(spark, []), 2)
+    assert none.vectors.count() == 0 and none.values == []
+
+
+def test_raises_without_convergence(spark):
+    edges = [(i, i + 1, 1.0) for i in range(200)]
+    with pytest.raises(RuntimeError, match="residual"):
+        spectral.spectrum(_graph(spark, edges), 2, tol=1e-9, max_rounds=3)
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 1.0, (60, 4)) for c in (0.0, 2.5)])
+    x[7] = x[3]  # a copy
+    new = np.concatenate([rng.normal(c, 1.0, (10, 4)) for c in (0.0, 2.5)])
+    train = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, embedding array<double>")
+    rows = [(1000 + i, [float(v) for v in r]) for i, r in enumerate(new)]
+    rows += [(3, rows[0][1]), (2000, None), (2001, [float(v) for v in x[7]])]
+    return train, x, spark.createDataFrame(rows, "row_id long, embedding array<double>"), rows
+
+
+def _weights(d, k):
+    rho = d[d > 0].min() if (d > 0).any() else 0.0
+    lo, hi, mid = 0.0, np.inf, 1.0
+    for _ in range(64):
+        if np.exp(-np.maximum(d - rho, 0) / mid).sum() > np.log2(k):
+            hi = mid
+        else:
+            lo = mid
+        mid = lo * 2 if np.isinf(hi) else (lo + hi) / 2
+    return np.exp(-np.maximum(d - rho, 0) / max(mid, 1e-12))
+
+
+def test_graph_reduction_equals_numpy(spark, blobs):
+    train, x, new, rows = blobs
+    k = 8
+    fitted = reduce.fit_graph(train, "embedding", 2, n_neighbors=k, tol=1e-8)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    p = np.zeros_like(d)
+    for i in range(len(x)):
+        near = np.lexsort((np.arange(len(x)), d[i]))[:k]
+        p[i, near] = _weights(d[i, near], k)
+    w = p + p.T - p * p.T
+    deg = w.sum(1)
+    vals, vecs = np.linalg.eigh(w / np.sqrt(np.outer(deg, deg)))
+    want = vecs[:, [-2, -3]] * np.sqrt(deg.sum() / deg)[:, None]
+    got = {r["row_id"]: np.array(r["reduced"]) for r in fitted.points.collect()}
+    got = np.stack([got[i] for i in range(len(x))])
+    assert np.allclose(fitted.values, vals[[-2, -3]], atol=1e-9)
+    want *= np.sign((want * got).sum(0))
+    assert np.allclose(got, want, atol=1e-5)
+
+    placed = [(r["row_id"], r["embedding"], r["reduced"]) for r in fitted.apply(new).collect()]
+    assert len(placed) == len(rows)
+    for row_id, v, at in placed:
+        if v is None:
+            assert at is None
+            continue
+        dist = np.sqrt(((x - np.array(v)) ** 2).sum(1))
+        if (dist == 0).any():
+            assert np.allclose(at, got[3])  # the first copy
+            continue
+        near = np.lexsort((np.arange(len(x)), dist))[:k]
+        m = _weights(dist[near], k)
+        assert np.allclose(at, (m[:, None] * got[near]).sum(0) / m.sum() / np.array(fitted.values), atol=1e-8), row_id
+
+
+def test_train_rows_map_to_themselves_by_their_own_edges(spark, blobs):
+    train, x, _, _ = blobs
+    fitted = reduce.fit_graph(train, "embedding", 2, n_neighbors=8, tol=1e-8)
+    g = neighbours.fuzzy_graph(neighbours.knn_graph(train, 8, "embedding"), 8).toPandas()
+    own = {r["row_id"]: np.array(r["reduced"]) for r in fitted.points.collect()}
+    total, weight = {i: np.zeros(2) for i in own}, dict.fromkeys(own, 0.0)
+    for a, b, w in g.itertuples(index=False):
+        for i, j in ((a, b), (b, a)):
+            total[i] += w * own[j]
+            weight[i] += w
+    for i in own:
+        assert np.allclose(total[i] / weight[i] / fitted.values, own[i], atol=1e-5)
+
+
+def test_metric_seed_and_neighbours_are_used_or_refused(spark, blobs):
+    train = blobs[0]
+    with pytest.raises(ValueError, match="graph"):
+        reduce.fit_by_params(train, ReductionParams(metric="manhattan"))
+    with pytest.raises(ValueError, match="graph"):
+        reduce.fit_by_params(train, ReductionParams(n_neighbors=5))
+    with pytest.raises(ValueError, match="method"):
+        reduce.fit_by_params(train, ReductionParams(method="umap"))
+    a = reduce.fit_by_params(train, ReductionParams(method="graph", n_components=2, n_neighbors=6, metric="manhattan"))
+    b = reduce.fit_by_params(train, ReductionParams(method="graph", n_components=2, n_neighbors=6))
+    assert isinstance(a, reduce.GraphMap) and a.metric == "manhattan" and not np.allclose(a.values, b.values, atol=1e-6)
+
+
+def test_pipeline_with_graph_reduction(spark, blobs, tmp_dir):
+    from corpusgrove.sources.bundle import load_bundle, save_bundle
+    train, x, new, rows = blobs
+    corpus = (train.withColumn("set", F.lit("train")).unionByName(new.where("row_id >= 1000 and embedding is not null").withColumn("set", F.lit("dev")))
+              .withColumn("text", F.concat(F.lit("text "), F.col("row_id"))))
+    model = pipeline.train(pipeline.create_model({"reduction": {"method": "graph", "n_components": 2, "n_neighbors": 8},
+                                                  "clustering": {"min_cluster_size": 10}}), corpus, embedding=False)
+    model = load_bundle(spark, save_bundle(pipeline.test(model, embedding=False), tmp_dir + "/m"))
+    want = pipeline.reduction_map(model)
+    assert isinstance(want, reduce.GraphMap) and len(want.values) == 2
+    dev = {r["row_id"]: r for r in model["corpus"].where("set = 'dev'").collect()}
+    assert len(dev) == 21 and all(r["predict"] is not None and len(r["reduced"]) == 2 for r in dev.values())
+    scored = pipeline.score(model, new.where("row_id >= 1000 and embedding is not null"))
+    assert {r["row_id"] for r in scored.collect()} == set(dev)
