@@ -51,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", repeated_lines), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("packing", pack)]
 
-#: models and hashing are beyond SQL; tests/llm checks the stages' columns, edge cases and that clean documents stay
+#: models and hashing are beyond SQL; tests/llm compares every stage with a plain version, and checks columns and edge cases
 ORACLE_SQL = None
 
 
