@@ -1,0 +1,101 @@
+"""Neighbour searches in blocks, for more (query, cell) pairs than ``WALK_PAIRS``."""
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from corpusgrove.operators import density, neighbours
+
+
+@pytest.fixture()
+def blocks(monkeypatch):
+    """Blocks of about 40 rows, and no row for each query and cell."""
+    def refuse(*_):
+        raise AssertionError("a row for each query and cell")
+    monkeypatch.setattr(neighbours, "WALK_PAIRS", 0)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    monkeypatch.setattr(neighbours, "_reachable", refuse)
+
+
+def _rows(n=150, dim=6):
+    X = np.random.default_rng(3).normal(size=(n, dim)) + 50.0
+    X[20:35] = X[5]  # copies: equal distances go to the smaller id
+    return X
+
+
+def _frame(spark, X):
+    return spark.createDataFrame([(3 * i, [float(v) for v in x]) for i, x in enumerate(X)], "row_id long, reduced array<double>")
+
+
+def _nearest(metric, Q, C, k, own):
+    out = []
+    for i, d in enumerate(neighbours.Metric(metric).pairwise(Q, C)):
+        out += [(i, int(j), d[j]) for j in [j for j in np.lexsort((np.arange(len(C)), d)) if not (own and j == i)][:k]]
+    return pd.DataFrame(out, columns=["q", "j", "d"])
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
+def test_graph_in_blocks_equals_brute_force(spark, blocks, metric):
+    X = _rows()
+    got = neighbours.knn_graph(_frame(spark, X), 4, cell_size=16, metric=metric).toPandas().sort_values(["row_id", "rank"])
+    want = _nearest(metric, X, X, 4, True)
+    assert (got["row_id"].to_numpy() == 3 * want["q"]).all() and (got["nbr"].to_numpy() == 3 * want["j"]).all()
+    assert (got["d"].to_numpy() == want["d"]).all()
+
+
+def test_search_in_blocks_equals_brute_force(spark, blocks):
+    X, Q = _rows(), _rows(70) + 0.25
+    index = neighbours.point_index(_frame(spark, X), cell_size=16)
+    got = neighbours.knn_search(index, _frame(spark, Q), 3).toPandas().sort_values(["row_id", "rank"])
+    want = _nearest("euclidean", Q, X, 3, False)
+    assert (got["nbr"].to_numpy() == 3 * want["j"]).all() and (got["d"].to_numpy() == want["d"]).all()
+
+
+def test_spanning_tree_in_blocks_has_the_least_weight(spark, blocks):
+    X = _rows(120, 3)
+    got = density.mutual_reachability_mst(_frame(spark, X), 4, cell_size=16).toPandas()
+    d = neighbours.Metric().pairwise(X, X)
+    core = np.sort(d + np.diag(np.full(len(X), np.inf)), axis=1)[:, 3]
+    w = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    inside, best, total = {0}, w[0].copy(), []
+    while len(inside) < len(X):
+        j = min((j for j in range(len(X)) if j not in inside), key=lambda j: best[j])
+        total.append(best[j])
+        inside.add(j)
+        best = np.minimum(best, w[j])
+    assert len(got) == len(X) - 1 and np.allclose(np.sort(got["w"]), np.sort(total), rtol=0, atol=1e-12)
+
+
+def test_a_row_travels_once_per_block_and_not_once_per_cell(spark, blocks, monkeypatch):
+    sent = []
+    meet = neighbours._meet
+    monkeypatch.setattr(neighbours, "_meet", lambda c, q, pairs, run: (sent.append(q.join(pairs.withColumnRenamed("qb", "block"), "block").count()), meet(c, q, pairs, run))[1])
+    X = np.random.default_rng(1).normal(size=(160, 40))  # nothing to prune
+    neighbours.knn_graph(_frame(spark, X), 3, cell_size=4).collect()
+    assert sum(sent) <= 160 * neighbours.MIN_BLOCKS  # there are 40 cells
+
+
+def test_screen_keeps_every_tie_and_what_rounding_hides():
+    X = np.random.default_rng(0).normal(size=(90, 5)) * 1e-4 + 1e5
+    X[30:60] = X[0]
+    X[70] = np.nan
+    run = neighbours._brute_force(5)
+    pdf = pd.DataFrame({"row_id": np.arange(90), "_v": list(X)})
+    got = run(pd.concat([pdf.assign(_role=0), pdf.assign(_role=1)])).sort_values(["row_id", "d", "nbr"])
+    d = neighbours.Metric().pairwise(X, X)
+    for i in range(90):
+        want = [j for j in np.lexsort((np.arange(90), d[i])) if j != i and np.isfinite(d[i, j])][:5]
+        assert got[got["row_id"] == i]["nbr"].tolist() == want
+
+
+def test_null_bounds_are_of_candidates_only(spark, blocks):
+    X = _rows(60, 2)
+    index = neighbours.point_index(_frame(spark, X), cell_size=8)
+    label = index.cells.select("row_id", F.pmod("row_id", F.lit(2)).alias("comp"), F.lit(0.0).alias("core"))
+    got = neighbours.foreign_neighbours(index, label, label.select("row_id", F.lit(float("inf")).alias("bound"))).toPandas()
+    d = neighbours.Metric().pairwise(X, X)
+    odd = (3 * np.arange(60)) % 2
+    d[odd[:, None] == odd[None, :]] = np.inf
+    assert np.array_equal(got.sort_values("row_id")["d"].to_numpy(), d.min(axis=1))
