@@ -46,6 +46,7 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -665,31 +666,28 @@ def memberships(knn: DataFrame, k: int, n_iter: int = 64) -> DataFrame:
     """(i, j, w, d): fuzzy membership of each directed kNN edge.
 
     Per row: rho = distance to the nearest neighbour at distance > 0, sigma
-    found by bisection (``n_iter`` steps inside one ``aggregate`` expression)
-    so that ``sum_j exp(-max(0, d_ij - rho) / sigma) = log2(k)``. Everything
-    is expressions over the row's k distances.
+    found by bisection (``n_iter`` steps for a batch of rows at once)
+    so that ``sum_j exp(-max(0, d_ij - rho) / sigma) = log2(k)``.
     """
     target = math.log2(max(k, 2))
     rows = knn.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("d", "nbr"))).alias("nb"))
-    ds = F.transform("nb", lambda t: t["d"])
-    rho = F.coalesce(F.array_min(F.filter(ds, lambda d: d > 0)), F.lit(0.0))
-    rows = rows.withColumn("rho", rho).withColumn("_ds", ds)
-
-    def psum(sig):
-        return F.aggregate(F.col("_ds"), F.lit(0.0),
-                           lambda s, d: s + F.exp(-F.greatest(d - F.col("rho"), F.lit(0.0)) / sig))
-
-    init = F.struct(F.lit(0.0).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(1.0).alias("mid"))
-
-    def step(acc, _):
-        big = psum(acc["mid"]) > F.lit(target)
-        lo = F.when(big, acc["lo"]).otherwise(acc["mid"])
-        hi = F.when(big, acc["mid"]).otherwise(acc["hi"])
-        mid = F.when(hi == float("inf"), lo * 2).otherwise((lo + hi) / 2)
-        return F.struct(lo.alias("lo"), hi.alias("hi"), mid.alias("mid"))
-
-    sigma = F.aggregate(F.sequence(F.lit(1), F.lit(n_iter)), init, step)["mid"]
-    rows = rows.withColumn("sigma", F.greatest(sigma, F.lit(1e-12)))
+    rho = F.coalesce(F.array_min(F.filter(F.transform("nb", lambda t: t["d"]), lambda d: d > 0)), F.lit(0.0))
+    rows = rows.select("row_id", "nb", rho.alias("rho"))
+
+    def bisect(batches):
+        for b in batches:
+            size = pc.list_value_length(b["nb"]).to_numpy(zero_copy_only=False)
+            over = np.full((len(size), int(size.max(initial=0))), np.inf)
+            over[np.arange(over.shape[1]) < size[:, None]] = b["nb"].flatten().field("d").to_numpy(zero_copy_only=False)
+            over = np.maximum(over - b["rho"].to_numpy(zero_copy_only=False)[:, None], 0.0).T
+            lo, hi, mid = np.zeros(len(size)), np.full(len(size), np.inf), np.ones(len(size))
+            for _ in range(n_iter):
+                big = sum((np.exp(-d / mid) for d in over), np.zeros(len(size))) > target
+                lo, hi = np.where(big, lo, mid), np.where(big, mid, hi)
+                mid = np.where(np.isinf(hi), lo * 2, (lo + hi) / 2)
+            yield b.append_column("sigma", pa.array(np.maximum(mid, 1e-12)))
+
+    rows = rows.mapInArrow(bisect, T.StructType([*rows.schema.fields, T.StructField("sigma", T.DoubleType())]))
     return (rows.select("row_id", "rho", "sigma", F.explode("nb").alias("t"))
                 .select(F.col("row_id").alias("i"), F.col("t.nbr").alias("j"),
                         F.exp(-F.greatest(F.col("t.d") - F.col("rho"), F.lit(0.0)) / F.col("sigma")).alias("w"), F.col("t.d").alias("d")))
