@@ -73,7 +73,7 @@ TILE = 1024
 #: lengths between which single precision screens euclidean distances
 SINGLE = (1e-12, 1e12)
 #: pairs whose exact distances are computed at once
-PAIRS_AT_ONCE = 1 << 16
+PAIRS_AT_ONCE = 1 << 14
 #: children of a tree node, on average
 FAN = 64
 #: tasks that the rows of a tree node, and of the whole top, are dealt to at least
@@ -134,9 +134,10 @@ class Metric:
         (differences, not the Gram form: equal points are at distance 0)."""
         return self._distances(lambda f, j: f.outer(q[:, j], c[:, j]), (len(q), len(c)), c.shape[1])
 
-    def paired(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Base distances of the rows of q and c in pairs, as in :meth:`pairwise`."""
-        return self._distances(lambda f, j: f(q[:, j], c[:, j]), len(q), c.shape[1])
+    def paired(self, q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Base distances of the vectors at i of q and at j of c in pairs, as in :meth:`pairwise`;
+        q and c have a row per dimension."""
+        return self._distances(lambda f, x: f(q[x][i], c[x][j]), len(i), len(c))
 
     def _distances(self, of, shape, dim: int) -> np.ndarray:
         if self.base == "haversine":
@@ -303,6 +304,11 @@ class _Side:
     core: np.ndarray | None
     bound: np.ndarray | None
 
+    @cached_property
+    def dims(self) -> np.ndarray:
+        """The vectors, a row per dimension."""
+        return np.ascontiguousarray(self.v.T)
+
     @classmethod
     def of(cls, pdf: pd.DataFrame, foreign: bool) -> _Side:
         bound = pdf["_bound"].to_numpy(float) if "_bound" in pdf else np.full(len(pdf), np.inf)
@@ -329,7 +335,7 @@ def _candidates(q: _Side, c: _Side, limit: np.ndarray, k: int, metric: Metric, a
         qi, ci = _by_rank(q, c, most, k, metric, alpha, own)
     for a in range(0, len(qi), PAIRS_AT_ONCE):
         i, j = qi[a:a + PAIRS_AT_ONCE], ci[a:a + PAIRS_AT_ONCE]
-        d = metric.paired(q.v[i], c.v[j])
+        d = metric.paired(q.dims, c.dims, i, j)
         if c.core is not None:
             d = np.maximum(np.maximum(d / alpha, q.core[i]), c.core[j])
         ok = np.isfinite(d) & (d <= limit[i])
@@ -360,6 +366,21 @@ def _by_rank(q: _Side, c: _Side, most: np.ndarray, k: int, metric: Metric, alpha
     return np.nonzero(keep)
 
 
+def _keep_best(dist: np.ndarray, nbr: np.ndarray, limit: np.ndarray, found: list) -> None:
+    """Merges what was found, (query, distance, id), into the k best of each query; limits follow."""
+    k = dist.shape[1]
+    who, far, ids = (np.concatenate(x) for x in zip(*found))
+    had = np.unique(who)
+    who = np.concatenate([np.repeat(had, k), who])
+    far, ids = np.concatenate([dist[had].ravel(), far]), np.concatenate([nbr[had].ravel(), ids])
+    order = np.lexsort((ids, far, who))
+    who, far, ids = who[order], far[order], ids[order]
+    rank = np.arange(len(who)) - np.searchsorted(who, who)
+    keep = rank < k
+    dist[who[keep], rank[keep]], nbr[who[keep], rank[keep]] = far[keep], ids[keep]
+    limit[had] = np.minimum(limit[had], dist[had, k - 1])
+
+
 def _search(q: _Side, c: _Side, k: int, metric: Metric, alpha: float, own: bool) -> Iterator[pd.DataFrame]:
     """The k best candidates of each query by (distance, id), tile by tile."""
     tiles = [c.at(t) for t in _tiles(c.v, TILE)]
@@ -368,23 +389,21 @@ def _search(q: _Side, c: _Side, k: int, metric: Metric, alpha: float, own: bool)
     for some in _tiles(q.v, QUERY_BLOCK):
         block = q.at(some)
         dist, nbr = np.full((len(some), k), np.inf), np.full((len(some), k), np.iinfo(np.int64).max)
-        limit = block.bound.copy()
+        limit, found, n = block.bound.copy(), [], 0
         gap = metric.pairwise(block.v, centres) - radius
         for t in np.argsort(gap.min(axis=0), kind="stable"):
             open_ = np.flatnonzero(~(gap[:, t] > limit * alpha * (1 + 1e-9) + 1e-12))
             if not len(open_):
                 continue
-            for i, j, d in _candidates(block.at(open_), tiles[t], limit[open_], k, metric, alpha, own):
-                new = open_[i]
-                had = np.unique(new)
-                who = np.concatenate([np.repeat(had, k), new])
-                far, ids = np.concatenate([dist[had].ravel(), d]), np.concatenate([nbr[had].ravel(), tiles[t].id[j]])
-                order = np.lexsort((ids, far, who))
-                who, far, ids = who[order], far[order], ids[order]
-                rank = np.arange(len(who)) - np.searchsorted(who, who)
-                keep = rank < k
-                dist[who[keep], rank[keep]], nbr[who[keep], rank[keep]] = far[keep], ids[keep]
-                limit[had] = np.minimum(limit[had], dist[had, k - 1])
+            asked = block if len(open_) == len(some) else block.at(open_)
+            for i, j, d in _candidates(asked, tiles[t], limit[open_], k, metric, alpha, own):
+                found.append((open_[i], d, tiles[t].id[j]))
+                n += len(i)
+                if 2 * n >= k * len(some):
+                    _keep_best(dist, nbr, limit, found)
+                    found, n = [], 0
+        if n:
+            _keep_best(dist, nbr, limit, found)
         at, rank = np.nonzero(np.isfinite(dist))
         yield pd.DataFrame({"row_id": block.id[at], "nbr": nbr[at, rank], "d": dist[at, rank]})
 
