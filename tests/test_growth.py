@@ -76,3 +76,51 @@ def test_json_documents_follow_the_size_of_the_rows(spark, tmp_path, monkeypatch
     assert max(f.stat().st_size for f in (tmp_path / "array").glob("*.txt")) < 6000
     back = files.read_json_roles(spark, path, {"ref": "doc_id", "text": "text"})
     assert sorted((int(r["ref"]), r["text"]) for r in back.collect()) == [(i, f"text {i}") for i in range(400)]
+
+
+def test_what_tiles_find_is_merged_a_few_times(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1000, 4)).round(1)  # with ties
+    q = neighbours._Side(x, np.arange(1000), None, None, np.full(1000, np.inf))
+    merged, keep = [], neighbours._keep_best
+    monkeypatch.setattr(neighbours, "TILE", 16)
+    monkeypatch.setattr(neighbours, "_keep_best", lambda *a: merged.append(1) or keep(*a))
+    for metric in ("euclidean", "manhattan"):
+        merged.clear()
+        got = {}
+        for part in neighbours._search(q, q, 3, neighbours.Metric(metric), 1.0, True):
+            for r in part.itertuples():
+                got.setdefault(r.row_id, []).append((round(r.d, 9), r.nbr))
+        assert len(merged) <= 24  # of 63 tiles or more
+        diff = x[:, None] - x[None]
+        d = np.sqrt((diff ** 2).sum(-1)) if metric == "euclidean" else np.abs(diff).sum(-1)
+        np.fill_diagonal(d, np.inf)
+        assert all([v[0] for v in got[i]] == np.sort(d[i])[:3].round(9).tolist() for i in range(len(x)))
+        assert all(abs(d[i, j] - v) < 1e-8 for i, some in got.items() for v, j in some)
+
+
+def test_spanning_tree_rounds_keep_only_edges_between_components(spark, monkeypatch):
+    x, seen, between = np.random.default_rng(8).normal(size=(120, 3)), [], density._between
+    def logged(edges, comp, how="inner"):
+        out = between(edges, comp, how)
+        if how == "left":
+            seen.append(out.count())
+        return out
+    monkeypatch.setattr(density, "_between", logged)
+    total = density.mutual_reachability_mst(_points(spark, x), 3).agg(F.sum("w")).first()[0]
+    assert abs(total - _tree_weight(x, 3)) < 1e-9
+    assert seen[-1] == 0 and seen == sorted(seen, reverse=True) and seen[0] < 360
+
+
+def test_density_prediction_uses_a_given_index(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(60, 3))
+    train = _points(spark, x[:50]).withColumn("predict", F.col("row_id").cast("int") % 3)
+    new = _points(spark, x[50:])
+    index = neighbours.point_index(train)
+    core = density.core_distances(neighbours.knn_graph(train, 5, index=index), 5)
+    want = {r["row_id"]: r["predict"] for r in density.predict_density(train, new, core).collect()}
+
+    def build(*a, **b):
+        raise AssertionError("the train rows are indexed again")
+    monkeypatch.setattr(density, "point_index", build)
+    assert {r["row_id"]: r["predict"] for r in density.predict_density(train, new, core, index=index).collect()} == want
