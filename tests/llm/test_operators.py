@@ -225,6 +225,28 @@ def test_decontamination_draws_rows_without_ids_and_copies_one_by_one(spark):
         assert abs(n - share * 2_002) < 0.25 * share * 2_002
 
 
+def test_decontamination_fits_its_space_on_every_passage_of_all_documents(spark, monkeypatch):
+    rng, got, fit = np.random.default_rng(4), [], decontaminate.fit_space
+    monkeypatch.setattr(decontaminate, "fit_space", lambda counted, *a, **k: got.append(counted) or fit(counted, *a, **k))
+    docs = spark.range(12_000).selectExpr("id as doc_id", "concat('word', id % 50, ' text', id % 7) as text")
+    items = spark.createDataFrame([(1, "word1 text1 word2")], "item_id long, text string")
+    decontaminate.find_contaminated(docs, items)
+    assert got[0].where("columns is not null").count() == 12_001
+
+    rows = ["", "one", " ".join(f"w{x}" for x in rng.integers(0, 40, 150)), "two two one", "two two one", None] + [" ".join(f"w{x}" for x in rng.integers(0, 400, 64)) for _ in range(30)]
+    counted = decontaminate._counted(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3))
+    split = [decontaminate._column(decontaminate._one(t or "")) for t in rows]
+    df = np.zeros(decontaminate.COLUMNS, int)
+    for c in split:
+        df[np.unique(c)] += 1
+    assert (decontaminate.document_frequency(counted) == df).all()
+    a = np.array([np.bincount(c[k:k + 64], minlength=decontaminate.COLUMNS) for c in split for k in range(0, len(c), 64)]) * (idf := rng.random(decontaminate.COLUMNS) + 0.1)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    m = rng.normal(size=(decontaminate.COLUMNS, 5))
+    for transposed, want in ((True, a.T @ (a @ m)), (False, (a @ m).T @ (a @ m))):
+        assert np.allclose(decontaminate._summed(counted, idf, m, transposed), want, rtol=1e-4, atol=1e-4)
+
+
 def test_lcs():
     rng = np.random.default_rng(1)
     for _ in range(50):
