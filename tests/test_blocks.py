@@ -99,3 +99,14 @@ def test_null_bounds_are_of_candidates_only(spark, blocks):
     odd = (3 * np.arange(60)) % 2
     d[odd[:, None] == odd[None, :]] = np.inf
     assert np.array_equal(got.sort_values("row_id")["d"].to_numpy(), d.min(axis=1))
+
+
+def test_block_pairs_are_sent_in_waves(spark, blocks, monkeypatch):
+    monkeypatch.setattr(neighbours, "MEET_NUMBERS", 2 * 40 * 44 * 3)
+    sent, meet = [], neighbours._meet
+    monkeypatch.setattr(neighbours, "_meet", lambda c, q, pairs, run: (sent.append(pairs.groupBy("qb").count().collect()), meet(c, q, pairs, run))[1])
+    X = np.random.default_rng(1).normal(size=(160, 40))  # nothing to prune
+    got = neighbours.knn_graph(_frame(spark, X), 3, cell_size=4).toPandas().sort_values(["row_id", "rank"])
+    want = _nearest("euclidean", X, X, 3, True)
+    assert (got["nbr"].to_numpy() == 3 * want["j"]).all() and (got["d"].to_numpy() == want["d"]).all()
+    assert len(sent) > 3 and all(len(x) == 1 or sum(r["count"] for r in x) <= 6 for x in sent[1:])

@@ -1,11 +1,15 @@
 """Steps whose work must not grow faster than the input: spanning-tree rounds, tree descents, JSON documents."""
 
+import os
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusgrove.functions.materialize import materialize, release, tidy
 from corpusgrove.operators import density, neighbours
-from corpusgrove.plans import catalog
+from corpusgrove.plans import catalog, pipeline
 
 
 def _points(spark, x):
@@ -124,3 +128,52 @@ def test_density_prediction_uses_a_given_index(spark, monkeypatch):
         raise AssertionError("the train rows are indexed again")
     monkeypatch.setattr(density, "point_index", build)
     assert {r["row_id"]: r["predict"] for r in density.predict_density(train, new, core, index=index).collect()} == want
+
+
+@pytest.fixture()
+def tables(monkeypatch, tmp_dir):
+    """The stored tables in a folder of the test's own."""
+    monkeypatch.setattr(sys.modules[materialize.__module__], "ensure_checkpoint_dir", lambda spark: tmp_dir)
+    at = os.path.join(tmp_dir, "tables")
+    return lambda: {t: os.path.join(at, t) for t in os.listdir(at)} if os.path.isdir(at) else {}
+
+
+def _read(*frames):
+    return {os.path.basename(os.path.dirname(f)) for df in frames for f in df.inputFiles()}
+
+
+def test_training_leaves_the_tables_of_the_model_only(spark, tables, monkeypatch):
+    words = np.random.default_rng(0).integers(0, 30, (80, 12)) + 40 * (np.arange(80)[:, None] % 3)
+    rows = [(i, " ".join(f"w{x}" for x in w), "dev" if i % 8 == 0 else "train") for i, w in enumerate(words)]
+    corpus = spark.createDataFrame(rows, "row_id long, text string, set string")
+    most, stored = [], pipeline.materialize
+    monkeypatch.setattr(pipeline, "materialize", lambda df: (stored(df), most.append([t for t in tables().values() if "text" in spark.read.parquet(t).columns]))[0])
+    bundle = pipeline.train(pipeline.create_model({"clustering": {"min_cluster_size": 5}}), corpus)
+    assert tables().keys() == _read(*bundle.tables.values())
+    assert max(map(len, most)) <= 2  # texts: a stage's table and the one before it
+    assert bundle["corpus"].count() == 80 and bundle["corpus"].where("set = 'train' and predict is null").count() == 0
+
+
+def test_tidy_keeps_what_the_result_reads(spark, tables):
+    kept = []
+
+    @tidy
+    def inner():
+        first, second = materialize(spark.range(3)), materialize(spark.range(3, 5))
+        kept.append(materialize(spark.range(7), outer_table))
+        return second.union(materialize(first.where("id > 0")))
+
+    outer_table = materialize(spark.range(1))
+    got = inner()
+    assert sorted(r["id"] for r in got.collect()) == [1, 2, 3, 4] and kept[0].count() == 7
+    assert tables().keys() == _read(got, outer_table, kept[0]) and len(tables()) == 4
+    release(kept[0], got)  # got is no table of its own
+    assert tables().keys() == _read(got, outer_table)
+
+
+def test_an_index_outlives_the_search_that_orders_it(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "WALK_PAIRS", 0)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 30)
+    index = neighbours.point_index(_points(spark, np.random.default_rng(1).normal(size=(90, 3))), cell_size=16)
+    first = density._only(neighbours.knn_graph, None, 3, index=index)
+    assert density._only(neighbours.knn_graph, None, 3, index=index).exceptAll(first).count() == 0
