@@ -110,3 +110,20 @@ def test_block_pairs_are_sent_in_waves(spark, blocks, monkeypatch):
     want = _nearest("euclidean", X, X, 3, True)
     assert (got["nbr"].to_numpy() == 3 * want["j"]).all() and (got["d"].to_numpy() == want["d"]).all()
     assert len(sent) > 3 and all(len(x) == 1 or sum(r["count"] for r in x) <= 6 for x in sent[1:])
+
+
+@pytest.mark.parametrize("metric", ["manhattan", "chebyshev"])
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-4, 1e5), (1e-20, 0.0)])
+def test_single_precision_screens_without_changing_the_result(monkeypatch, metric, scale, shift):
+    X = np.random.default_rng(0).normal(size=(400, 12)) * scale + shift
+    X[100:130] = X[0]
+    full, pairs = neighbours.Metric(metric).pairwise(X, X), []
+    pairwise = neighbours.Metric.pairwise
+    monkeypatch.setattr(neighbours.Metric, "pairwise", lambda self, q, c: (pairs.append(len(q) * len(c)), pairwise(self, q, c))[1])
+    pdf = pd.DataFrame({"row_id": np.arange(400), "_v": list(X)})
+    got = neighbours._brute_force(4, neighbours.Metric(metric))(pd.concat([pdf.assign(_role=0), pdf.assign(_role=1)])).sort_values(["row_id", "d", "nbr"])
+    for i in range(400):
+        want = [j for j in np.lexsort((np.arange(400), full[i])) if j != i][:4]
+        mine = got[got["row_id"] == i]
+        assert mine["nbr"].tolist() == want and mine["d"].tolist() == full[i, want].tolist()
+    assert sum(pairs) < 0.2 * 400 * 400 or scale < 1e-12  # such lengths are left to double precision
